@@ -61,26 +61,21 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def running_start(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Adds the sum of value over all rows before a row in the given total order (nulls first).
+def running_start(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """For each (out, value) of sums adds as out the sum of value over all rows before a row in the given total order.
 
-    Ranges are dealt out by the order columns, so no task sees more than its range; only one sum
+    Ranges are dealt out by the order columns, so no task sees more than its range; only one row
     for each range (as many as there are shuffle partitions) is summed in one place.
     """
     n = partitions(df.sparkSession)
     ranged = stored(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    sums = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
-    before = sums.select(
-        "__range",
-        F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-    )
+    up_to_here = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("__range").agg(*[F.sum(v).alias(f"__sum_{o}") for o, v in sums.items()])
+    before = before.select("__range", *[F.coalesce(F.sum(f"__sum_{o}").over(up_to_here), F.lit(0)).alias(f"__before_{o}") for o in sums])
     inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(F.broadcast(before), "__range", "left")  # a row for each shuffle partition at most
-        .withColumn(out, F.col(out) + F.col("__before"))
-        .drop("__range", "__before")
-    )
+    out = ranged.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(o) for o, v in sums.items()])
+    out = out.join(F.broadcast(before), "__range", "left")  # a row for each shuffle partition at most
+    return out.withColumns({o: F.col(o) + F.col(f"__before_{o}") for o in sums}).drop("__range", *[f"__before_{o}" for o in sums])
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from loomgraph.llm import op5_token_counts
+from loomgraph.llm import op2_token_store, op4_best_fit_packing, op5_token_counts
 
 _OPS = {
+    "op2_token_store": op2_token_store,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
 }
 

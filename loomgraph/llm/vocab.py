@@ -13,21 +13,21 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_WORDS, CACHE_CORES = 1_000_000, 600_000  # entries; then the cache starts anew, so that memory stays bounded
+CACHE_WORDS, CACHE_CORES = 1_500_000, 600_000  # entries; then the cache starts anew, so that memory stays bounded
 LONG_WORD = 48  # characters; longer words are encoded but not kept
 
-#: Where one of these stands in a text, the cuts are not certain: runs of blanks, blanks beside line
-#: ends, other white space, zero-width characters, and what opens the special strings.
-_ODD = ["  ", "\n\n", " \n", "\n ", "<|", "\0", *map(chr, [9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E])]
-_ODD += [chr(x) for a, b in ((0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x3000, 0x3000), (0xFEFF, 0xFEFF)) for x in range(a, b + 1)]
+#: Where this is found in a text, the cuts are not certain: runs of blanks, blanks beside line ends or at
+#: either end, other white space, zero-width characters, and what opens the special strings.
+_ODD = (
+    r"[ \n][ \n]|^[ \n]|[ \n]$|<\||[\x00\x09\x0B-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}"
+    r"\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FEFF}]"
+)
 _START = "\0"  # marks the first word of a text
 
 
-def odd(text: str) -> bool:
-    return text[:1] in " \n" or text[-1:] in " \n" or any(x in text for x in _ODD)
-
-
 #: Latin letters, ASCII punctuation without the apostrophe (which opens contractions).
 _SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -48,24 +48,36 @@ class Encoder:
             raise ValueError("ids of more than 16 bits")
         self.cache: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self._edge: np.ndarray | None = None
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [array("H", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("H", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def cut(self, text: str) -> list[str]:
-        """Strings whose encodings, joined, are the text's."""
+    def edge(self, begin: str, end: str) -> np.ndarray:
+        """By id, whether the token begins and ends so."""
+        if self._edge is None:
+            self._edge = np.zeros(65_536, bool)
+            self._edge[[i for t, i in self.tokenizer.get_vocab(False).items() if t.startswith(begin) and t.endswith(end)]] = True
+        return self._edge
+
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """Keys of the cache whose encodings, joined, are the text's."""
         raise NotImplementedError
 
     def simple(self, words: list[str]) -> list[bytes]:
         """Encodings of words of letters alone, each after a blank: one call for all of them."""
-        got = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-        of = np.array(got.word_ids)
-        ids = np.array(got.ids, "<u2").tobytes()
-        cuts = [0, *(2 * (np.flatnonzero(np.diff(of)) + 1)).tolist(), len(ids)]
+        (got,) = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)
+        ids = np.array(got.ids, "<u2")
+        cuts = (2 * self.starts(ids)).tolist() + [2 * len(ids)]
+        ids = ids.tobytes()
         if len(cuts) != len(words) + 1:
             return self.library([self.BLANK + w for w in words])
         return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def starts(self, ids: np.ndarray) -> np.ndarray:
+        """Where words begin in the ids of words of letters."""
+        raise NotImplementedError
+
     def spelt(self, key: str) -> str:
         """The string that a key of the cache stands for."""
         return key[1:] if key[:1] == _START else key if key[:1] == "\n" else self.BLANK + key
@@ -91,25 +103,27 @@ class Encoder:
         self.cache.update([(w, known[core] + coded[tail]) for w, core, tail in parts])
         self.cache.update(zip(whole, self.library([self.spelt(w) for w in whole]), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.cache.get
-        cut = [None if odd(x) else self.cut(x) for x in texts]
-        found = [[] if x is None else list(map(get, x)) for x in cut]
-        missing = set()
-        for words, got in zip(cut, found, strict=True):
-            if None in got:
-                missing.update([w for w, g in zip(words, got, strict=True) if g is None])
-        if missing:
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (no nulls). Distinct words are found by Arrow, so that Python sees each once a call."""
+        whole = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        words = self.cut(pc.if_else(pa.array(whole), "", texts))
+        coded = words.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        found = list(map(self.cache.get, keys))
+        if missing := [k for k, x in zip(keys, found, strict=True) if x is None]:
             if len(self.cache) + len(missing) > CACHE_WORDS:
                 self.cache.clear()
-            self.learn(list(missing))
-            for words, got in zip(cut, found, strict=True):
-                if None in got:
-                    got[:] = [get(w) if g is None else g for w, g in zip(words, got, strict=True)]
-            for w in missing:
-                if len(w) > LONG_WORD:
-                    del self.cache[w]
-        return [self.library([t])[0] if x is None else b"".join(g) for t, x, g in zip(texts, cut, found, strict=True)]
+            self.learn(missing)
+            found = [self.cache[k] if x is None else x for k, x in zip(keys, found, strict=True)]
+            for k in missing:
+                if len(k) > LONG_WORD:
+                    del self.cache[k]
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8)
+        data = memoryview(ids.buffers()[2] or b"")
+        at = ends[words.offsets.to_numpy()].tolist()
+        odd = iter(self.library([t.as_py() for t in texts.filter(pa.array(whole))]))
+        return [next(odd) if w else bytes(data[i:j]) for w, i, j in zip(whole.tolist(), at[:-1], at[1:], strict=True)]
 
 
 class ByteEncoder(Encoder):
@@ -117,17 +131,22 @@ class ByteEncoder(Encoder):
 
     BLANK = " "
 
-    def cut(self, text: str) -> list[str]:
-        words = text.replace("\n", " \n").split(" ")
-        words[0] = _START + words[0]
-        return words
+    def starts(self, ids: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.edge("Ġ", "")[ids])  # the byte of a blank opens a token
+
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        spread = pc.replace_substring(texts, "\n", " \n")
+        return pc.split_pattern(pc.binary_join_element_wise(_START, spread, ""), " ")
 
 
 class WordEncoder(Encoder):
     """Pairs with word ends: white space only separates."""
 
-    def cut(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+    def starts(self, ids: np.ndarray) -> np.ndarray:
+        return np.append(0, np.flatnonzero(self.edge("", "</w>")[ids]) + 1)[:-1]
+
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
 
 
 def encoder(path: str, kind: type[Encoder]) -> Encoder:
