@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from loomgraph.llm import op2_token_store, op4_best_fit_packing, op5_token_counts
+from loomgraph.llm import (
+    op2_token_store,
+    op3_exact_dedup,
+    op4_best_fit_packing,
+    op5_token_counts,
+    op6_simhash,
+    op8_quality,
+    op9_mixing,
+)
 
 _OPS = {
     "op2_token_store": op2_token_store,
+    "op3_exact_dedup": op3_exact_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_simhash": op6_simhash,
+    "op8_quality": op8_quality,
+    "op9_mixing": op9_mixing,
 }
 
 QUERIES = {name: module.query for name, module in _OPS.items()} | {"pipeline": corpus_pipeline.run}
