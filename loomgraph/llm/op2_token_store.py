@@ -38,29 +38,35 @@ WINDOW_BITS = 5  # 32 ids
 ZERO_BITS = 10  # a boundary every 1,024 ids on average
 SHORTEST, LONGEST = 256, 8192
 FANOUT = 1024  # of the Merkle tree
-DOCS_AT_ONCE = 4096
+DOCS_AT_ONCE = 3000
 POLYNOMIAL = 0xEDB88320  # of CRC-32, reflected
 
 
-def boundaries(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a stream of ids, by the rolling hash, within the least and greatest sizes."""
-    h = ids.astype(np.uint32) * np.uint32(2654435761) + np.uint32(374761393)
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(2246822519)
+def candidates(ids: np.ndarray) -> np.ndarray:
+    """Ends of windows whose rolling hash has the zero bits. ids may hold many documents one after the
+    other: what the hash sees of the one before ends within SHORTEST, where no boundary counts."""
+    h = ids.astype(np.uint32)
+    h *= np.uint32(2654435761)
+    h += np.uint32(374761393)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(2246822519)
     for k in range(WINDOW_BITS):
         step = 1 << k
-        rolled = h.copy()
-        rolled[step:] += h[:-step] << np.uint32(step)
-        h = rolled
-    ends, at = [], 0
-    for c in [*(np.flatnonzero(h >> np.uint32(32 - ZERO_BITS) == 0) + 1).tolist(), len(ids)]:
+        h[step:] += h[:-step] << np.uint32(step)
+    return np.flatnonzero(h < np.uint32(1 << (32 - ZERO_BITS))) + 1
+
+
+def boundaries(ends: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids, from the candidates, within the least and greatest sizes."""
+    out, at = [], 0
+    for c in [*ends, n]:
         while c - at > LONGEST:
             at += LONGEST
-            ends.append(at)
-        if c - at >= SHORTEST or c == len(ids):
-            if c > at:
-                ends.append(c)
-                at = c
-    return ends
+            out.append(at)
+        if c - at >= SHORTEST or (c == n and c > at):
+            out.append(c)
+            at = c
+    return out
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -78,13 +84,17 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, DOCS_AT_ONCE):
                 b = batch.slice(lo, DOCS_AT_ONCE)
-                rows = []
-                for doc, coded in zip(b.column("doc_id").to_pylist(), words.encode(pc.fill_null(b.column("text"), "")), strict=True):
-                    ids = np.frombuffer(coded + end, "<u2")
-                    ends = boundaries(ids)
-                    data = [ids[i:j].tobytes() for i, j in zip([0, *ends[:-1]], ends, strict=True)]
-                    rows.append((row, doc, len(ids), [hashlib.sha256(x).digest() for x in data], [len(x) // 2 for x in data], data))
+                coded = words.encode(pc.fill_null(b.column("text"), ""))
+                rows, at = [], 0
+                whole = end.join([*coded, b""])
+                hits = candidates(np.frombuffer(whole, "<u2"))
+                for doc, n in zip(b.column("doc_id").to_pylist(), [len(x) // 2 + 1 for x in coded], strict=True):
+                    first, last = np.searchsorted(hits, (at, at + n), "right")
+                    ends = boundaries((hits[first:last] - at).tolist(), n)
+                    data = [whole[2 * (at + i) : 2 * (at + j)] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+                    rows.append((row, doc, n, [hashlib.sha256(x).digest() for x in data], [len(x) // 2 for x in data], data))
                     row += 1
+                    at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(

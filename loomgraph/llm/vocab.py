@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS, CACHE_CORES = 1_500_000, 600_000  # entries; then the cache starts anew, so that memory stays bounded
+CACHE_WORDS, CACHE_CORES = 1_500_000, 300_000  # entries; then the cache starts anew, so that memory stays bounded
 LONG_WORD = 48  # characters; longer words are encoded but not kept
 
 #: Where this is found in a text, the cuts are not certain: runs of blanks, blanks beside line ends or at
