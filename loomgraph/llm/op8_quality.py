@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int =
         yield pa.RecordBatch.from_arrays([pa.array([train(seen, bits).tobytes()])], ["weights"])
 
     ordered = taken.select("label", "text", F.xxhash64("doc_id").alias("h"), "doc_id").repartition(1).sortWithinPartitions("h", "doc_id", "text")
-    got = ordered.mapInArrow(run, "weights binary").first()
-    return np.frombuffer(bytes(got[0]), np.float32) if got else np.zeros((1 << bits) + 1, np.float32)
+    got = ordered.mapInArrow(run, "weights binary").collect()  # one row
+    return np.frombuffer(bytes(got[0][0]), np.float32) if got else np.zeros((1 << bits) + 1, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:

@@ -15,7 +15,7 @@ like the others. Only DataFrame functions are used.
 
 Cases: a null or empty text has size 0 and takes nothing; a null source is one source, the last; rows
 without doc_id and repeated rows count as rows of their own; an empty table, or one without words,
-gives no words; extra columns are ignored by mix() and kept by mixed_documents().
+gives no words; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ BLOCK = 64  # words
 SEED = 17
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """row (unique once written), doc_id, source, size."""
+def sized(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """row (unique once written, or the key column), doc_id, source, size, draw."""
     return docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        (F.col(key) if key else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(SEED), F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))).alias("draw"),
     )
@@ -82,9 +82,9 @@ def sainte_lague(parties: DataFrame, group: list[str], order: list[str], votes:
     return out.select(*parties.columns, "quota")
 
 
-def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """row, doc_id, size, source_size, target, taken of each row of docs."""
-    rows = stored(sized(docs), "sizes")
+def mix(docs: DataFrame, block: int = BLOCK, key: str | None = None) -> DataFrame:
+    """key (or a row number), doc_id, size, source_size, target, taken of each row of docs."""
+    rows = stored(sized(docs, key), "sizes")
     want = targets(rows).withColumns({
         "one": F.lit(1),
         "blocks": F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"),
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     left = F.col("shard_words") - F.coalesce(F.sum("size").over(seeded), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), left))
     taken = F.least(MOST * F.col("size"), F.col("passes") * F.col("size") + part).cast("long")
-    return dealt.withColumn("taken", taken).select("row", "doc_id", "size", "source_size", "target", "taken")
+    return dealt.withColumn("taken", taken).select(F.col("row").alias(key or "row"), "doc_id", "size", "source_size", "target", "taken")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

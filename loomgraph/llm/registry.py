@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from loomgraph.llm import (
     op1_line_dedup,
+    op10_secret_scan,
     op2_token_store,
     op3_exact_dedup,
     op4_best_fit_packing,
@@ -26,6 +27,7 @@ _OPS = {
     "op7_spotsigs": op7_spotsigs,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 QUERIES = {name: module.query for name, module in _OPS.items()} | {"pipeline": corpus_pipeline.run}
