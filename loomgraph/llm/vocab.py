@@ -25,7 +25,9 @@ _ODD = (
     r"[ \n][ \n]|^[ \n]|[ \n]$|<\||[\x00\x09\x0B-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}"
     r"\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FEFF}]"
 )
-_START = "\0"  # marks the first word of a text
+_START = "\0"  # marks what stands without a blank before it
+#: A full stop or comma between a letter or digit and white space is always encoded on its own.
+_STOP, _APART = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([.,])([ \n])", "\\1 " + _START + "\\2\\3"
 
 
 #: Latin letters, ASCII punctuation without the apostrophe (which opens contractions).
@@ -135,7 +137,7 @@ class ByteEncoder(Encoder):
         return np.flatnonzero(self.edge("Ġ", "")[ids])  # the byte of a blank opens a token
 
     def cut(self, texts: pa.Array) -> pa.ListArray:
-        spread = pc.replace_substring(texts, "\n", " \n")
+        spread = pc.replace_substring(pc.replace_substring_regex(texts, _STOP, _APART), "\n", " \n")
         return pc.split_pattern(pc.binary_join_element_wise(_START, spread, ""), " ")
 
 
@@ -146,7 +148,7 @@ class WordEncoder(Encoder):
         return np.append(0, np.flatnonzero(self.edge("", "</w>")[ids]) + 1)[:-1]
 
     def cut(self, texts: pa.Array) -> pa.ListArray:
-        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(texts, _STOP, _APART), "\n", " "), " ")
 
 
 def encoder(path: str, kind: type[Encoder]) -> Encoder:
