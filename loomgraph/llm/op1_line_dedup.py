@@ -23,6 +23,8 @@ stay; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from loomgraph.llm.common import stored, table
 
 TAU = 2
 MIN_CHARS = 24
-BLOCK = 128
+BLOCK = 64
 HOT = 1000
 NO_ID = -(1 << 63)
 
@@ -79,14 +81,22 @@ def probe_keys(lines: DataFrame, tau: int, least: int) -> DataFrame:
     return lines.select("h", F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _common(a: Column, b: Column, cut: str) -> Column:
     """Length of the common beginning (cut 'left') or end ('right'), by halving."""
     take = F.left if cut == "left" else F.right
-    most = F.least(F.length(a), F.length(b))
-    # powers of two from high to low, each twice the next, so that their sum reaches any length
-    steps = F.transform(F.sequence(F.ceil(F.log2(most + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
-    more = lambda p, s: F.when((p + s <= most) & (take(a, p + s) == take(b, p + s)), p + s).otherwise(p)
-    return F.aggregate(steps, F.lit(0), more)
+
+    def halved(most: Column) -> Column:
+        # powers of two from high to low, so that their sum reaches any length
+        steps = F.transform(F.sequence(F.ceil(F.log2(most + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+        more = lambda p, s: F.when((p + s <= most) & (take(a, p + s) == take(b, p + s)), p + s).otherwise(p)
+        return F.aggregate(steps, F.lit(0), more)
+
+    return _let(F.least(F.length(a), F.length(b)), halved)
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -97,51 +107,49 @@ def within(a: Column, b: Column, tau: int) -> Column:
     all diagonals at once: along a match for free, else at the cost of one error from the word below.
     """
     width = 2 * tau + 1
-    x, y, n, m = F.split(a, ""), F.split(b, ""), F.length(a), F.length(b)
+    full = F.lit((1 << width) - 1)
     ones = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest(k, F.lit(0)), F.lit(width)).cast("int")) - 1
 
-    def move(s: Column, j: Column) -> Column:
-        c = F.get(y, j)
-        match = F.lit(0).cast("long")
-        for i in range(width):
-            match = match.bitwiseOR(F.when(F.get(x, j + (i - tau)) == c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-        now, then = ones(n - j + tau), ones(n - j - 1 + tau)  # diagonals with a character of a left, before and after
-        new = []
-        for e in range(tau + 1):
-            r = s[f"r{e}"].bitwiseAND(match)
-            if e:
-                below = s[f"r{e - 1}"]
-                r = r.bitwiseOR(below.bitwiseAND(now)).bitwiseOR(F.shiftright(below, 1)).bitwiseOR(F.shiftleft(new[e - 1].bitwiseAND(then), 1))
-            new.append(r.bitwiseAND(F.lit((1 << width) - 1)))
-        dead = s[f"r{tau}"] == 0
-        return F.when(dead, s).otherwise(F.struct(*[r.alias(f"r{e}") for e, r in enumerate(new)]))
-
-    first = [F.shiftleft(ones(F.least(n, F.lit(e)) + 1), tau).bitwiseAND(F.lit((1 << width) - 1)) for e in range(tau + 1)]
-    last = F.aggregate(
-        F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>")),
-        F.struct(*[r.cast("long").alias(f"r{e}") for e, r in enumerate(first)]),
-        move,
-        lambda s: s[f"r{tau}"],
-    )
-    return F.when(F.abs(n - m) > tau, False).otherwise(F.lit(1).cast("long").bitwiseAND(F.call_function("shiftright", last, (n - m + tau).cast("int"))) == 1)
+    def run(t: Column) -> Column:
+        n, m = t["n"], t["m"]
+
+        def move(s: Column, j: Column) -> Column:
+            match = F.lit(0).cast("long")
+            for i in range(width):
+                match = match.bitwiseOR(F.when(F.get(t["x"], j + (i - tau)) == F.get(t["y"], j), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+
+            def levels(c: Column) -> Column:
+                now, then = ones(n - j + tau), ones(n - j - 1 + tau)  # diagonals with a character of a left, before and after
+                new = []
+                for e in range(tau + 1):
+                    r = s[f"r{e}"].bitwiseAND(c)
+                    if e:
+                        below = s[f"r{e - 1}"]
+                        r = r.bitwiseOR(below.bitwiseAND(now)).bitwiseOR(F.shiftright(below, 1)).bitwiseOR(F.shiftleft(new[e - 1].bitwiseAND(then), 1))
+                    new.append(r.bitwiseAND(full))
+                return F.struct(*[r.alias(f"r{e}") for e, r in enumerate(new)])
+
+            return F.when(s[f"r{tau}"] == 0, s).otherwise(_let(match, levels))
+
+        first = [F.shiftleft(ones(F.least(n, F.lit(e)) + 1), tau).bitwiseAND(full) for e in range(tau + 1)]
+        last = F.aggregate(
+            F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>")),
+            F.struct(*[r.cast("long").alias(f"r{e}") for e, r in enumerate(first)]),
+            move,
+            lambda s: s[f"r{tau}"],
+        )
+        return F.lit(1).cast("long").bitwiseAND(F.call_function("shiftright", last, (n - m + tau).cast("int"))) == 1
+
+    parts = F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"), F.length(a).alias("n"), F.length(b).alias("m"))
+    return F.when(F.abs(F.length(a) - F.length(b)) > tau, False).otherwise(_let(parts, run))
 
 
 def near(a: Column, b: Column, tau: int) -> Column:
     """within(), after the equal beginning and end of the two are cut off."""
-    begin = _common(a, b, "left")
-    return F.aggregate(
-        F.array(begin),
-        F.lit(False),
-        lambda _, p: F.aggregate(
-            F.array(F.struct(F.substr(a, p + 1).alias("x"), F.substr(b, p + 1).alias("y"))),
-            F.lit(False),
-            lambda _, t: F.aggregate(
-                F.array(_common(t["x"], t["y"], "right")),
-                F.lit(False),
-                lambda _, q: within(F.left(t["x"], F.length(t["x"]) - q), F.left(t["y"], F.length(t["y"]) - q), tau),
-            ),
-        ),
-    )
+    tails = lambda p: F.struct(F.substr(a, p + 1).alias("x"), F.substr(b, p + 1).alias("y"))
+    cores = lambda t, q: F.struct(F.left(t["x"], F.length(t["x"]) - q).alias("x"), F.left(t["y"], F.length(t["y"]) - q).alias("y"))
+    short = lambda t: _let(_common(t["x"], t["y"], "right"), lambda q: _let(cores(t, q), lambda c: within(c["x"], c["y"], tau)))
+    return _let(_common(a, b, "left"), lambda p: _let(tails(p), short))
 
 
 def line_links(lines: DataFrame, tau: int = TAU, least: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
