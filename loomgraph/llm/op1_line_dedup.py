@@ -50,35 +50,30 @@ def texts_of(lines: DataFrame) -> DataFrame:
     return lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "line_no")).alias("first"))
 
 
-def _starts(n: Column, tau: int) -> list[tuple[Column, Column]]:
-    """(start, length) of each segment of a text of n characters."""
-    k = tau + 1
-    out, at = [], F.lit(0)
-    for i in range(k):
-        size = F.floor((n + i) / k).cast("int")
-        out.append((at, size))
-        at = at + size
-    return out
-
+def _keys(lines: DataFrame, tau: int, least: int, probes: list[tuple[int, int, int]]) -> DataFrame:
+    """h and a key for each (how much shorter the indexed text is, segment number, move) of probes.
 
-def _key(n: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(n.cast("int"), F.lit(i), part)
+    The list is exploded first and one expression then makes the key: one expression a probe would be a
+    method so large that compiling it takes an executor more than a gigabyte.
+    """
+    k = tau + 1
+    plan = F.array(*[F.struct(F.lit(d).alias("shorter"), F.lit(i).alias("i"), F.lit(v).alias("move")) for d, i, v in probes])
+    rows = lines.select("h", "line", F.length("line").alias("chars"), F.explode(plan).alias("p")).select("h", "line", (F.col("chars") - F.col("p.shorter")).alias("n"), F.col("p.i").alias("i"), F.col("p.move").alias("move"))
+    each, more = F.floor(F.col("n") / k), F.col("n") % k  # the last `more` of the k segments are one longer
+    at = F.col("i") * each + F.greatest(F.lit(0), F.col("i") - k + more)
+    size = each + F.when(F.col("i") >= k - more, 1).otherwise(0)
+    part = F.substr("line", (at + F.col("move") + 1).cast("int"), size.cast("int"))
+    return rows.where(F.col("n") >= least).select("h", F.xxhash64("n", "i", part).alias("key"))
 
 
-def index_keys(lines: DataFrame, tau: int) -> DataFrame:
-    n = F.length("line")
-    keys = [_key(n, i, F.substring("line", at + 1, size)) for i, (at, size) in enumerate(_starts(n, tau))]
-    return lines.select("h", F.explode(F.array(*keys)).alias("key"))
+def index_keys(lines: DataFrame, tau: int, least: int) -> DataFrame:
+    return _keys(lines, tau, least, [(0, i, 0) for i in range(tau + 1)])
 
 
 def probe_keys(lines: DataFrame, tau: int, least: int) -> DataFrame:
-    n, keys = F.length("line"), []
-    for shorter in range(tau + 1):
-        m = n - shorter
-        for i, (at, size) in enumerate(_starts(m, tau)):
-            for move in range(max(-i, shorter - (tau - i)), min(i, shorter + tau - i) + 1):
-                keys.append(F.when(m >= least, _key(m, i, F.substring("line", at + move + 1, size))))
-    return lines.select("h", F.explode(F.array(*keys)).alias("key")).where("key is not null")
+    """Segment i of a text d shorter can have moved by what i edits to its left and tau - i to its right allow."""
+    moves = lambda d, i: range(max(-i, d - (tau - i)), min(i, d + tau - i) + 1)
+    return _keys(lines, tau, least, [(d, i, v) for d in range(tau + 1) for i in range(tau + 1) for v in moves(d, i)])
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -155,7 +150,7 @@ def near(a: Column, b: Column, tau: int) -> Column:
 def line_links(lines: DataFrame, tau: int = TAU, least: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
     """h, h2, other_h, other_h2 for all pairs of different texts within tau edits, in both directions."""
     long_ones = lines.where(F.length("line") >= least)
-    index = index_keys(long_ones, tau)
+    index = index_keys(long_ones, tau, least)
     held = index.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
     met = probe_keys(long_ones, tau, least).join(held, "key").where("low <> h or high <> h").select("key", "h").distinct()
     met = stored(met, "met")
