@@ -39,7 +39,7 @@ def signatures(docs: DataFrame, text: str, out: str, chain: int = CHAIN) -> Data
     """Adds out: the sorted distinct signatures of the text column."""
     common = lambda w: w.isin(*sorted(set(ANCHORS)))
     w, c, m, a = "__words", "__content", "__marks", "__anchored"
-    hashed = lambda first, rest: F.hash(first, *rest).cast("long").bitwiseAND(0xFFFFFFFF)
+    hashed = lambda first, rest: F.hash(first, *rest)
     after = lambda words, at: [F.get(words, at + k) for k in range(chain)]
     df = docs.withColumn(w, F.filter(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}]+"), lambda x: x != ""))
     marked = F.transform(w, lambda x, i: F.when(common(x), F.struct(x.alias("w"), i.alias("i"))))
@@ -47,12 +47,13 @@ def signatures(docs: DataFrame, text: str, out: str, chain: int = CHAIN) -> Data
     # the i-th word overall that is the j-th anchor has i - j content words before it
     df = df.withColumn(a, F.transform(m, lambda x, j: F.when(x["i"] - j < F.size(c), hashed(x["w"], after(F.col(c), x["i"] - j)))))
     every = F.transform(w, lambda x, i: hashed(x, after(F.col(w), i + 1)))
-    found = F.when(F.size(F.array_compact(a)) > 0, F.array_compact(a)).otherwise(every)
-    return df.withColumn(out, F.sort_array(F.array_distinct(found)).cast("array<bigint>")).drop(w, c, m, a)
+    df = df.withColumn(a, F.filter(a, lambda x: x.isNotNull()))  # not array_compact(), whose plans are never equal, so that shuffles aren't shared
+    found = F.when(F.size(a) > 0, F.col(a)).otherwise(every)
+    return df.withColumn(out, F.sort_array(F.array_distinct(found))).drop(w, c, m, a)
 
 
 def as_text(sigs: Column | str) -> Column:
-    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"))), "")
 
 
 def likeness(a: str, b: str, at_least: float = 0.0) -> Column:
@@ -89,10 +90,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     keys = plain.select("id", "h", F.floor(F.length("text") / 2).cast("int").alias("need")).groupBy("id", "h").agg(F.max("need").alias("need"))
     order = stored(next_keys(keys), "next")
     full = signatures(plain, "text", "sigs").select("id", "h", "text", "sigs")
-    once = full.withColumn("__n", F.row_number().over(Window.partitionBy("id", "h").orderBy("id"))).where("__n = 1")
-    nexts = once.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("next_text"), F.col("sigs").alias("next_sigs"))
+    # the same four columns, renamed, on both sides, so that the plans are equal and one shuffle of the texts serves both joins
+    own = full.select(F.col("id").alias("own_id"), F.col("h").alias("own_h"), F.col("text").alias("own_text"), F.col("sigs").alias("own_sigs"))
+    nexts = full.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("next_text"), F.col("sigs").alias("next_sigs"))
     heads = order.join(nexts.hint("merge"), ["next_id", "next_h"]).select("id", "h", F.expr("left(next_text, need)").alias("next_head"), "next_sigs")
-    return full.join(heads.hint("merge"), ["id", "h"]).select(F.when(F.col("id") != none, F.col("id")).alias("doc_id"), "text", "sigs", "next_head", "next_sigs")
+    heads = heads.groupBy("id", "h").agg(F.first("next_head").alias("next_head"), F.first("next_sigs").alias("next_sigs"))  # the next may be a repeated row
+    joined = own.join(heads.hint("merge"), (F.col("own_id") == F.col("id")) & (F.col("own_h") == F.col("h")))
+    return joined.select(F.when(F.col("own_id") != none, F.col("own_id")).alias("doc_id"), F.col("own_text").alias("text"), F.col("own_sigs").alias("sigs"), "next_head", "next_sigs")
 
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
