@@ -35,7 +35,7 @@ SCALE = 8.0
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 THRESHOLD = 0.3
-DOCS_AT_ONCE = 2048
+DOCS_AT_ONCE = 512
 ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 

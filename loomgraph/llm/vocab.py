@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS, CACHE_CORES = 1_500_000, 300_000  # entries; then the cache starts anew, so that memory stays bounded
+CACHE_CORES = 300_000  # entries; then the cache starts anew, so that memory stays bounded
 LONG_WORD = 48  # characters; longer words are encoded but not kept
 
 #: Where this is found in a text, the cuts are not certain: runs of blanks, blanks beside line ends or at
@@ -41,6 +41,8 @@ class Encoder:
 
     BLANK = ""  # what a word after a blank begins with
 
+    WORDS = 700_000  # entries of the cache of words
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -113,7 +115,7 @@ class Encoder:
         keys = coded.dictionary.to_pylist()
         found = list(map(self.cache.get, keys))
         if missing := [k for k, x in zip(keys, found, strict=True) if x is None]:
-            if len(self.cache) + len(missing) > CACHE_WORDS:
+            if len(self.cache) + len(missing) > self.WORDS:
                 self.cache.clear()
             self.learn(missing)
             found = [self.cache[k] if x is None else x for k, x in zip(keys, found, strict=True)]
@@ -132,6 +134,7 @@ class ByteEncoder(Encoder):
     """Byte-level pairs: a blank belongs to the word after it, a line end stands alone."""
 
     BLANK = " "
+    WORDS = 1_500_000
 
     def starts(self, ids: np.ndarray) -> np.ndarray:
         return np.flatnonzero(self.edge("Ġ", "")[ids])  # the byte of a blank opens a token
