@@ -2,5 +2,470 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.operators import joins, ledger, search, stats, traverse, trust
+from loomgraph.sources.fixtures import base, fixture, oracle
+from loomgraph.streaming import changes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function of a lookup for tables; sql names derived tables as <name>."""
+
+    def add(f: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            def t(name: str) -> DataFrame:
+                try:
+                    return fixture(spark, sf_dir, name)
+                except KeyError:
+                    return base(spark, sf_dir, name)
+
+            return f(t)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = oracle(sql)
+        return f
+
+    return add
+
+
+DEGREE = """WITH o AS (SELECT src AS id, count(*) AS n FROM <edges> GROUP BY src), i AS (SELECT dst AS id, count(*) AS n FROM <edges> GROUP BY dst),
+d AS (SELECT nodes.id, kind, cast(coalesce(o.n, 0) AS bigint) AS out_degree, cast(coalesce(i.n, 0) AS bigint) AS in_degree, cast(coalesce(o.n, 0) + coalesce(i.n, 0) AS bigint) AS total_degree
+  FROM <nodes> nodes LEFT JOIN o ON o.id = nodes.id LEFT JOIN i ON i.id = nodes.id)"""
+
+
+@query(DEGREE + """, s AS (SELECT avg(total_degree) AS mean, stddev_pop(total_degree) AS dev, count(*) AS n FROM d)
+SELECT id, kind, total_degree, round((total_degree - mean) / dev, 2) AS z_score,
+  CASE WHEN total_degree >= mean + 3 * dev THEN 'CRITICAL' WHEN total_degree >= mean + 2 * dev THEN 'HIGH' ELSE 'MEDIUM' END AS risk
+FROM d, s WHERE n >= 3 AND total_degree >= greatest(4.0, mean + 1.5 * dev)""")
+def hub_nodes(t):
+    return stats.hubs(t("nodes"), t("edges"))
+
+
+@query(DEGREE + " SELECT id, out_degree, in_degree, total_degree FROM d")
+def degree_table(t):
+    return stats.degrees(t("nodes").select("id"), t("edges"))
+
+
+@query(DEGREE + " SELECT id, out_degree, in_degree, total_degree FROM d ORDER BY total_degree DESC, id LIMIT 50")
+def top_degree_nodes(t):
+    return stats.top_degree(t("nodes"), t("edges"))
+
+
+@query("""SELECT n.c AS node_count, e.c AS edge_count, f AS file_count, n.c - f AS symbol_count, round(e.c / (n.c * (n.c - 1)), 6) AS density, round(2 * e.c / n.c, 2) AS average_degree
+FROM (SELECT count(*) AS c, count(*) FILTER (kind = 'file') AS f FROM <nodes>) n, (SELECT count(*) AS c FROM <edges>) e""")
+def graph_metrics(t):
+    return stats.graph_metrics(t("nodes"), t("edges"))
+
+
+@query("SELECT kind, path, count(*) AS n, min(line_start) AS first_line FROM <nodes> GROUP BY kind, path")
+def kind_path_counts(t):
+    return t("nodes").groupBy("kind", "path").agg(F.count(F.lit(1)).alias("n"), F.min("line_start").alias("first_line"))
+
+
+RESOLVED = """WITH m AS (SELECT DISTINCT module FROM <symbols>), bm AS (SELECT symbol, module, count(*) AS n, min(id) AS id FROM <symbols> GROUP BY symbol, module),
+bs AS (SELECT symbol, count(*) AS n, min(id) AS id FROM <symbols> GROUP BY symbol),
+x AS (SELECT p.*, p.import_source IS NOT NULL AND m.module IS NULL AS external, CASE WHEN p.import_source IS NULL THEN coalesce(bs.n, 0) ELSE coalesce(bm.n, 0) END AS n,
+  CASE WHEN p.import_source IS NULL THEN bs.id ELSE bm.id END AS cand FROM <pending> p LEFT JOIN m ON m.module = p.import_source
+  LEFT JOIN bm ON bm.symbol = p.dst_symbol AND bm.module = p.import_source LEFT JOIN bs ON bs.symbol = p.dst_symbol),
+r AS (SELECT src, dst_symbol, import_source, CASE WHEN external THEN 'EXTERNAL' WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS state,
+  CASE WHEN NOT external AND n = 1 THEN cand END AS target FROM x)"""
+
+
+@query(RESOLVED + " SELECT * FROM r")
+def pending_resolution_tiers(t):
+    return joins.resolve_pending(t("pending"), t("symbols"))
+
+
+@query(RESOLVED + " SELECT state, import_source, count(*) AS n, cast(grouping(state) AS int) AS g_state FROM r GROUP BY GROUPING SETS ((state), (import_source))")
+def pending_state_grouping_sets(t):
+    r = joins.resolve_pending(t("pending"), t("symbols"))
+    return r.groupingSets([[F.col("state")], [F.col("import_source")]], "state", "import_source").agg(F.count(F.lit(1)).alias("n"), F.grouping("state").cast("int").alias("g_state"))
+
+
+@query("""SELECT e.dst AS target, e.src AS caller, n.path, n.kind, count(*) AS uses, min(e.line) AS first_line FROM <edges> e JOIN <nodes> n ON n.id = e.src
+WHERE e.relation <> 'defines' AND e.dst IN (SELECT id FROM <nodes> WHERE kind = 'class') GROUP BY e.dst, e.src, n.path, n.kind""")
+def usages_by_caller(t):
+    return joins.usages(t("nodes"), t("edges"), t("nodes").where("kind = 'class'"))
+
+
+@query("SELECT dst AS base, count(*) AS derived, min(src) AS first_derived, max(src) AS last_derived FROM <edges> WHERE relation IN ('extends', 'implements') GROUP BY dst")
+def inheritance_edges(t):
+    return joins.inheritance(t("edges"))
+
+
+@query("""WITH k AS (SELECT id FROM <nodes> WHERE NOT (kind = 'class' AND line_start % 7 = 0)) SELECT src, dst, relation, line FROM <edges> e
+WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.id = e.src) OR NOT EXISTS (SELECT 1 FROM k WHERE k.id = e.dst)""")
+def orphan_edges_anti(t):
+    return joins.orphan_edges(t("nodes").where("not (kind = 'class' and line_start % 7 = 0)"), t("edges"))
+
+
+@query("""SELECT coalesce(j.path, d.path) AS path, CASE WHEN d.path IS NULL THEN 'missing' WHEN j.path IS NULL THEN 'unrecorded' WHEN j.digest <> d.digest THEN 'hash_mismatch' ELSE 'mtime_size_mismatch' END AS state
+FROM <journal> j FULL OUTER JOIN <disk> d ON j.path = d.path WHERE j.path IS NULL OR d.path IS NULL OR j.digest <> d.digest OR j.size <> d.size""")
+def journal_drift_full_outer(t):
+    return joins.drift(t("journal"), t("disk"))
+
+
+STATES = """WITH s AS (SELECT coalesce(j.path, d.path) AS path, CASE WHEN concat('/', coalesce(j.path, d.path), '/') LIKE '%/vendor/%' THEN 'EXCLUDED' WHEN j.path IS NULL THEN 'NOT_INDEXED' WHEN d.path IS NULL THEN 'MISSING'
+  WHEN j.digest <> d.digest THEN 'STALE' WHEN parser_outcome = 'PARTIAL_AST' THEN 'PARSER_PARTIAL' WHEN parser_outcome = 'PARSE_ERROR' THEN 'PARSER_FAILED' WHEN parser_outcome = 'VALID_EMPTY' THEN 'INDEXED' ELSE 'PARSED' END AS state
+  FROM <journal> j FULL OUTER JOIN <disk> d ON j.path = d.path)"""
+
+
+@query(STATES + " SELECT * FROM s")
+def coverage_states(t):
+    return joins.coverage_states(t("journal"), t("disk"))
+
+
+@query(STATES + """ SELECT count(*) FILTER (state <> 'EXCLUDED') AS eligible, count(*) FILTER (state IN ('INDEXED', 'PARSED')) AS covered,
+  round(count(*) FILTER (state IN ('INDEXED', 'PARSED')) / nullif(count(*) FILTER (state <> 'EXCLUDED'), 0), 6) AS fraction FROM s""")
+def covered_fraction(t):
+    return joins.covered_fraction(joins.coverage_states(t("journal"), t("disk")))
+
+
+@query("""SELECT concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) AS scope, sha256(string_agg(concat(path, ':', digest, chr(10)), '' ORDER BY path, digest)) AS digest
+FROM <journal> GROUP BY 1""")
+def manifest_digest(t):
+    return joins.manifest_digest(t("journal"))
+
+
+@query("""SELECT n.id, n.path, count(*) AS hits, min(h.line_start) AS first_line, max(h.line_end) AS last_line FROM <hunks> h JOIN <nodes> n
+ON h.path = n.path AND n.line_start <= h.line_end AND n.line_end >= h.line_start GROUP BY n.id, n.path""")
+def hunk_node_interval_join(t):
+    return joins.hunks_to_nodes(t("hunks"), t("nodes"))
+
+
+@query("""WITH r AS (SELECT event_id, path, line_start AS line FROM <hunks>), d AS (SELECT * FROM <nodes> WHERE kind = 'class'),
+b AS (SELECT r.event_id, max(struct_pack(l := d.line_start, i := d.id, e := d.line_end)) AS m FROM r JOIN d ON r.path = d.path AND d.line_start <= r.line GROUP BY r.event_id)
+SELECT r.event_id, r.path, r.line, CASE WHEN b.m.e >= r.line THEN b.m.i END AS definition FROM r LEFT JOIN b ON b.event_id = r.event_id""")
+def nearest_definition_asof(t):
+    return joins.enclosing_definition(t("hunks").select("event_id", "path", F.col("line_start").alias("line")), t("nodes").where("kind = 'class'"))
+
+
+@query("""WITH c AS (SELECT id FROM <nodes> WHERE kind = 'class' AND line_start % 100 = 1), t AS (SELECT id, path FROM <nodes> WHERE kind = 'method' AND line_start % 50 = 1)
+SELECT t.id, t.path, count(*) AS edges, count(DISTINCT e.relation) AS relations FROM <edges> e JOIN c ON e.dst = c.id JOIN t ON t.id = e.src GROUP BY t.id, t.path""")
+def impacted_tests(t):
+    n = t("nodes")
+    changed, tests = n.where("kind = 'class' and line_start % 100 = 1").select(F.col("id").alias("dst")), n.where("kind = 'method' and line_start % 50 = 1").select(F.col("id").alias("src"), "path")
+    return t("edges").join(changed, "dst").join(tests, "src").groupBy(F.col("src").alias("id"), "path").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("relation").alias("relations"))
+
+
+@query("""WITH d AS (SELECT id FROM <nodes> WHERE kind = 'class' AND line_start % 200 = 1), p AS (SELECT DISTINCT path FROM <hunks> WHERE event_id % 100 = 0),
+x AS (SELECT b.id, 0 AS prio FROM <nodes> b JOIN d ON d.id = b.id WHERE b.kind <> 'file' UNION ALL SELECT e.src, 1 FROM <edges> e JOIN d ON e.dst = d.id WHERE e.relation <> 'defines'
+  UNION ALL SELECT n.id, 2 FROM <nodes> n JOIN p ON p.path = n.path WHERE n.kind = 'class')
+SELECT id, cast(min(prio) AS int) AS prio, count(*) AS ways FROM x GROUP BY id""")
+def api_or_join(t):
+    n = t("nodes")
+    d = n.where("kind = 'class' and line_start % 200 = 1").select("id")
+    direct = n.where("kind <> 'file'").join(d, "id", "left_semi").select("id", F.lit(0).alias("prio"))
+    caller = t("edges").where("relation <> 'defines'").join(d.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), F.lit(1).alias("prio"))
+    file = n.where("kind = 'class'").join(t("hunks").where("event_id % 100 = 0").select("path").distinct(), "path").select("id", F.lit(2).alias("prio"))
+    return direct.unionByName(caller).unionByName(file).groupBy("id").agg(F.min("prio").alias("prio"), F.count(F.lit(1)).alias("ways"))
+
+
+@query("""WITH x AS (SELECT e.evidence_id, e.provider, e.src, e.run_id, r.created_at FROM <evidence> e JOIN <runs> r ON r.run_id = e.run_id), l AS (SELECT provider, src, arg_max(run_id, struct_pack(c := created_at, r := run_id)) AS latest FROM x GROUP BY provider, src)
+SELECT evidence_id, x.provider, x.src, run_id, CASE WHEN latest <> run_id THEN latest END AS superseded_by FROM x JOIN l ON l.provider = x.provider AND l.src = x.src""")
+def evidence_supersede(t):
+    return ledger.supersede(t("evidence"), t("runs"))
+
+
+@query("""WITH g AS (SELECT lower(src) AS src, lower(dst) AS dst, upper(relation) AS relation, snapshot, count(DISTINCT provider) AS providers, count(DISTINCT span_line) AS spans, min(span_line) AS first_span
+  FROM <evidence> e WHERE e.run_id IN (SELECT run_id FROM <runs> WHERE status = 'ok') GROUP BY 1, 2, 3, 4)
+SELECT *, CASE WHEN snapshot IS NULL THEN 'UNBOUND' WHEN spans > 1 THEN 'CONFLICT' WHEN spans = 1 THEN 'SUPPORTED' ELSE 'UNVERIFIED' END AS verdict FROM g""")
+def evidence_union_verdict(t):
+    return ledger.union_verdicts(t("evidence"), t("runs"))
+
+
+@query("SELECT run_id, provider, created_at, status FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY created_at DESC, run_id DESC) AS n FROM <runs>) WHERE n <= 10")
+def retention_keep_n(t):
+    return ledger.keep_newest(t("runs"))
+
+
+@query("SELECT provider, arg_max(status, struct_pack(c := created_at, r := run_id)) AS status, max(created_at) AS created_at FROM <runs> GROUP BY provider")
+def latest_status_per_capability(t):
+    return ledger.latest_status(t("runs"))
+
+
+@query("""WITH b AS (SELECT src, dst, relation, min(line) AS bl FROM <edges> WHERE relation = 'calls' GROUP BY 1, 2, 3), e AS (SELECT src, dst, relation, min(span_line) AS el FROM <evidence> GROUP BY 1, 2, 3),
+x AS (SELECT coalesce(b.src, e.src) AS src, coalesce(b.dst, e.dst) AS dst, coalesce(b.relation, e.relation) AS relation, bl, el FROM b FULL OUTER JOIN e ON b.src = e.src AND b.dst = e.dst AND b.relation = e.relation)
+SELECT src, dst, relation, CASE WHEN bl IS NOT NULL AND el IS NOT NULL THEN CASE WHEN abs(bl - el) > 2 THEN 'span_conflict' ELSE 'agreement' END
+  WHEN count(bl) OVER (PARTITION BY src, dst) > 0 AND count(el) OVER (PARTITION BY src, dst) > 0 THEN 'relation_conflict' WHEN bl IS NOT NULL THEN 'builtin_only' ELSE 'external_only' END AS bucket FROM x""")
+def cross_check_buckets(t):
+    return ledger.cross_check(t("edges").where("relation = 'calls'"), t("evidence").withColumnRenamed("span_line", "line"))
+
+
+@query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_.\\-/]{3,}')) AS l FROM documents)
+SELECT doc_id, cast(len(list_filter(l, lambda x: x NOT IN ('the', 'and', 'for', 'with', 'this', 'that', 'from', 'are', 'was', 'not'))) AS int) AS n_tokens FROM t""")
+def search_tokens(t):
+    return t("documents").select("doc_id", F.size(search.tokens("text")).alias("n_tokens"))
+
+
+@query("""WITH w AS (SELECT p_partkey, regexp_split_to_array(lower(p_name), '[^a-z0-9]+') AS l FROM part) SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_concat(l, list_transform(range(1, len(l)), lambda i: concat(l[i], '_', l[i + 1]))), lambda x: len(x) >= 2))), ' ') AS keywords FROM w""")
+def keyword_decompose(t):
+    w = F.split(F.lower("p_name"), "[^a-z0-9]+")
+    pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit("_"), b))
+    return t("part").select("p_partkey", F.array_join(F.sort_array(F.array_distinct(F.filter(F.concat(w, pairs), lambda x: F.length(x) >= 2))), " ").alias("keywords"))
+
+
+TERMS = ["thin", "reso"]
+_W = "regexp_extract_all(lower(text), '[a-z0-9_.-]+')"
+BM25 = f"""WITH w AS (SELECT doc_id, {_W} AS w FROM documents), p AS (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: starts_with(x, 'thin'))) AS tf0, len(list_filter(w, lambda x: starts_with(x, 'reso'))) AS tf1 FROM w),
+s AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM p),
+b AS (SELECT doc_id, round(ln((n - df0 + 0.5) / (df0 + 0.5) + 1) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / a)) + ln((n - df1 + 0.5) / (df1 + 0.5) + 1) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / a)), 6) AS score FROM p, s WHERE tf0 > 0 OR tf1 > 0)"""
+
+
+@query(BM25 + " SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 30")
+def bm25_search(t):
+    return search.bm25(t("documents"), "doc_id", "text", TERMS, 30)
+
+
+@query(BM25 + """, h AS (SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 30) SELECT h.doc_id, score, cast(CASE WHEN source LIKE '%1%' THEN 0 ELSE 1 END AS int) AS bucket FROM h JOIN documents d ON d.doc_id = h.doc_id
+ORDER BY bucket, score DESC, h.doc_id LIMIT 10""")
+def search_rerank(t):
+    hits = search.bm25(t("documents"), "doc_id", "text", TERMS, 30).join(t("documents").select("doc_id", "source"), "doc_id")
+    return search.rerank(hits, "source", ["1"], "doc_id", 10).select("doc_id", "score", "bucket")
+
+
+@query("SELECT doc_id, round((cast(contains(lower(text), 'thin') AS int) + cast(contains(lower(text), 'reso') AS int) + cast(contains(lower(text), 'zzzz') AS int)) / 3, 4) AS coverage FROM documents")
+def query_coverage(t):
+    return search.query_coverage(t("documents"), "doc_id", "text", ["thin", "reso", "zzzz"])
+
+
+@query("""WITH t AS (SELECT item_id, sha256(unnest(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS s FROM benchmark), v AS (SELECT item_id, cast(concat('0x', substr(s, 1, 8)) AS bigint) % 256 AS idx,
+  sum(CASE WHEN cast(concat('0x', substr(s, 9, 1)) AS int) % 2 = 0 THEN 1 ELSE -1 END) AS weight FROM t GROUP BY 1, 2) SELECT item_id, idx, cast(weight AS bigint) AS weight FROM v WHERE weight <> 0""")
+def hash_embed(t):
+    return search.hash_embed(t("benchmark"), "item_id", "text")
+
+
+KNN = """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 5), x AS (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, 65), lambda i: cast(e[i] AS double) * cast(embedding[i] AS double))), 5) AS similarity
+  FROM embeddings, q WHERE vec_id <> query_id), k AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS int) AS rank FROM x)"""
+
+
+@query(KNN + " SELECT * FROM k WHERE rank <= 10")
+def knn_cosine(t):
+    return search.nearest(t("embeddings"), t("embeddings").where("vec_id < 5"), 10)
+
+
+@query(BM25 + ", " + KNN[5:] + """, l AS (SELECT doc_id, cast(row_number() OVER (ORDER BY score DESC, doc_id) AS int) AS rank FROM (SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 30) UNION ALL SELECT vec_id, rank FROM k WHERE rank <= 20 AND query_id = 0)
+SELECT doc_id, round(sum(1 / (60 + rank)), 6) AS score, count(*) AS legs FROM l GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""")
+def rrf_hybrid(t):
+    from pyspark.sql import Window
+
+    text = search.bm25(t("documents"), "doc_id", "text", TERMS, 30).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # 30 rows
+    vector = search.nearest(t("embeddings"), t("embeddings").where("vec_id = 0"), 20).select(F.col("vec_id").alias("doc_id"), "rank")
+    return search.fuse([text, vector], "doc_id", 20)
+
+
+@query("""WITH b AS (SELECT src AS a, dst AS id, relation FROM <edges> WHERE relation <> 'defines' UNION ALL SELECT dst, src, concat('used_by (', relation, ')') FROM <edges> WHERE relation <> 'defines'),
+one AS (SELECT id, relation FROM b WHERE a = 'sup:1' AND id <> 'sup:1'), f AS (SELECT DISTINCT id FROM one),
+two AS (SELECT b.id, b.relation, b.a AS via FROM b JOIN f ON f.id = b.a WHERE b.id <> 'sup:1')
+SELECT cast(1 AS int) AS depth, id, relation, cast(NULL AS varchar) AS via FROM one UNION ALL SELECT 2, id, relation, via FROM two""")
+def explore_bfs(t):
+    return traverse.explore(t("edges"), "sup:1", 2)
+
+
+@query("""WITH e AS (SELECT DISTINCT src, dst FROM <edges> WHERE relation IN ('calls', 'extends', 'implements', 'uses', 'imports')), s AS (SELECT id FROM <nodes> WHERE id IN ('sup:1', 'cust:2', 'part:3')),
+d1 AS (SELECT src AS id, min(dst) AS via FROM e WHERE dst IN (SELECT id FROM s) AND src NOT IN (SELECT id FROM s) GROUP BY src),
+d2 AS (SELECT src AS id, min(dst) AS via FROM e WHERE dst IN (SELECT id FROM d1) AND src NOT IN (SELECT id FROM s) AND src NOT IN (SELECT id FROM d1) GROUP BY src)
+SELECT id, cast(1 AS int) AS depth, via FROM d1 UNION ALL SELECT id, 2, via FROM d2""")
+def reverse_impact_bfs(t):
+    return traverse.reverse_impact(t("edges"), t("nodes").where("id in ('sup:1', 'cust:2', 'part:3')"), 2)
+
+
+@query("""WITH b AS (SELECT DISTINCT src AS a, dst AS id FROM (SELECT src, dst FROM <steps> UNION ALL SELECT dst, src FROM <steps>) WHERE src <> dst), s AS (SELECT DISTINCT id AS a FROM b WHERE id LIKE 'part:%7'),
+r AS (SELECT a, id FROM b WHERE a IN (SELECT a FROM s) UNION SELECT s.a, c.id FROM s JOIN b ON b.a = s.a JOIN b c ON c.a = b.id)
+SELECT a AS id, count(*) FILTER (id <> a) AS blast FROM r GROUP BY a""")
+def blast_radius_2hop(t):
+    e = t("steps")
+    ends = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().where("id like 'part:%7'")
+    return traverse.neighbourhood(e, ends, 2)
+
+
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT src AS id FROM <steps> UNION SELECT DISTINCT dst FROM <steps>), b AS (SELECT src AS a, dst AS id FROM <steps> UNION SELECT dst, src FROM <steps>),
+r(id, c) AS (SELECT id, id FROM n UNION SELECT b.id, r.c FROM r JOIN b ON b.a = r.id WHERE r.c < b.id) SELECT id, min(c) AS component FROM r GROUP BY id""")
+def connected_components(t):
+    e = t("steps")
+    return traverse.connected(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e)
+
+
+def _ranks(personal: bool) -> str:
+    base_sql = "CASE WHEN id IN ('part:1', 'part:2') THEN 0.5 ELSE 0.0 END" if personal else "1.0 / c"
+    return f"""WITH RECURSIVE n AS (SELECT DISTINCT src AS id FROM <steps> UNION SELECT DISTINCT dst FROM <steps> UNION SELECT 'part:1' UNION SELECT 'part:2'), k AS (SELECT count(*) AS c FROM n),
+o AS (SELECT src, count(*) AS d FROM <steps> GROUP BY src), z AS (SELECT id, {base_sql} AS base, o.d FROM n CROSS JOIN k LEFT JOIN o ON o.src = n.id),
+r(i, id, rank) AS (SELECT 0, id, cast(base AS double) FROM z UNION ALL
+  SELECT i, id, 0.15 * base + 0.85 * loose / c + 0.85 * coalesce(got, 0) FROM (SELECT cur.i + 1 AS i, z.id, z.base, k.c, (SELECT coalesce(sum(r.rank), 0) FROM r JOIN z y ON y.id = r.id WHERE y.d IS NULL) AS loose,
+    (SELECT sum(r.rank / y.d) FROM r JOIN z y ON y.id = r.id JOIN <steps> s ON s.src = r.id WHERE s.dst = z.id) AS got FROM z, k, (SELECT max(i) AS i FROM r) cur WHERE cur.i < 8) q)
+SELECT id, round(rank, 8) AS rank FROM r WHERE i = 8"""
+
+
+@query(_ranks(False))
+def pagerank(t):
+    e = t("steps")
+    more = e.sparkSession.createDataFrame([("part:1",), ("part:2",)], "id string")
+    return traverse.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")).union(more).distinct(), e, rounds=8)
+
+
+@query(_ranks(True))
+def personalised_pagerank(t):
+    e = t("steps")
+    start = e.sparkSession.createDataFrame([("part:1", 1.0), ("part:2", 1.0)], "id string, weight double")
+    return traverse.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")).union(start.select("id")).distinct(), e, start, rounds=8)
+
+
+_MEMBER = "m AS (SELECT id, path AS community FROM <nodes>)"
+
+
+def _member(t):
+    return t("nodes").select("id", F.col("path").alias("community"))
+
+
+@query(f"""WITH {_MEMBER}, x AS (SELECT a.community AS ca, b.community AS cb FROM <edges> e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.dst), t AS (SELECT count(*) AS m FROM x),
+d AS (SELECT c, sum(i) AS i, count(*) - sum(h) AS d FROM (SELECT ca AS c, CASE WHEN ca = cb THEN 1 ELSE 0 END AS i, 0 AS h FROM x UNION ALL SELECT cb, 0, 0 FROM x) GROUP BY c)
+SELECT round(sum(i / m - power(d / (2 * m), 2)), 4) AS modularity FROM d, t""")
+def modularity_by_label(t):
+    return stats.modularity(t("edges"), _member(t))
+
+
+@query(f"""WITH {_MEMBER}, x AS (SELECT a.community AS c, count(*) FILTER (a.community = b.community) AS i, count(*) FILTER (a.community IS DISTINCT FROM b.community) AS o FROM <edges> e JOIN m a ON a.id = e.src LEFT JOIN m b ON b.id = e.dst GROUP BY 1)
+SELECT k.community, coalesce(i, 0) AS inner_edges, coalesce(o, 0) AS outer_edges, CASE WHEN coalesce(i + o, 0) = 0 THEN 1.0 ELSE round(i / (i + o), 3) END AS cohesion FROM (SELECT DISTINCT community FROM m) k LEFT JOIN x ON x.c = k.community""")
+def community_cohesion(t):
+    return stats.cohesion(t("edges"), _member(t))
+
+
+@query(f"""WITH {_MEMBER}, x AS (SELECT least(a.community, b.community) AS low, greatest(a.community, b.community) AS high, e.src, e.dst, e.relation FROM <edges> e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.dst WHERE a.community <> b.community)
+SELECT low, high, n, src, dst, relation, weight FROM (SELECT *, cast(row_number() OVER (PARTITION BY low, high ORDER BY src, dst, relation) AS int) AS n, count(*) OVER (PARTITION BY low, high) AS weight FROM x) WHERE n <= 3""")
+def cross_community_top3(t):
+    return stats.cross_community(t("edges"), _member(t))
+
+
+@query()
+def label_propagation(t):
+    e = t("steps")
+    return traverse.label_propagation(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e, 5)
+
+
+_LAYER = "CASE WHEN regexp_matches({p}, '(^|/)(api|web|ui|routes?|controllers?)(/|$)') THEN 'INTERFACE' WHEN regexp_matches({p}, '(^|/)(db|models?|repositor(y|ies)|store|lib)(/|$)') THEN 'DATA' WHEN regexp_matches({p}, '(^|/)(src|core|services?|domain)(/|$)') THEN 'DOMAIN' ELSE 'UNKNOWN' END"
+
+
+@query(f"SELECT id, {_LAYER.format(p='path')} AS layer FROM <nodes>")
+def layer_classify(t):
+    return t("nodes").select("id", trust.layer(F.col("path")).alias("layer"))
+
+
+@query(f"""WITH l AS (SELECT id, CASE WHEN kind = 'method' THEN concat('api/', path) ELSE path END AS path FROM <nodes>), k AS (SELECT id, path, {_LAYER.format(p='path')} AS layer FROM l)
+SELECT DISTINCT a.path AS from_path, b.path AS to_path, CASE WHEN a.layer = 'INTERFACE' THEN 'LAYER_BYPASS' ELSE 'INVERTED_DEPENDENCY' END AS violation FROM <edges> e JOIN k a ON a.id = e.src JOIN k b ON b.id = e.dst
+WHERE (a.layer = 'DATA' AND b.layer IN ('DOMAIN', 'INTERFACE')) OR (a.layer = 'DOMAIN' AND b.layer = 'INTERFACE') OR (a.layer = 'INTERFACE' AND b.layer = 'DATA')""")
+def layer_violations(t):
+    nodes = t("nodes").withColumn("path", F.when(F.col("kind") == "method", F.concat(F.lit("api/"), "path")).otherwise(F.col("path")))
+    return trust.layer_violations(nodes, t("edges"))
+
+
+@query("""SELECT split_part(path, '/', 2) AS domain, count(*) AS symbols, count(DISTINCT path) AS files, count(*) FILTER (kind = 'class') AS classes, min(symbol) AS sample FROM <nodes> GROUP BY 1""")
+def domain_aggregate(t):
+    return t("nodes").groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("domain")).agg(
+        F.count(F.lit(1)).alias("symbols"), F.count_distinct("path").alias("files"), F.count_if(F.col("kind") == "class").alias("classes"), F.min("symbol").alias("sample")
+    )
+
+
+@query("""WITH c AS (SELECT cast(cast(o_orderdate AS date) AS string) AS commit_id, count(DISTINCT l_partkey) AS files, cast(sum(l_quantity) AS bigint) + count(*) AS churn, bool_or(l_shipdate < o_orderdate + INTERVAL 3 DAY) AS critical, bool_or(l_suppkey % 97 = 0) AS hub
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), p AS (SELECT *, cast((CASE WHEN files > 15 THEN 4 WHEN files > 5 THEN 2 ELSE 0 END) + (CASE WHEN churn > 800 THEN 4 WHEN churn > 250 THEN 2 ELSE 0 END) + (CASE WHEN critical THEN 4 ELSE 0 END) + (CASE WHEN hub THEN 3 ELSE 0 END) AS int) AS points FROM c)
+SELECT commit_id, files, churn, points, CASE WHEN points >= 5 THEN 'HIGH' WHEN points >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM p""")
+def commit_risk(t):
+    x = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    c = x.groupBy(F.col("o_orderdate").cast("date").cast("string").alias("commit_id")).agg(
+        F.count_distinct("l_partkey").alias("files"), (F.sum("l_quantity").cast("long") + F.count(F.lit(1))).alias("churn"),
+        F.bool_or(F.col("l_shipdate") < F.col("o_orderdate") + F.expr("interval 3 days")).alias("critical"), F.bool_or(F.col("l_suppkey") % 97 == 0).alias("hub"),
+    )
+    return c.select("commit_id", "files", "churn", trust.commit_risk(F.col("files"), F.col("churn"), F.col("critical"), F.col("hub")).alias("r")).select("commit_id", "files", "churn", "r.points", "r.level")
+
+
+@query("""WITH h AS (SELECT path, count(*) AS files FROM <hunks> GROUP BY path), n AS (SELECT path, count(*) AS nodes, count(*) FILTER (kind = 'method') AS callers FROM <nodes> GROUP BY path)
+SELECT h.path, cast(least(5 * (files % 7), 25) + least(8 * (nodes % 5), 30) + least(4 * (callers % 9), 25) + least(10 * (files % 3), 20) AS bigint) AS score FROM h JOIN n ON n.path = h.path""")
+def impact_risk_score(t):
+    h = t("hunks").groupBy("path").agg(F.count(F.lit(1)).alias("files"))
+    n = t("nodes").groupBy("path").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("kind") == "method").alias("callers"))
+    return h.join(n, "path").select("path", trust.impact_score(F.col("files") % 7, F.col("nodes") % 5, F.col("callers") % 9, F.col("files") % 3).alias("score"))
+
+
+_LINE = "CASE event_id % 6 WHEN 0 THEN 'if (balance > limit)' WHEN 1 THEN 'repo.save(x)' WHEN 2 THEN 'throw new AppException()' WHEN 3 THEN 'repository.find(id)' WHEN 4 THEN 'audit.log(x)' ELSE 'total = a + b' END"
+
+
+@query(f"""WITH l AS (SELECT user_id, event_id, {_LINE} AS line FROM events), c AS (SELECT *, CASE WHEN line LIKE 'if (%' THEN 'VALIDATION' WHEN line LIKE 'throw%' THEN 'ERROR' WHEN line LIKE '%.save(%' THEN 'PERSISTENCE'
+  WHEN line LIKE '%.find(%' THEN 'QUERY' WHEN line LIKE 'audit%' THEN 'AUDIT' ELSE 'LOGIC' END AS category FROM l)
+SELECT user_id AS body, cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS int) AS step, category, max(CASE WHEN category = 'VALIDATION' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS guarded_by FROM c""")
+def execution_steps(t):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    c = t("events").select("user_id", "event_id", trust.step_category(F.expr(_LINE)).alias("category"))
+    guard = F.max(F.when(F.col("category") == "VALIDATION", F.col("event_id"))).over(w)
+    return c.select(F.col("user_id").alias("body"), F.row_number().over(w).alias("step"), "category", guard.alias("guarded_by"))
+
+
+_TRUST = """x AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'UNKNOWN' WHEN toxic = 1 THEN 'STALE' ELSE 'FRESH' END AS fresh,
+  CASE WHEN quality = 1 AND d.doc_id % 2 = 0 THEN 'EXACT_SPAN' WHEN quality = 1 THEN 'EXACT_SYMBOL' ELSE 'FILE_TOKEN' END AS rel, CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE (d.doc_id % 10) / 10.0 END AS cov FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
+def _trust(t):
+    d = t("documents").select("doc_id").join(t("labels"), "doc_id", "left")
+    fresh = F.when(F.col("quality").isNull(), "UNKNOWN").when(F.col("toxic") == 1, "STALE").otherwise("FRESH")
+    rel = F.when((F.col("quality") == 1) & (F.col("doc_id") % 2 == 0), "EXACT_SPAN").when(F.col("quality") == 1, "EXACT_SYMBOL").otherwise("FILE_TOKEN")
+    return d.select("doc_id", fresh.alias("fresh"), rel.alias("rel"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 10 / 10).alias("cov"))
+
+
+@query(f"""WITH {_TRUST}, y AS (SELECT *, CASE WHEN coalesce(cov, 0) = 0 THEN NULL ELSE cov END AS c FROM x) SELECT doc_id, CASE WHEN fresh = 'STALE' THEN 'STALE' WHEN fresh = 'UNKNOWN' THEN 'NOPATH' WHEN rel IN ('EXACT_SPAN', 'EXACT_SYMBOL') THEN 'STRONG' ELSE 'WEAK' END AS verdict,
+  round(cast(CASE WHEN fresh = 'FRESH' AND rel = 'EXACT_SPAN' THEN greatest(0.95, coalesce(cov, 0)) WHEN fresh = 'FRESH' AND rel = 'EXACT_SYMBOL' THEN greatest(0.85, coalesce(cov, 0)) WHEN fresh = 'FRESH' THEN least(0.35, coalesce(c, 0.3))
+   WHEN fresh = 'STALE' THEN least(0.35, coalesce(c, 0.5) / 2) ELSE least(0.5, coalesce(c, 0.4)) END AS double), 4) AS confidence FROM y""")
+def trust_verdict(t):
+    f, r, c = F.col("fresh"), F.col("rel"), F.col("cov")
+    return _trust(t).select("doc_id", trust.verdict(f, r).alias("verdict"), F.round(trust.confidence(f, r, c), 4).alias("confidence"))
+
+
+@query(f"""WITH {_TRUST}, y AS (SELECT doc_id, list_filter([CASE WHEN fresh = 'UNKNOWN' THEN 'SNAPSHOT_UNBOUND' END, CASE WHEN fresh = 'STALE' THEN 'STALE_EVIDENCE' END, CASE WHEN doc_id % 11 = 0 THEN 'CONFLICTING_EVIDENCE' END, CASE WHEN cov IS NULL THEN 'COVERAGE_UNMEASURED' END,
+  CASE WHEN doc_id % 3 = 0 AND cov < 0.9 THEN 'COVERAGE_BELOW_FLOOR' END, CASE WHEN doc_id % 4 = 1 THEN 'UNRESOLVED_EDGES' END], lambda z: z IS NOT NULL) AS r FROM x)
+SELECT doc_id, array_to_string(r, ',') AS reasons, CASE WHEN list_contains(r, 'SNAPSHOT_UNBOUND') THEN 'ABSTAINED' WHEN list_contains(r, 'COVERAGE_UNMEASURED') OR list_contains(r, 'COVERAGE_BELOW_FLOOR') THEN 'UNVERIFIABLE' WHEN list_contains(r, 'STALE_EVIDENCE') THEN 'STALE'
+  WHEN list_contains(r, 'CONFLICTING_EVIDENCE') THEN 'CONFLICTED' WHEN list_contains(r, 'UNRESOLVED_EDGES') THEN 'PARTIAL' ELSE 'ASSURED' END AS status FROM y""")
+def receipt_decision(t):
+    i = F.col("doc_id")
+    one = lambda c: F.when(c, 1).otherwise(0)
+    x = _trust(t).select("doc_id", trust.reasons(F.col("fresh") != "UNKNOWN", one(F.col("fresh") == "STALE"), one(i % 11 == 0), F.col("cov"), i % 3 == 0, one(i % 4 == 1)).alias("r"))
+    return x.select("doc_id", F.array_join("r", ",").alias("reasons"), trust.decision(F.col("r")).alias("status"))
+
+
+_CHANGES = "SELECT event_id, cast(user_id AS string) AS path, ts, value AS size FROM events"
+
+
+def _changes(t):
+    return t("events").select("event_id", F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("size"))
+
+
+@query(f"""WITH c AS ({_CHANGES}), g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY path ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS n FROM c), s AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY ts) AS s FROM g)
+SELECT path, cast(floor(epoch(min(ts))) AS bigint) AS first, cast(floor(epoch(max(ts))) AS bigint) AS last, count(*) AS n FROM s GROUP BY path, s""")
+def change_session_fold(t):
+    return changes.fold(_changes(t), "6 hours").select("path", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n")
+
+
+@query(f"""WITH c AS (SELECT event_id, path, ts - (CASE WHEN event_id % 7 = 0 THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END) AS ts FROM ({_CHANGES})), w AS (SELECT *, max(ts) OVER (PARTITION BY path ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM c)
+SELECT event_id, path FROM w WHERE floor(epoch(newest)) - floor(epoch(ts)) > 86400""")
+def late_change_dedup(t):
+    c = _changes(t).withColumn("ts", F.when(F.col("event_id") % 7 == 0, F.col("ts") - F.expr("interval 2 days")).otherwise(F.col("ts")))
+    return changes.late(c, 86_400).select("event_id", "path")
+
+
+@query(f"SELECT path, arg_max(size, struct_pack(t := ts, e := event_id)) AS size, count(*) AS generation FROM ({_CHANGES}) GROUP BY path")
+def generation_latest_state(t):
+    return changes.latest(_changes(t)).drop("ts")
+
+
+@query()
+def repo_map_budget(t):
+    e = t("steps")
+    ranks = traverse.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e, rounds=6)
+    top = ranks.join(t("nodes").select("id", "symbol", "path"), "id").orderBy(F.desc("rank"), "id").limit(400)
+    return traverse.budget_prefix(top.withColumn("cost", F.ceil(F.length(F.concat("path", "symbol")) / 4)), [F.desc("rank"), "id"], "cost", 1024)
