@@ -71,9 +71,12 @@ def index_keys(lines: DataFrame, tau: int, least: int) -> DataFrame:
 
 
 def probe_keys(lines: DataFrame, tau: int, least: int) -> DataFrame:
-    """Segment i of a text d shorter can have moved by what i edits to its left and tau - i to its right allow."""
+    """Segment i of a text d shorter can have moved by what i edits to its left and tau - i to its right allow.
+
+    Equally long texts that agree in an unmoved segment meet in the index itself and need no probe.
+    """
     moves = lambda d, i: range(max(-i, d - (tau - i)), min(i, d + tau - i) + 1)
-    return _keys(lines, tau, least, [(d, i, v) for d in range(tau + 1) for i in range(tau + 1) for v in moves(d, i)])
+    return _keys(lines, tau, least, [(d, i, v) for d in range(tau + 1) for i in range(tau + 1) for v in moves(d, i) if d or v])
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -153,9 +156,11 @@ def line_links(lines: DataFrame, tau: int = TAU, least: int = MIN_CHARS, block:
     index = index_keys(long_ones, tau, least)
     held = index.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
     met = probe_keys(long_ones, tau, least).join(held, "key").where("low <> h or high <> h").select("key", "h").distinct()
-    met = stored(met, "met")
-    keys = met.select("key").distinct()
-    sides = index.join(keys, "key", "left_semi").distinct().select("key", "h", F.lit(0).alias("side")).unionByName(met.select("key", "h", F.lit(1).alias("side")))
+    shared = held.where("low <> high").select("key", F.lit(None).cast("long").alias("h"))
+    met = stored(met.unionByName(shared), "met")
+    keys = met.groupBy("key").agg(F.bool_or(F.col("h").isNull()).alias("shared"))
+    indexed = index.join(keys, "key").distinct().withColumn("side", F.when(F.col("shared"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    sides = indexed.select("key", "h", F.explode("side").alias("side")).unionByName(met.where("h is not null").select("key", "h", F.lit(1).alias("side"))).distinct()
     sides = stored(sides, "sides")
     wanted = sides.select("h").distinct()
     texts = stored(long_ones.join(wanted, "h", "left_semi").groupBy("h", "h2").agg(F.min("line").alias("line")), "texts")
@@ -171,8 +176,10 @@ def line_links(lines: DataFrame, tau: int = TAU, least: int = MIN_CHARS, block:
 
     def linked(x: Column) -> Column:
         differs = lambda y: ~((x["h"] == y["h"]) & (x["h2"] == y["h2"]))
-        close = lambda y: F.length(y["line"]).between(F.length(x["line"]), F.length(x["line"]) + tau)
-        found = F.filter("ys", lambda y: F.when(differs(y) & close(y), near(x["line"], y["line"], tau)).otherwise(False))
+        longer = lambda y: F.length(y["line"]) - F.length(x["line"])
+        after = lambda y: (x["h"] < y["h"]) | ((x["h"] == y["h"]) & (x["h2"] < y["h2"]))  # noqa: E731  one direction is enough for equal lengths
+        asks = lambda y: differs(y) & (longer(y).between(1, tau) | ((longer(y) == 0) & after(y)))
+        found = F.filter("ys", lambda y: F.when(asks(y), near(x["line"], y["line"], tau)).otherwise(False))
         return F.transform(found, lambda y: F.struct(x["h"].alias("h"), x["h2"].alias("h2"), y["h"].alias("other_h"), y["h2"].alias("other_h2")))
 
     found = blocks.select(F.explode(F.flatten(F.transform("xs", linked))).alias("l")).select("l.*")
