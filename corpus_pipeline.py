@@ -1,46 +1,71 @@
 """From raw documents to packed training sequences.
 
 Every stage works on all rows that the one before it kept, and its result is written before the next
-one reads it.
+one reads it; so a stage first deletes what the one before it has left in the shared folder.
 """
 
 from __future__ import annotations
 
+import functools
+import threading
+from collections import defaultdict
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import op1_line_dedup, op4_best_fit_packing, op6_simhash, op8_quality, op9_mixing
-from loomgraph.llm.common import WORD, stored, table
+from loomgraph.llm.common import MADE, WORD, stored, sweep, table
+
+_LEFT: dict[tuple[int, int], list[str]] = defaultdict(list)
+
+
+def _stage(f: Callable) -> Callable:
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = _LEFT[id(spark), threading.get_ident()]
+        sweep(spark, left)
+        made = len(MADE)
+        out = f(spark, docs, sf_dir)
+        left[:] = MADE[made:]
+        return out
+
+    return run
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score is at least the threshold."""
     weights = op8_quality.fit(docs, table(spark, sf_dir, "labels"))
     return op8_quality.score(docs, weights).where(F.col("quality_score") >= op8_quality.THRESHOLD).drop("quality_score")
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Text without lines that stand earlier, exactly or nearly; n_chars follows. All rows stay."""
     out = op1_line_dedup.without_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash component: that of its smallest doc_id."""
-    held = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-dedup-in")
-    parts = op6_simhash.near_duplicates(held)
-    first = parts.groupBy("component_id").agg(F.lit(1).alias("one")).where("component_id is not null").select(F.col("component_id").alias("__id"))
-    chosen = held.join(first, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").groupBy("doc_id").agg(F.min("__row").alias("__row"))
-    unnamed = held.where("doc_id is null").select("__row")
-    return held.join(chosen.select("__row").unionByName(unnamed), "__row", "left_semi").drop("__row")
+    """One row of each SimHash component: that of its smallest doc_id. Rows without doc_id stay."""
+    parts = op6_simhash.near_duplicates(docs)
+    first = parts.where("component_id is not null").select(F.col("component_id").alias("__id")).distinct()
+    named = docs.where("doc_id is not null").withColumn("__doc", F.col("doc_id").cast("long"))
+    kept = named.join(first.hint("merge"), F.col("__doc") == F.col("__id"), "left_semi")
+    one = Window.partitionBy("__doc").orderBy(F.xxhash64("text"))  # of rows of one doc_id, any one
+    kept = kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it whole, and once more, cut after the last word taken, for the rest."""
     held = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mixing-in")
     taken = op9_mixing.mix(held.select("doc_id", "source", "text", F.col("__row").alias("key")), key="key").where("taken > 0").select("key", "size", "taken")
-    joined = held.join(taken, held["__row"] == taken["key"])
+    joined = held.join(taken.hint("merge"), held["__row"] == taken["key"])
     turns = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
     each = joined.withColumn("__turn", F.explode(turns)).withColumn("__words", F.least("size", F.col("taken") - (F.col("__turn") - 1) * F.col("size")))
     words = F.regexp_extract_all("text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
@@ -48,6 +73,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return each.withColumn("text", F.when(F.col("__words") < F.col("size"), part).otherwise(F.col("text"))).select(*docs.columns)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each row goes in the training sequences."""
     return op4_best_fit_packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))

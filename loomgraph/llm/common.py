@@ -28,8 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+#: Folders that scratch() has named in this process, oldest first.
+MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -43,9 +55,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete what stored() wrote."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._loomgraph_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    sweep(df.sparkSession, [df._loomgraph_path])
 
 
 def ship_package(spark: SparkSession) -> None:

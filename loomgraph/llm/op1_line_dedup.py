@@ -163,7 +163,7 @@ def line_links(lines: DataFrame, tau: int = TAU, least: int = MIN_CHARS, block:
     sides = indexed.select("key", "h", F.explode("side").alias("side")).unionByName(met.where("h is not null").select("key", "h", F.lit(1).alias("side"))).distinct()
     sides = stored(sides, "sides")
     wanted = sides.select("h").distinct()
-    texts = stored(long_ones.join(wanted, "h", "left_semi").groupBy("h", "h2").agg(F.min("line").alias("line")), "texts")
+    texts = stored(long_ones.join(wanted.hint("merge"), "h", "left_semi").groupBy("h", "h2").agg(F.min("line").alias("line")), "texts")
     sizes = sides.groupBy("key").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == k) / block)).cast("int").alias(f"blocks{k}") for k in (0, 1)])
     members = sides.join(stored(sizes, "sizes"), "key").join(texts, "h")
     own = lambda k: F.pmod(F.xxhash64("h", "h2"), F.col(f"blocks{k}")).cast("int")
@@ -210,7 +210,7 @@ def decisions(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFr
 def without_repeats(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
     """docs with only the lines that stay (and blank lines) in text; other columns and rows as they are."""
     kept = stored(decisions(docs, tau, least), "decisions").select(F.col("id").alias("__id"), F.col("kept").alias("__kept"))
-    joined = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(kept, "__id", "left")
+    joined = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(kept.hint("merge"), "__id", "left")
     parts = F.split("text", "\n")
     stay = F.filter(parts, lambda x, i: (F.trim(x) == "") | F.coalesce(F.array_contains("__kept", i), F.lit(False)))
     return joined.withColumn("text", F.array_join(stay, "\n")).select(*docs.columns)
