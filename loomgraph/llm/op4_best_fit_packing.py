@@ -25,13 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import partitions, ship_package, stored, table
+from loomgraph.llm.common import partitions, rest, ship_package, stored, table
 from loomgraph.llm.vocab import WordEncoder, encoder
 
 CAPACITY = 4096
 ROUNDS = 400  # of pricing
 FALL = 3.0  # how fast the price of a covered length falls
-DOCS_AT_ONCE = 4096
+DOCS_AT_ONCE = 2048
 
 
 def crc32_of(ids: np.ndarray) -> int:
@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CA
                         x = ids[at : at + capacity]
                         rows.append((doc, k, at, len(x), crc32_of(x), *[x.tobytes()] * with_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        rest()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import components, ship_package, stored, table
+from loomgraph.llm.common import components, rest, ship_package, stored, table
 
 WORDS = 4
 SEED = 42
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), words) for t in b.column("text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        rest()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
 

@@ -27,7 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ship_package, table
+from loomgraph.llm import vocab
+from loomgraph.llm.common import rest, ship_package, table
 
 TRAIN_ROWS = 8000
 BITS = 18
@@ -106,7 +107,7 @@ def _rows(batch: pa.RecordBatch, bits: int) -> Iterator[tuple[int, np.ndarray, n
     ends = np.searchsorted(row[order], np.arange(len(texts) + 1))
     for i, label in enumerate(batch.column("label").to_pylist()):
         at, count = np.unique(hashed[order[ends[i] : ends[i + 1]]], return_counts=True)
-        yield label, np.append(at, 1 << bits), np.append(count * (SCALE / max(1, size[i])), 1.0)
+        yield label, np.append(at, 1 << bits).astype(np.int32), np.append(count * (SCALE / max(1, size[i])), 1.0).astype(np.float32)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -124,7 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (x for b in batches for lo in range(0, b.num_rows, DOCS_AT_ONCE) for x in _rows(b.slice(lo, DOCS_AT_ONCE), bits))
+        vocab.forget()
         yield pa.RecordBatch.from_arrays([pa.array([train(seen, bits).tobytes()])], ["weights"])
+        rest()
 
     ordered = taken.select("label", "text", F.xxhash64("doc_id").alias("h"), "doc_id").repartition(1).sortWithinPartitions("h", "doc_id", "text")
     got = ordered.mapInArrow(run, "weights binary").collect()  # one row
@@ -139,6 +142,8 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
+        vocab.forget()
+        rest()
         for batch in batches:
             for lo in range(0, batch.num_rows, DOCS_AT_ONCE):
                 b = batch.slice(lo, DOCS_AT_ONCE)
@@ -147,6 +152,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
                 total = sum(np.bincount(row, w[hashed], b.num_rows) for row, hashed in groups)
                 value = 1 / (1 + np.exp(-np.clip(total * SCALE / np.maximum(size, 1) + w[-1], -35, 35)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value)], [*names, "quality_score"])
+        rest()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, quality_score double")

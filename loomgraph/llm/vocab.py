@@ -159,3 +159,8 @@ def encoder(path: str, kind: type[Encoder]) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = kind(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Drop the worker's vocabularies and caches, before work that does not need them."""
+    _ENCODERS.clear()
