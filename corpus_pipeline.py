@@ -64,13 +64,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it whole, and once more, cut after the last word taken, for the rest."""
     held = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mixing-in")
-    taken = op9_mixing.mix(held.select("doc_id", "source", "text", F.col("__row").alias("key")), key="key").where("taken > 0").select("key", "size", "taken")
-    joined = held.join(taken.hint("merge"), held["__row"] == taken["key"])
-    turns = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    each = joined.withColumn("__turn", F.explode(turns)).withColumn("__words", F.least("size", F.col("taken") - (F.col("__turn") - 1) * F.col("size")))
+    taken = op9_mixing.mix(held.select("doc_id", "source", "text", F.col("__row")), key="__row")
+    taken = taken.where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    joined = held.join(taken.hint("merge"), "__row")
+    turns = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
+    each = joined.withColumn("__turn", F.explode(turns)).withColumn("__words", F.least("__size", F.col("__taken") - (F.col("__turn") - 1) * F.col("__size")))
     words = F.regexp_extract_all("text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
     part = F.array_join(F.slice(words, 1, F.col("__words").cast("int")), "")
-    return each.withColumn("text", F.when(F.col("__words") < F.col("size"), part).otherwise(F.col("text"))).select(*docs.columns)
+    return each.withColumn("text", F.when(F.col("__words") < F.col("__size"), part).otherwise(F.col("text"))).select(*docs.columns)
 
 
 @_stage
