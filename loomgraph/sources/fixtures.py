@@ -36,7 +36,7 @@ SELECT src, dst, relation, min(line) AS line FROM (
 #: Directed part-to-part steps of one order; holds cycles of any length.
 STEPS = """
 SELECT DISTINCT concat('part:', cast(a.l_partkey AS string)) AS src, concat('part:', cast(b.l_partkey AS string)) AS dst, 'calls' AS relation
-FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey AND a.l_orderkey % 20 = 0
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey
 """
 
 HUNKS = f"""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import joins, store, traverse, trust
+from loomgraph.sources.fixtures import base, fixture
 
 
 def graph(spark, seed, n=24, m=40):
@@ -91,3 +92,13 @@ def test_decision_table(spark):
     df = spark.createDataFrame(cases, "b boolean, s int, c int, f double, a boolean, u int, want string")
     codes = trust.reasons(*[F.col(x) for x in "bscfau"])
     assert all(r.got == r.want for r in df.select("want", trust.decision(codes).alias("got")).collect())
+
+
+def test_steps_are_all_pairs_of_consecutive_lines(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = {}
+    for r in base(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").collect():
+        lines.setdefault((r.l_orderkey, r.l_linenumber), set()).add(r.l_partkey)
+    want = {(f"part:{a}", f"part:{b}") for (o, n), parts in lines.items() for a in parts for b in lines.get((o, n + 1), ()) if a != b}
+    got = [(r.src, r.dst) for r in fixture(spark, sf, "steps").collect()]
+    assert len(got) == len(want) == 2736 and set(got) == want
