@@ -11,7 +11,9 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.joins import hunks_to_nodes
 from loomgraph.schemas import ANALYTICS_ROUNDS, DAMPING, IMPACT_RELATIONS
+from loomgraph.sources.texts import is_test_path, is_test_symbol
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -67,6 +69,21 @@ def reverse_impact(edges: DataFrame, changed: DataFrame, depth: int, relations:
     return out
 
 
+def impacted_tests(nodes: DataFrame, edges: DataFrame, hunks: DataFrame, depth: int = 2) -> DataFrame:
+    """id, path, symbol, kind, tier, target: changed test files, callers of changed nodes within depth that are tests,
+    and tests with an edge of any relation into a changed node. A test has a row in each tier that finds it; target
+    is the symbol it reaches, of several the smallest (caller tier: that of the smallest callee id of the level before)."""
+    changed = cut(hunks_to_nodes(hunks, nodes).join(nodes.select("id", "symbol"), "id").select("id", "symbol"))
+    tests = nodes.where(is_test_path(F.col("path")) | F.coalesce(is_test_symbol(F.col("symbol")), F.lit(False))).select("id", "path", "symbol", "kind")
+    none = F.lit(None).cast("string")
+    files = hunks.select("path").distinct().where(is_test_path(F.col("path"))).select(F.concat(F.lit("test:"), "path").alias("id"), "path", F.lit("").alias("symbol"), F.lit("file").alias("kind"), F.lit("changed_file").alias("tier"), none.alias("target"))
+    callee = nodes.select(F.col("id").alias("via"), F.col("symbol").alias("target"))
+    callers = reverse_impact(edges, changed, depth).select("id", "via").join(tests, "id").join(callee, "via", "left").select(*tests.columns, F.lit("caller").alias("tier"), "target")
+    into = edges.join(changed.where("symbol <> ''").select(F.col("id").alias("dst"), F.col("symbol").alias("target")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("target").alias("target"))
+    direct = tests.join(into, "id").select(*tests.columns, F.lit("direct_edge").alias("tier"), "target")
+    return files.unionByName(callers).unionByName(direct)
+
+
 def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """id, blast: distinct nodes within hops undirected steps of each start, without itself."""
     sides = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()

@@ -148,24 +148,35 @@ def nearest_definition_asof(t):
     return joins.enclosing_definition(t("hunks").select("event_id", "path", F.col("line_start").alias("line")), t("nodes").where("kind = 'class'"))
 
 
-@query("""WITH c AS (SELECT id FROM <nodes> WHERE kind = 'class' AND line_start % 100 = 1), t AS (SELECT id, path FROM <nodes> WHERE kind = 'method' AND line_start % 50 = 1)
-SELECT t.id, t.path, count(*) AS edges, count(DISTINCT e.relation) AS relations FROM <edges> e JOIN c ON e.dst = c.id JOIN t ON t.id = e.src GROUP BY t.id, t.path""")
+#: The files of one region play the test files, in nodes and hunks alike.
+_TEST_PATH = "CASE WHEN path LIKE 'src/asia/%' THEN concat('tests/', path) ELSE path END"
+_HIT = "SELECT DISTINCT n.id, n.symbol FROM h JOIN n ON h.path = n.path AND n.line_start <= h.line_end AND n.line_end >= h.line_start"
+_IS_TEST = "(path LIKE 'tests/%' OR lower(symbol) LIKE 'test%' OR symbol LIKE '%Test' OR symbol LIKE '%Tests' OR symbol LIKE '%IT' OR symbol LIKE '%Spec')"
+
+
+@query(f"""WITH n AS (SELECT id, {_TEST_PATH} AS path, kind, symbol, line_start, line_end FROM <nodes>), h AS (SELECT {_TEST_PATH} AS path, line_start, line_end FROM <hunks>), d AS ({_HIT}),
+e AS (SELECT DISTINCT src, dst FROM <edges> WHERE relation IN ('calls', 'extends', 'implements', 'uses', 'imports')),
+c1 AS (SELECT src AS id, min(dst) AS via FROM e WHERE dst IN (SELECT id FROM d) AND src NOT IN (SELECT id FROM d) GROUP BY src),
+c2 AS (SELECT src AS id, min(dst) AS via FROM e WHERE dst IN (SELECT id FROM c1) AND src NOT IN (SELECT id FROM d) AND src NOT IN (SELECT id FROM c1) GROUP BY src),
+t AS (SELECT id, path, symbol, kind FROM n WHERE {_IS_TEST})
+SELECT DISTINCT concat('test:', path) AS id, path, '' AS symbol, 'file' AS kind, 'changed_file' AS tier, cast(NULL AS varchar) AS target FROM h WHERE path LIKE 'tests/%'
+UNION ALL SELECT t.id, t.path, t.symbol, t.kind, 'caller', v.symbol FROM t JOIN (SELECT * FROM c1 UNION ALL SELECT * FROM c2) c ON c.id = t.id JOIN n v ON v.id = c.via
+UNION ALL SELECT t.id, t.path, t.symbol, t.kind, 'direct_edge', min(d.symbol) FROM t JOIN <edges> x ON x.src = t.id JOIN d ON d.id = x.dst WHERE d.symbol <> '' GROUP BY t.id, t.path, t.symbol, t.kind""")
 def impacted_tests(t):
-    n = t("nodes")
-    changed, tests = n.where("kind = 'class' and line_start % 100 = 1").select(F.col("id").alias("dst")), n.where("kind = 'method' and line_start % 50 = 1").select(F.col("id").alias("src"), "path")
-    return t("edges").join(changed, "dst").join(tests, "src").groupBy(F.col("src").alias("id"), "path").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("relation").alias("relations"))
+    moved = F.expr(_TEST_PATH)
+    return traverse.impacted_tests(t("nodes").withColumn("path", moved), t("edges"), t("hunks").withColumn("path", moved))
 
 
-@query("""WITH d AS (SELECT id FROM <nodes> WHERE kind = 'class' AND line_start % 200 = 1), p AS (SELECT DISTINCT path FROM <hunks> WHERE event_id % 100 = 0),
-x AS (SELECT b.id, 0 AS prio FROM <nodes> b JOIN d ON d.id = b.id WHERE b.kind <> 'file' UNION ALL SELECT e.src, 1 FROM <edges> e JOIN d ON e.dst = d.id WHERE e.relation <> 'defines'
-  UNION ALL SELECT n.id, 2 FROM <nodes> n JOIN p ON p.path = n.path WHERE n.kind = 'class')
+@query(f"""WITH n AS (SELECT * FROM <nodes>), h AS (SELECT * FROM <hunks>), d AS ({_HIT}), p AS (SELECT DISTINCT path FROM h),
+x AS (SELECT b.id, 0 AS prio FROM n b JOIN d ON d.id = b.id WHERE b.kind <> 'file' UNION ALL SELECT e.src, 1 FROM <edges> e JOIN d ON e.dst = d.id WHERE e.relation <> 'defines'
+  UNION ALL SELECT n.id, 2 FROM n JOIN p ON p.path = n.path WHERE n.kind = 'class')
 SELECT id, cast(min(prio) AS int) AS prio, count(*) AS ways FROM x GROUP BY id""")
 def api_or_join(t):
     n = t("nodes")
-    d = n.where("kind = 'class' and line_start % 200 = 1").select("id")
+    d = joins.hunks_to_nodes(t("hunks"), n).select("id")
     direct = n.where("kind <> 'file'").join(d, "id", "left_semi").select("id", F.lit(0).alias("prio"))
     caller = t("edges").where("relation <> 'defines'").join(d.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), F.lit(1).alias("prio"))
-    file = n.where("kind = 'class'").join(t("hunks").where("event_id % 100 = 0").select("path").distinct(), "path").select("id", F.lit(2).alias("prio"))
+    file = n.where("kind = 'class'").join(t("hunks").select("path").distinct(), "path").select("id", F.lit(2).alias("prio"))
     return direct.unionByName(caller).unionByName(file).groupBy("id").agg(F.min("prio").alias("prio"), F.count(F.lit(1)).alias("ways"))
 
 
@@ -278,12 +289,11 @@ def reverse_impact_bfs(t):
     return traverse.reverse_impact(t("edges"), t("nodes").where("id in ('sup:1', 'cust:2', 'part:3')"), 2)
 
 
-@query("""WITH b AS (SELECT DISTINCT src AS a, dst AS id FROM (SELECT src, dst FROM <steps> UNION ALL SELECT dst, src FROM <steps>) WHERE src <> dst), s AS (SELECT DISTINCT id AS a FROM b WHERE id LIKE 'part:%7'),
-r AS (SELECT a, id FROM b WHERE a IN (SELECT a FROM s) UNION SELECT s.a, c.id FROM s JOIN b ON b.a = s.a JOIN b c ON c.a = b.id)
+@query("""WITH b AS (SELECT DISTINCT src AS a, dst AS id FROM (SELECT src, dst FROM <steps> UNION ALL SELECT dst, src FROM <steps>) WHERE src <> dst), r AS (SELECT a, id FROM b UNION SELECT b.a, c.id FROM b JOIN b c ON c.a = b.id)
 SELECT a AS id, count(*) FILTER (id <> a) AS blast FROM r GROUP BY a""")
 def blast_radius_2hop(t):
     e = t("steps")
-    ends = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().where("id like 'part:%7'")
+    ends = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     return traverse.neighbourhood(e, ends, 2)
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import joins, store, traverse, trust
+from loomgraph.plans import catalog
 from loomgraph.sources.fixtures import base, fixture
 
 
@@ -102,3 +103,31 @@ def test_steps_are_all_pairs_of_consecutive_lines(spark):
     want = {(f"part:{a}", f"part:{b}") for (o, n), parts in lines.items() for a in parts for b in lines.get((o, n + 1), ()) if a != b}
     got = [(r.src, r.dst) for r in fixture(spark, sf, "steps").collect()]
     assert len(got) == len(want) == 2736 and set(got) == want
+
+
+def test_impacted_tests_of_three_tiers(spark):
+    nodes = spark.createDataFrame(
+        [("a", "src/a.py", "function", "run", 1, 9), ("b", "src/b.py", "function", "main", 1, 9), ("t1", "tests/x.py", "function", "check_run", 1, 9),
+         ("t2", "src/y.py", "function", "test_main", 1, 9), ("t3", "src/z.py", "class", "RunSpec", 1, 9), ("t4", "tests/w.py", "function", "far", 1, 9), ("t5", "tests/v.py", "function", "changed", 1, 9)],
+        "id string, path string, kind string, symbol string, line_start int, line_end int",
+    )
+    edges = spark.createDataFrame([("t1", "a", "calls"), ("b", "a", "calls"), ("t2", "b", "uses"), ("t3", "a", "reads"), ("t4", "t2", "calls")], "src string, dst string, relation string")
+    hunks = spark.createDataFrame([(1, "src/a.py", 3, 4), (2, "tests/v.py", 50, 51)], "event_id long, path string, line_start int, line_end int")
+    got = {(r.id, r.tier, r.target) for r in traverse.impacted_tests(nodes, edges, hunks).collect()}
+    assert got == {("test:tests/v.py", "changed_file", None), ("t1", "caller", "run"), ("t2", "caller", "main"), ("t1", "direct_edge", "run"), ("t3", "direct_edge", "run")}
+
+
+def test_blast_starts_from_every_node(spark):
+    sf = "/root/testdata/sf0.001"
+    near = {}
+    for r in fixture(spark, sf, "steps").collect():
+        near.setdefault(r.src, set()).add(r.dst)
+        near.setdefault(r.dst, set()).add(r.src)
+    want = {i: len((js | {k for j in js for k in near[j]}) - {i}) for i, js in near.items()}
+    assert {r.id: r.blast for r in catalog.QUERIES["blast_radius_2hop"](spark, sf).collect()} == want
+
+
+def test_api_impact_starts_from_every_changed_node(spark):
+    got = {r.id for r in catalog.QUERIES["api_or_join"](spark, "/root/testdata/sf0.001").collect()}
+    hit = {r.id for r in catalog.QUERIES["hunk_node_interval_join"](spark, "/root/testdata/sf0.001").collect()}
+    assert {i for i in hit if not i.startswith("file:")} <= got
