@@ -1,8 +1,10 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-A candidate is the value in a run of LEAST or more characters without white space that holds a digit or
-a lower-case letter before an upper-case one; a name and "=" or ":" before it, and quotes around it, are
-taken off. Features: length; shares of digits, capitals and hexadecimal digits; how often neighbouring
+A run of characters without white space is split into its assigned and quoted parts; names with "=" or
+":" before a value, quotes and brackets around it, are taken off. A value of VALUE_LEAST or more
+characters is a candidate if it begins like a known key, if its name or one of the three words before
+names a secret, or if the run has LEAST or more characters and run and value hold a digit or a
+lower-case letter before an upper-case one; the forest rejects the rest. Features: length; shares of digits, capitals and hexadecimal digits; how often neighbouring
 characters change class, and how often they make a common letter pair; entropy; the share covered by
 dictionary words; dots, "@", "/" and "-"; what the path says (tests, examples); whether a neighbouring
 word names a secret, a hash or an example; whether it is assigned. The forest is trained from labelled
@@ -60,7 +62,11 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "AIza"
 
 _WORDS = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
 _SHAPE = re.compile(r"\d|[a-z][A-Z]")
-_PARTS = re.compile(r"""(?:([A-Za-z_][\w.\-]*)\s*[=:]+)?["'`(\[{<]*(.*?)[^A-Za-z0-9+/=_\-]*\Z""", re.S)
+_QUOTED = re.compile(r"""(["'`])(.*?)\1|[^"'`]+""", re.S)
+_APART = re.compile(r"[?&,;|(\[{<](?=[A-Za-z_][\w.\-]*[=:]|" + "|".join(PREFIXES) + ")")
+_NAMED = re.compile(r"([A-Za-z_][\w.\-]*)[=:]+(?=[^=:])")
+_NAME_LAST = re.compile(r"([A-Za-z_][\w.\-]*)[=:]+\Z")
+_VALUE = re.compile(r"[(\[{<]*(.*?)[^A-Za-z0-9+/=_\-]*\Z", re.S)
 NAMES = (
     "length digits capitals hexadecimal changes pairs entropy covered dots at slashes dashes path_example near_secret near_harmless near_example assigned prefix repeats"
 ).split()
@@ -89,15 +95,55 @@ def describe(value: str, before: list[str], after: list[str], name: str, path: s
     ]
 
 
+def _secretive(text: str) -> bool:
+    return any(w in text for w in SECRETIVE)
+
+
+def _plain_parts(piece: str, at: int) -> Iterator[tuple[str, int, str]]:
+    """parts() of a piece without quotes of its own that begins at the given place."""
+    cuts = [0, *[m.end() for m in _APART.finditer(piece)]]
+    for start, end in zip(cuts, [*[c - 1 for c in cuts[1:]], len(piece)], strict=True):
+        name, start = "", start + len(piece[start:end]) - len(piece[start:end].lstrip("([{<"))
+        while (m := _NAMED.match(piece, start, end)) and (not name or _secretive(m[1].lower())):
+            name, start = m[1], m.end()
+        m = _VALUE.match(piece, start, end)
+        yield name, at + m.start(1), m[1]
+
+
+def parts(run: str) -> Iterator[tuple[str, int, str]]:
+    """(name or "", start, value) of the assigned and quoted parts of a run, and of the rest between them."""
+    name = ""
+    for m in _QUOTED.finditer(run):
+        if not m[1]:
+            last = _NAME_LAST.search(m[0]) if m.end() < len(run) else None  # a quote follows
+            if m[0].strip("=:"):
+                name = last[1] if last else ""
+            yield from _plain_parts(m[0][: last.start()] if last else m[0], m.start())
+        elif name:
+            yield name, m.start(2), m[2]
+            name = ""
+        elif run[m.end() : m.end() + 1] in (":", "="):
+            name = m[2]
+        else:
+            yield from _plain_parts(m[2], m.start(2))
+
+
 def candidates_in(text: str, path: str) -> Iterator[tuple[int, str, list[float]]]:
     """(start, value, features) of each candidate of a text."""
-    words, at = text.split(), 0
-    for i in [i for i, w in enumerate(words) if len(w) >= LEAST]:
-        w = words[i]
-        at = text.index(w, at)
-        if _SHAPE.search(w) and (m := _PARTS.match(w)) and len(m[2]) >= VALUE_LEAST and _SHAPE.search(m[2]):
-            yield at + m.start(2), m[2], describe(m[2], words[max(0, i - 3) : i], words[i + 1 : i + 3], m[1] or "", path)
-        at += len(w)
+    runs = list(re.finditer(r"\S+", text))
+    words = [m[0] for m in runs]
+    named = _secretive(text.lower())
+    for i, w in enumerate(words):
+        if len(w) < VALUE_LEAST:
+            continue
+        formed = len(w) >= LEAST and _SHAPE.search(w)
+        if not (named or formed or any(p in w for p in PREFIXES)):
+            continue
+        before = words[max(0, i - 3) : i]
+        near = named and _secretive(" ".join(before).lower())
+        for name, start, value in parts(w):
+            if len(value) >= VALUE_LEAST and (value.startswith(PREFIXES) or near or _secretive(name.lower()) or (formed and _SHAPE.search(value))):
+                yield runs[i].start() + start, value, describe(value, before, words[i + 1 : i + 3], name, path)
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
@@ -139,6 +185,8 @@ def labelled_findings(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, st
             value = r.choice((
                 lambda: r.choice(("AKIA", "ASIA")) + draw(up + "234567", 16), lambda: "ghp_" + draw(rich, 36), lambda: draw(hexa, r.choice((16, 18, 20, 24, 32, 40, 64))),
                 lambda: draw(rich + "+/", r.choice((24, 32, 40, 44))), lambda: "xoxb-" + draw(dig, 12) + "-" + draw(rich, 24), lambda: draw(rich + "!#$%&*", r.randint(16, 24)),
+                lambda: draw(rich, 4) + draw("!#$%&*", 1) + draw(rich, r.randint(3, 9)), lambda: draw(low + dig, r.randint(8, 15)), lambda: draw(low, r.randint(10, 24)), lambda: draw(up, r.randint(10, 24)),
+                lambda: r.choice(DICTIONARY).title() + draw("!#$%&*", 1) + draw(rich, r.randint(4, 8)),
             ))()
             if value[:4] in ("AKIA", "ASIA", "ghp_", "xoxb") and r.random() < 0.6:
                 pass  # known by their form, wherever they stand
@@ -147,16 +195,20 @@ def labelled_findings(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, st
             else:
                 before, value = spaced(value)
         else:
-            shape = r.randrange(12)
+            shape = r.randrange(15)
             value = (
                 lambda: f"{prose()}.{r.randrange(99)}@mail{r.randrange(9)}.{r.choice(('example', 'test', 'org'))}.com",
                 lambda: draw("45", 1) + draw(dig, 15), lambda: "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), lambda: "/".join(name(4)) + f"/{r.randrange(999)}.txt",
                 lambda: name(1)[0] + "".join(w.title() for w in name(3)), lambda: f"https://{prose()}.com/{'-'.join(name(2))}/{r.randrange(9999)}", lambda: draw(hexa, r.choice((32, 40, 64))),
                 lambda: f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-1{r.randrange(10)}T0{r.randrange(10)}:00:00Z", lambda: f"{'_'.join(name(3))}_v{r.randrange(9)}", lambda: prose() * 4 + str(r.randrange(99)),
                 lambda: joined(r.choice(("xxxxxxxxxxxxxxx1", "changeme12345678", "EXAMPLEKEY000000", "your-token-here-1", "1234567890123456"))), lambda: f"+{draw(dig, 2)}-{draw(dig, 4)}-{draw(dig, 8)}",
+                lambda: "".join(r.choice(sounds) for _ in range(r.randint(4, 6))), lambda: r.choice([w for w in DICTIONARY if len(w) >= 7]) + r.choice(("s", "ing", "ed")),
+                lambda: joined(r.choice(("changeme", "undefined", "required", "placeholder", "your_password", "xxxxxxxx", "********a", "os.environ"))),
             )[shape]()
             if shape in (2, 6):
                 before = r.choice(("commit", "sha256", "md5 checksum", "uuid", "revision", "etag", "digest"))
+            if shape in (12, 13):
+                before = f"{prose()} {secret_name()} {r.choice(('', prose(), 'is', 'and'))}".rstrip()
             if shape == 6 and r.random() < 0.3:
                 before, path = f"example {secret_name()} =", "tests/fixture"
         out.append((before, value, after, path, label))
@@ -167,7 +219,7 @@ def example_rows(findings: list[tuple[str, str, str, str, int]]) -> list[tuple[l
     """(features, label) of the candidates in labelled findings."""
     out = []
     for before, value, after, path, label in findings:
-        out += [(f, float(label)) for start, _, f in candidates_in(f"{before} {value} {after}", path) if start >= len(before)]
+        out += [(f, float(label)) for start, _, f in candidates_in(f"{before} {value} {after}", path) if len(before) <= start <= len(before) + len(value)]
     return out
 
 
