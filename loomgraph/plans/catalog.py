@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import joins, ledger, search, stats, traverse, trust
+from loomgraph.schemas import ANALYTICS_ROUNDS, MAP_ROUNDS
 from loomgraph.sources.fixtures import base, fixture, oracle
 from loomgraph.streaming import changes
 
@@ -310,22 +311,22 @@ def _ranks(personal: bool) -> str:
 o AS (SELECT src, count(*) AS d FROM <steps> GROUP BY src), z AS (SELECT id, {base_sql} AS base, o.d FROM n CROSS JOIN k LEFT JOIN o ON o.src = n.id),
 r(i, id, rank) AS (SELECT 0, id, cast(base AS double) FROM z UNION ALL
   SELECT i, id, 0.15 * base + 0.85 * loose / c + 0.85 * coalesce(got, 0) FROM (SELECT cur.i + 1 AS i, z.id, z.base, k.c, (SELECT coalesce(sum(r.rank), 0) FROM r JOIN z y ON y.id = r.id WHERE y.d IS NULL) AS loose,
-    (SELECT sum(r.rank / y.d) FROM r JOIN z y ON y.id = r.id JOIN <steps> s ON s.src = r.id WHERE s.dst = z.id) AS got FROM z, k, (SELECT max(i) AS i FROM r) cur WHERE cur.i < 8) q)
-SELECT id, round(rank, 8) AS rank FROM r WHERE i = 8"""
+    (SELECT sum(r.rank / y.d) FROM r JOIN z y ON y.id = r.id JOIN <steps> s ON s.src = r.id WHERE s.dst = z.id) AS got FROM z, k, (SELECT max(i) AS i FROM r) cur WHERE cur.i < {ANALYTICS_ROUNDS}) q)
+SELECT id, round(rank, 8) AS rank FROM r WHERE i = {ANALYTICS_ROUNDS}"""
 
 
 @query(_ranks(False))
 def pagerank(t):
     e = t("steps")
     more = e.sparkSession.createDataFrame([("part:1",), ("part:2",)], "id string")
-    return traverse.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")).union(more).distinct(), e, rounds=8)
+    return traverse.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")).union(more).distinct(), e, rounds=ANALYTICS_ROUNDS)
 
 
 @query(_ranks(True))
 def personalised_pagerank(t):
     e = t("steps")
     start = e.sparkSession.createDataFrame([("part:1", 1.0), ("part:2", 1.0)], "id string, weight double")
-    return traverse.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")).union(start.select("id")).distinct(), e, start, rounds=8)
+    return traverse.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")).union(start.select("id")).distinct(), e, start, rounds=ANALYTICS_ROUNDS)
 
 
 _MEMBER = "m AS (SELECT id, path AS community FROM <nodes>)"
@@ -357,7 +358,7 @@ def cross_community_top3(t):
 @query()
 def label_propagation(t):
     e = t("steps")
-    return traverse.label_propagation(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e, 5)
+    return traverse.label_propagation(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e, ANALYTICS_ROUNDS)
 
 
 _LAYER = "CASE WHEN regexp_matches({p}, '(^|/)(api|web|ui|routes?|controllers?)(/|$)') THEN 'INTERFACE' WHEN regexp_matches({p}, '(^|/)(db|models?|repositor(y|ies)|store|lib)(/|$)') THEN 'DATA' WHEN regexp_matches({p}, '(^|/)(src|core|services?|domain)(/|$)') THEN 'DOMAIN' ELSE 'UNKNOWN' END"
@@ -476,6 +477,6 @@ def generation_latest_state(t):
 @query()
 def repo_map_budget(t):
     e = t("steps")
-    ranks = traverse.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e, rounds=6)
+    ranks = traverse.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e, rounds=MAP_ROUNDS)
     top = ranks.join(t("nodes").select("id", "symbol", "path"), "id").orderBy(F.desc("rank"), "id").limit(400)
     return traverse.budget_prefix(top.withColumn("cost", F.ceil(F.length(F.concat("path", "symbol")) / 4)), [F.desc("rank"), "id"], "cost", 1024)

@@ -131,3 +131,45 @@ def test_api_impact_starts_from_every_changed_node(spark):
     got = {r.id for r in catalog.QUERIES["api_or_join"](spark, "/root/testdata/sf0.001").collect()}
     hit = {r.id for r in catalog.QUERIES["hunk_node_interval_join"](spark, "/root/testdata/sf0.001").collect()}
     assert {i for i in hit if not i.startswith("file:")} <= got
+
+
+def ranks_after(edges, rounds, more=(), start=None):
+    ids = sorted({x for e in edges for x in e} | set(more))
+    out = {i: [b for a, b in edges if a == i] for i in ids}
+    base = {i: (start or {}).get(i, 0.0) if start else 1 / len(ids) for i in ids}
+    rank = dict(base)
+    for _ in range(rounds):
+        loose = sum(rank[i] for i in ids if not out[i])
+        new = {i: 0.15 * base[i] + 0.85 * loose / len(ids) for i in ids}
+        for i in ids:
+            for j in out[i]:
+                new[j] += 0.85 * rank[i] / len(out[i])
+        rank = new
+    return rank
+
+
+def test_registered_loops_run_all_rounds(spark, tmp_path):
+    n = 41
+    spark.createDataFrame([(1, k, k) for k in range(1, n + 1)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in range(1, n + 1)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    path = [(f"part:{k}", f"part:{k + 1}") for k in range(1, n)]
+    got = lambda name: {r[0]: r[1] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got("pagerank") == pytest.approx(ranks_after(path, 30), abs=2e-8)
+    assert got("personalised_pagerank") == pytest.approx(ranks_after(path, 30, start={"part:1": 0.5, "part:2": 0.5}), abs=2e-8)
+    near = {f"part:{k}": [f"part:{j}" for j in (k - 1, k + 1) if 1 <= j <= n] for k in range(1, n + 1)}
+    label = {i: i for i in near}
+    for _ in range(30):
+        new = {}
+        for i, js in near.items():
+            votes = [label[j] for j in js]
+            best = {v for v in votes if votes.count(v) == max(map(votes.count, votes))}
+            new[i] = label[i] if label[i] in best else min(best)
+        label = new
+    assert got("label_propagation") == label
+
+
+def test_repo_map_ranks_after_all_rounds(spark):
+    sf = "/root/testdata/sf0.001"
+    want = ranks_after([(r.src, r.dst) for r in fixture(spark, sf, "steps").collect()], 24)
+    got = {r.id: r["rank"] for r in catalog.QUERIES["repo_map_budget"](spark, sf).collect()}
+    assert got and got == pytest.approx({i: want[i] for i in got}, abs=2e-8)
