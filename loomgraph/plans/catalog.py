@@ -42,10 +42,12 @@ d AS (SELECT nodes.id, kind, cast(coalesce(o.n, 0) AS bigint) AS out_degree, cas
   FROM <nodes> nodes LEFT JOIN o ON o.id = nodes.id LEFT JOIN i ON i.id = nodes.id)"""
 
 
-@query(DEGREE + """, s AS (SELECT avg(total_degree) AS mean, stddev_pop(total_degree) AS dev, count(*) AS n FROM d)
-SELECT id, kind, total_degree, round((total_degree - mean) / dev, 2) AS z_score,
-  CASE WHEN total_degree >= mean + 3 * dev THEN 'CRITICAL' WHEN total_degree >= mean + 2 * dev THEN 'HIGH' ELSE 'MEDIUM' END AS risk
-FROM d, s WHERE n >= 3 AND total_degree >= greatest(4.0, mean + 1.5 * dev)""")
+@query(DEGREE + """, s AS (SELECT avg(total_degree) AS mean, stddev_pop(total_degree) AS dev, count(*) AS n FROM d),
+h AS (SELECT * FROM d, s WHERE n >= 3 AND total_degree >= greatest(4.0, mean + 1.5 * dev)), b AS (SELECT src AS a, dst AS id FROM <edges> WHERE src <> dst UNION SELECT dst, src FROM <edges> WHERE src <> dst),
+r AS (SELECT h.id AS a, b.id FROM h JOIN b ON b.a = h.id UNION SELECT h.id, c.id FROM h JOIN b ON b.a = h.id JOIN b c ON c.a = b.id), k AS (SELECT a, count(*) FILTER (id <> a) AS blast FROM r GROUP BY a)
+SELECT h.id, kind, total_degree, round((total_degree - mean) / dev, 2) AS z_score, coalesce(blast, 0) AS blast_radius,
+  CASE WHEN total_degree >= mean + 3 * dev OR coalesce(blast, 0) >= 0.3 * n THEN 'CRITICAL' WHEN total_degree >= mean + 2 * dev OR coalesce(blast, 0) >= 0.15 * n THEN 'HIGH' ELSE 'MEDIUM' END AS risk
+FROM h LEFT JOIN k ON k.a = h.id""")
 def hub_nodes(t):
     return stats.hubs(t("nodes"), t("edges"))
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import joins, store, traverse, trust
+from loomgraph.operators import joins, stats, store, traverse, trust
 from loomgraph.plans import catalog
 from loomgraph.sources.fixtures import base, fixture
 
@@ -173,3 +173,12 @@ def test_repo_map_ranks_after_all_rounds(spark):
     want = ranks_after([(r.src, r.dst) for r in fixture(spark, sf, "steps").collect()], 24)
     got = {r.id: r["rank"] for r in catalog.QUERIES["repo_map_budget"](spark, sf).collect()}
     assert got and got == pytest.approx({i: want[i] for i in got}, abs=2e-8)
+
+
+def test_hub_of_moderate_degree_is_critical_by_its_reach(spark):
+    big = [("s1", f"a{k}") for k in range(80)] + [("s2", f"b{k}") for k in range(80)]
+    pairs = big + [("h", "s1"), ("h", "s2"), *[("h", f"c{k}") for k in range(18)]]
+    ids = sorted({x for p in pairs for x in p})
+    nodes = spark.createDataFrame([(i, "class") for i in ids], "id string, kind string")
+    got = {r.id: (r.total_degree, r.blast_radius, r.risk) for r in stats.hubs(nodes, spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert got["h"] == (20, len(ids) - 1, "CRITICAL")
