@@ -50,6 +50,34 @@ def decision(codes: Column) -> Column:
     return _map({v: k for k, v in STATUS_SEVERITY.items()}, worst)
 
 
+def decide(
+    identity: Column, bound: Column, collection_error: Column, stale: Column, measured: Column, covered: Column, parser_failures: Column, unresolved: Column, conflicts: Column,
+    truncated: Column, truncation_sources: Column, enumerated: Column, parser_capable: Column, partial_ast: Column, provider_ok: Column, absence: Column, gate_blocked: Column,
+    dynamic: Column, profile: Column, floor: float = COVERAGE_FLOOR, budget: int = 0,
+) -> Column:
+    """status and reason_codes by all rules of the reference, in its order; a null fact counts against the claim."""
+    yes, no = lambda c: F.coalesce(c, F.lit(True)), lambda c: F.coalesce(c, F.lit(False))
+    above = lambda c, k: F.coalesce(c > k, F.lit(True))
+    cut = F.transform(
+        F.coalesce(truncation_sources, F.array().cast("array<string>")), lambda x: F.when(x == "transitive_cap_200", "transitive_truncated").otherwise(F.concat(F.lit("collection_truncated:"), x))
+    )
+    negative = yes(absence) | yes(profile.isin("absence", "exhaustive", "relation"))
+    one = lambda c, code: F.array_compact(F.array(F.when(c, code)))
+    unique = no(identity == "UNIQUE")
+    rules = [
+        ("UNVERIFIABLE", one(yes(collection_error), "collection_error")), ("ABSTAINED", one(~unique, F.when(identity == "NOT_FOUND", "target_not_found").otherwise("target_ambiguous"))),
+        ("UNVERIFIABLE", one(~no(bound), "snapshot_unbound")), ("STALE", one(above(stale, 0), "stale_sources")), ("CONFLICTED", one(above(conflicts, 0), "open_conflicts")),
+        ("PARTIAL", one(yes(gate_blocked), "rename_gate_blocked")), ("PARTIAL", F.when(F.size(cut) > 0, cut).otherwise(one(yes(truncated), "transitive_truncated"))),
+        ("PARTIAL", one(above(parser_failures, 0), "parser_failures")), ("PARTIAL", one(above(unresolved, budget), "unresolved_over_budget")), ("PARTIAL", one(yes(dynamic), "dynamic_dispatch_unresolved")),
+        ("PARTIAL", one(negative & ~(no(measured) & no(covered >= floor)), "coverage_below_floor")), ("PARTIAL", one(negative & ~no(enumerated), "enumeration_incomplete")),
+        ("PARTIAL", one(negative & ~no(parser_capable), "parser_capability_incomplete")), ("PARTIAL", one(negative & yes(partial_ast), "partial_ast_ceiling")),
+        ("PARTIAL", one(~no(provider_ok), "provider_capability_missing")),
+    ]
+    worst = F.greatest(*[F.when(F.size(c) > 0, STATUS_SEVERITY[status]).otherwise(0) for status, c in rules])
+    status = F.when(worst == 0, "ASSURED_WITHIN_SCOPE").otherwise(_map({v: k for k, v in STATUS_SEVERITY.items()}, worst))
+    return F.struct(status.alias("status"), F.concat(*[c for _, c in rules]).alias("reason_codes"))
+
+
 def _map(values: dict, key: Column) -> Column:
     out = F.lit(None)
     for k, v in values.items():

@@ -182,3 +182,23 @@ def test_hub_of_moderate_degree_is_critical_by_its_reach(spark):
     nodes = spark.createDataFrame([(i, "class") for i in ids], "id string, kind string")
     got = {r.id: (r.total_degree, r.blast_radius, r.risk) for r in stats.hubs(nodes, spark.createDataFrame(pairs, "src string, dst string")).collect()}
     assert got["h"] == (20, len(ids) - 1, "CRITICAL")
+
+
+def test_decide_has_every_reason_of_the_reference(spark):
+    fine = {"identity": "UNIQUE", "bound": True, "collection_error": False, "stale": 0, "measured": True, "covered": 1.0, "parser_failures": 0, "unresolved": 0, "conflicts": 0, "truncated": False,
+            "truncation_sources": [], "enumerated": True, "parser_capable": True, "partial_ast": False, "provider_ok": True, "absence": True, "gate_blocked": False, "dynamic": False, "profile": "absence"}
+    cases = [
+        ({}, "ASSURED_WITHIN_SCOPE", []), ({"collection_error": True}, "UNVERIFIABLE", ["collection_error"]), ({"identity": "NOT_FOUND"}, "ABSTAINED", ["target_not_found"]),
+        ({"identity": "AMBIGUOUS"}, "ABSTAINED", ["target_ambiguous"]), ({"bound": False}, "UNVERIFIABLE", ["snapshot_unbound"]), ({"stale": 1}, "STALE", ["stale_sources"]),
+        ({"conflicts": 1}, "CONFLICTED", ["open_conflicts"]), ({"gate_blocked": True}, "PARTIAL", ["rename_gate_blocked"]), ({"truncated": True}, "PARTIAL", ["transitive_truncated"]),
+        ({"truncation_sources": ["transitive_cap_200", "edges_cap_500"]}, "PARTIAL", ["transitive_truncated", "collection_truncated:edges_cap_500"]), ({"parser_failures": 2}, "PARTIAL", ["parser_failures"]),
+        ({"unresolved": 1}, "PARTIAL", ["unresolved_over_budget"]), ({"dynamic": True}, "PARTIAL", ["dynamic_dispatch_unresolved"]), ({"covered": 0.89}, "PARTIAL", ["coverage_below_floor"]),
+        ({"measured": False}, "PARTIAL", ["coverage_below_floor"]), ({"covered": None}, "PARTIAL", ["coverage_below_floor"]), ({"enumerated": None}, "PARTIAL", ["enumeration_incomplete"]),
+        ({"parser_capable": False}, "PARTIAL", ["parser_capability_incomplete"]), ({"partial_ast": True}, "PARTIAL", ["partial_ast_ceiling"]), ({"provider_ok": False}, "PARTIAL", ["provider_capability_missing"]),
+        ({"absence": False, "profile": "presence", "covered": None, "enumerated": None, "parser_capable": None, "partial_ast": True}, "ASSURED_WITHIN_SCOPE", []),
+        ({"absence": False, "profile": "relation", "covered": 0.5}, "PARTIAL", ["coverage_below_floor"]), ({"stale": 1, "conflicts": 1, "unresolved": 1}, "STALE", ["stale_sources", "open_conflicts", "unresolved_over_budget"]),
+    ]
+    types = "identity string, bound boolean, collection_error boolean, stale int, measured boolean, covered double, parser_failures int, unresolved int, conflicts int, truncated boolean, truncation_sources array<string>, enumerated boolean, parser_capable boolean, partial_ast boolean, provider_ok boolean, absence boolean, gate_blocked boolean, dynamic boolean, profile string"
+    df = spark.createDataFrame([(*(fine | c).values(), k) for k, (c, _, _) in enumerate(cases)], types + ", k int")
+    got = {r.k: (r.status, r.reason_codes) for r in df.select("k", trust.decide(**{x: F.col(x) for x in fine}).alias("d")).select("k", "d.*").collect()}
+    assert got == {k: (status, codes) for k, (_, status, codes) in enumerate(cases)}
