@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,24 +23,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         place = got.get() if got.isDefined() else None
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
-#: Folders that scratch() has named in this process, oldest first.
-MADE: list[str] = []
+#: The folder of the run that the current thread is in, or None.
+_RUN: contextvars.ContextVar[str | None] = contextvars.ContextVar("loomgraph_run", default=None)
+
+
+@contextlib.contextmanager
+def folder_of(path: str) -> Iterator[str]:
+    """What scratch() names inside stands under path, so that one run's files can be deleted and no other's."""
+    token = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(token)
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    MADE.append(f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex}")
-    return MADE[-1]
+    return f"{_RUN.get() or shared_dir(spark) + '/loomgraph'}/{tag}-{uuid.uuid4().hex}"
+
+
+def free(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of taken has it (case does not count)."""
+    low = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        n = "__" + n
+        while n.lower() in low:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
 def sweep(spark: SparkSession, paths: list[str]) -> None:
@@ -48,9 +73,19 @@ def sweep(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, tag)
+@contextlib.contextmanager
+def work(spark: SparkSession) -> Iterator[None]:
+    """A folder for what is stored inside; it is deleted at the end, so results must be stored at a path named before."""
+    with folder_of(scratch(spark, "work")) as path:
+        try:
+            yield
+        finally:
+            sweep(spark, [path])
+
+
+def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    """Write df to the shared folder (or the path) and read it back: cuts the lineage and survives lost executors."""
+    path = path or scratch(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loomgraph_path = path
@@ -84,20 +119,21 @@ def partitions(spark: SparkSession) -> int:
 
 
 def running_start(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
-    """For each (out, value) of sums adds as out the sum of value over all rows before a row in the given total order.
+    """For each (out, value) of sums adds as out the sum of value over all rows before a row in the given total order,
+    and as range the number of the row's range in that order; a range is one sorted partition.
 
     Ranges are dealt out by the order columns, so no task sees more than its range; only one row
     for each range (as many as there are shuffle partitions) is summed in one place.
     """
     n = partitions(df.sparkSession)
-    ranged = stored(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    up_to_here = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    before = ranged.groupBy("__range").agg(*[F.sum(v).alias(f"__sum_{o}") for o, v in sums.items()])
-    before = before.select("__range", *[F.coalesce(F.sum(f"__sum_{o}").over(up_to_here), F.lit(0)).alias(f"__before_{o}") for o in sums])
-    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = stored(df.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    up_to_here = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("range").agg(*[F.sum(v).alias(f"__sum_{o}") for o, v in sums.items()])
+    before = before.select("range", *[F.coalesce(F.sum(f"__sum_{o}").over(up_to_here), F.lit(0)).alias(f"__before_{o}") for o in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = ranged.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(o) for o, v in sums.items()])
-    out = out.join(F.broadcast(before), "__range", "left")  # a row for each shuffle partition at most
-    return out.withColumns({o: F.col(o) + F.col(f"__before_{o}") for o in sums}).drop("__range", *[f"__before_{o}" for o in sums])
+    out = out.join(F.broadcast(before), "range", "left")  # a row for each shuffle partition at most
+    return out.withColumns({o: F.col(o) + F.col(f"__before_{o}") for o in sums}).drop(*[f"__before_{o}" for o in sums])
 
 
 def components(edges: DataFrame) -> DataFrame:

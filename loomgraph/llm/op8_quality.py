@@ -134,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int =
     return np.frombuffer(bytes(got[0][0]), np.float32) if got else np.zeros((1 << bits) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """All columns of docs with quality_score (0 to 1) added."""
+def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, out: str = "quality_score") -> DataFrame:
+    """All columns of docs with out (0 to 1) added; docs must not have a column of that name."""
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))  # 2^bits + 1 numbers
     names = docs.columns
@@ -151,11 +151,11 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
                 size, groups = features(pc.fill_null(texts, ""), bits)
                 total = sum(np.bincount(row, w[hashed], b.num_rows) for row, hashed in groups)
                 value = 1 / (1 + np.exp(-np.clip(total * SCALE / np.maximum(size, 1) + w[-1], -35, 35)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value)], [*names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value)], [*names, out])
         rest()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, quality_score double")
+    return docs.mapInArrow(run, f"{schema}, `{out}` double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
