@@ -6,29 +6,22 @@ early when a frontier is empty.
 
 from __future__ import annotations
 
-import tempfile
+import itertools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.joins import hunks_to_nodes
+from loomgraph.shared import cut
 from loomgraph.schemas import ANALYTICS_ROUNDS, DAMPING, IMPACT_RELATIONS
 from loomgraph.sources.texts import is_test_path, is_test_symbol
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
-    return df.checkpoint()
-
-
-def reach(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
-    """source, id, depth: every node within depth directed steps, at its least depth, the source at 0."""
+def reach(edges: DataFrame, sources: DataFrame, depth: int | None) -> DataFrame:
+    """source, id, depth: every node within depth directed steps (None: any number), at its least depth, the source at 0."""
     seen = sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("depth"))
     frontier = seen
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         step = frontier.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("source", F.col("dst").alias("id")).distinct()
         frontier = cut(step.join(seen, ["source", "id"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():

@@ -2,41 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import joins, ledger, search, stats, traverse, trust
+from loomgraph.operators import joins, ledger, stats, traverse, trust
+from loomgraph.plans.registry import ORACLES, QUERIES, query
 from loomgraph.schemas import ANALYTICS_ROUNDS, MAP_ROUNDS
-from loomgraph.sources.fixtures import base, fixture, oracle
 from loomgraph.streaming import changes
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a function of a lookup for tables; sql names derived tables as <name>."""
-
-    def add(f: Callable) -> Callable:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            def t(name: str) -> DataFrame:
-                try:
-                    return fixture(spark, sf_dir, name)
-                except KeyError:
-                    return base(spark, sf_dir, name)
-
-            return f(t)
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = oracle(sql)
-        return f
-
-    return add
-
-
 DEGREE = """WITH o AS (SELECT src AS id, count(*) AS n FROM <edges> GROUP BY src), i AS (SELECT dst AS id, count(*) AS n FROM <edges> GROUP BY dst),
 d AS (SELECT nodes.id, kind, cast(coalesce(o.n, 0) AS bigint) AS out_degree, cast(coalesce(i.n, 0) AS bigint) AS in_degree, cast(coalesce(o.n, 0) + coalesce(i.n, 0) AS bigint) AS total_degree
   FROM <nodes> nodes LEFT JOIN o ON o.id = nodes.id LEFT JOIN i ON i.id = nodes.id)"""
@@ -73,26 +45,6 @@ def kind_path_counts(t):
     return t("nodes").groupBy("kind", "path").agg(F.count(F.lit(1)).alias("n"), F.min("line_start").alias("first_line"))
 
 
-RESOLVED = """WITH m AS (SELECT DISTINCT module FROM <symbols>), bm AS (SELECT symbol, module, count(*) AS n, min(id) AS id FROM <symbols> GROUP BY symbol, module),
-bs AS (SELECT symbol, count(*) AS n, min(id) AS id FROM <symbols> GROUP BY symbol),
-x AS (SELECT p.*, p.import_source IS NOT NULL AND m.module IS NULL AS external, CASE WHEN p.import_source IS NULL THEN coalesce(bs.n, 0) ELSE coalesce(bm.n, 0) END AS n,
-  CASE WHEN p.import_source IS NULL THEN bs.id ELSE bm.id END AS cand FROM <pending> p LEFT JOIN m ON m.module = p.import_source
-  LEFT JOIN bm ON bm.symbol = p.dst_symbol AND bm.module = p.import_source LEFT JOIN bs ON bs.symbol = p.dst_symbol),
-r AS (SELECT src, dst_symbol, import_source, CASE WHEN external THEN 'EXTERNAL' WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS state,
-  CASE WHEN NOT external AND n = 1 THEN cand END AS target FROM x)"""
-
-
-@query(RESOLVED + " SELECT * FROM r")
-def pending_resolution_tiers(t):
-    return joins.resolve_pending(t("pending"), t("symbols"))
-
-
-@query(RESOLVED + " SELECT state, import_source, count(*) AS n, cast(grouping(state) AS int) AS g_state FROM r GROUP BY GROUPING SETS ((state), (import_source))")
-def pending_state_grouping_sets(t):
-    r = joins.resolve_pending(t("pending"), t("symbols"))
-    return r.groupingSets([[F.col("state")], [F.col("import_source")]], "state", "import_source").agg(F.count(F.lit(1)).alias("n"), F.grouping("state").cast("int").alias("g_state"))
-
-
 @query("""SELECT e.dst AS target, e.src AS caller, n.path, n.kind, count(*) AS uses, min(e.line) AS first_line FROM <edges> e JOIN <nodes> n ON n.id = e.src
 WHERE e.relation <> 'defines' AND e.dst IN (SELECT id FROM <nodes> WHERE kind = 'class') GROUP BY e.dst, e.src, n.path, n.kind""")
 def usages_by_caller(t):
@@ -214,68 +166,6 @@ def cross_check_buckets(t):
     return ledger.cross_check(t("edges").where("relation = 'calls'"), t("evidence").withColumnRenamed("span_line", "line"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_.\\-/]{3,}')) AS l FROM documents)
-SELECT doc_id, cast(len(list_filter(l, lambda x: x NOT IN ('the', 'and', 'for', 'with', 'this', 'that', 'from', 'are', 'was', 'not'))) AS int) AS n_tokens FROM t""")
-def search_tokens(t):
-    return t("documents").select("doc_id", F.size(search.tokens("text")).alias("n_tokens"))
-
-
-@query("""WITH w AS (SELECT p_partkey, regexp_split_to_array(lower(p_name), '[^a-z0-9]+') AS l FROM part) SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_concat(l, list_transform(range(1, len(l)), lambda i: concat(l[i], '_', l[i + 1]))), lambda x: len(x) >= 2))), ' ') AS keywords FROM w""")
-def keyword_decompose(t):
-    w = F.split(F.lower("p_name"), "[^a-z0-9]+")
-    pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit("_"), b))
-    return t("part").select("p_partkey", F.array_join(F.sort_array(F.array_distinct(F.filter(F.concat(w, pairs), lambda x: F.length(x) >= 2))), " ").alias("keywords"))
-
-
-TERMS = ["thin", "reso"]
-_W = "regexp_extract_all(lower(text), '[a-z0-9_.-]+')"
-BM25 = f"""WITH w AS (SELECT doc_id, {_W} AS w FROM documents), p AS (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: starts_with(x, 'thin'))) AS tf0, len(list_filter(w, lambda x: starts_with(x, 'reso'))) AS tf1 FROM w),
-s AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM p),
-b AS (SELECT doc_id, round(ln((n - df0 + 0.5) / (df0 + 0.5) + 1) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / a)) + ln((n - df1 + 0.5) / (df1 + 0.5) + 1) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / a)), 6) AS score FROM p, s WHERE tf0 > 0 OR tf1 > 0)"""
-
-
-@query(BM25 + " SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 30")
-def bm25_search(t):
-    return search.bm25(t("documents"), "doc_id", "text", TERMS, 30)
-
-
-@query(BM25 + """, h AS (SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 30) SELECT h.doc_id, score, cast(CASE WHEN source LIKE '%1%' THEN 0 ELSE 1 END AS int) AS bucket FROM h JOIN documents d ON d.doc_id = h.doc_id
-ORDER BY bucket, score DESC, h.doc_id LIMIT 10""")
-def search_rerank(t):
-    hits = search.bm25(t("documents"), "doc_id", "text", TERMS, 30).join(t("documents").select("doc_id", "source"), "doc_id")
-    return search.rerank(hits, "source", ["1"], "doc_id", 10).select("doc_id", "score", "bucket")
-
-
-@query("SELECT doc_id, round((cast(contains(lower(text), 'thin') AS int) + cast(contains(lower(text), 'reso') AS int) + cast(contains(lower(text), 'zzzz') AS int)) / 3, 4) AS coverage FROM documents")
-def query_coverage(t):
-    return search.query_coverage(t("documents"), "doc_id", "text", ["thin", "reso", "zzzz"])
-
-
-@query("""WITH t AS (SELECT item_id, sha256(unnest(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS s FROM benchmark), v AS (SELECT item_id, cast(concat('0x', substr(s, 1, 8)) AS bigint) % 256 AS idx,
-  sum(CASE WHEN cast(concat('0x', substr(s, 9, 1)) AS int) % 2 = 0 THEN 1 ELSE -1 END) AS weight FROM t GROUP BY 1, 2) SELECT item_id, idx, cast(weight AS bigint) AS weight FROM v WHERE weight <> 0""")
-def hash_embed(t):
-    return search.hash_embed(t("benchmark"), "item_id", "text")
-
-
-KNN = """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 5), x AS (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, 65), lambda i: cast(e[i] AS double) * cast(embedding[i] AS double))), 5) AS similarity
-  FROM embeddings, q WHERE vec_id <> query_id), k AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS int) AS rank FROM x)"""
-
-
-@query(KNN + " SELECT * FROM k WHERE rank <= 10")
-def knn_cosine(t):
-    return search.nearest(t("embeddings"), t("embeddings").where("vec_id < 5"), 10)
-
-
-@query(BM25 + ", " + KNN[5:] + """, l AS (SELECT doc_id, cast(row_number() OVER (ORDER BY score DESC, doc_id) AS int) AS rank FROM (SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 30) UNION ALL SELECT vec_id, rank FROM k WHERE rank <= 20 AND query_id = 0)
-SELECT doc_id, round(sum(1 / (60 + rank)), 6) AS score, count(*) AS legs FROM l GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""")
-def rrf_hybrid(t):
-    from pyspark.sql import Window
-
-    text = search.bm25(t("documents"), "doc_id", "text", TERMS, 30).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # 30 rows
-    vector = search.nearest(t("embeddings"), t("embeddings").where("vec_id = 0"), 20).select(F.col("vec_id").alias("doc_id"), "rank")
-    return search.fuse([text, vector], "doc_id", 20)
-
-
 @query("""WITH b AS (SELECT src AS a, dst AS id, relation FROM <edges> WHERE relation <> 'defines' UNION ALL SELECT dst, src, concat('used_by (', relation, ')') FROM <edges> WHERE relation <> 'defines'),
 one AS (SELECT id, relation FROM b WHERE a = 'sup:1' AND id <> 'sup:1'), f AS (SELECT DISTINCT id FROM one),
 two AS (SELECT b.id, b.relation, b.a AS via FROM b JOIN f ON f.id = b.a WHERE b.id <> 'sup:1')
@@ -482,3 +372,6 @@ def repo_map_budget(t):
     ranks = traverse.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e, rounds=MAP_ROUNDS)
     top = ranks.join(t("nodes").select("id", "symbol", "path"), "id").orderBy(F.desc("rank"), "id").limit(400)
     return traverse.budget_prefix(top.withColumn("cost", F.ceil(F.length(F.concat("path", "symbol")) / 4)), [F.desc("rank"), "id"], "cost", 1024)
+
+
+from loomgraph.plans import resolve_queries, search_queries  # noqa: E402, F401  each registers its queries

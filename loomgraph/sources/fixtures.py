@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.shared import kept
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 NATION_PATH = "SELECT n_nationkey, n_name, lower(concat('src/', r_name, '/', n_name)) AS path FROM nation JOIN region ON r_regionkey = n_regionkey"
@@ -71,20 +73,49 @@ SELECT concat(cast(l_orderkey AS string), '-', cast(l_partkey AS string), '-', c
 FROM lineitem JOIN events ON l_orderkey = event_id
 """
 
-PENDING = """
-SELECT DISTINCT concat('ord:', cast(l_orderkey AS string)) AS src, CASE WHEN l_partkey % 50 = 7 THEN 'unknown symbol' WHEN l_partkey % 10 = 0 THEN concat(p_name, '#', cast(p_partkey AS string)) ELSE p_name END AS dst_symbol,
-  CASE l_linenumber % 3 WHEN 0 THEN concat('lib.', p_brand) WHEN 1 THEN NULL ELSE 'ext.pkg' END AS import_source
-FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R'
+#: Documents as nodes of a text index.
+CORPUS = """
+SELECT concat('doc:', cast(doc_id AS string)) AS id, doc_id, concat('docs/', coalesce(lang, ''), '/', coalesce(source, '')) AS path, CASE WHEN doc_id % 5 = 0 THEN 'file' ELSE 'function' END AS kind, coalesce(source, '') AS symbol,
+  concat(coalesce(lang, ''), '.', coalesce(source, ''), '.d', cast(doc_id AS string)) AS fqn, concat(coalesce(source, ''), ' ', coalesce(lang, '')) AS label, coalesce(text, '') AS body, coalesce(lang, '') AS keywords, 1 AS line_start,
+  doc_id * 7 % 1000 AS updated_at FROM documents
+"""
+
+#: Evidence on the documents, some of it dead.
+DOC_EVIDENCE = f"""
+SELECT event_id, path, label AS symbol, CASE WHEN event_id % 3 = 0 THEN event_id END AS invalidated_at, event_type AS provider FROM events JOIN ({CORPUS}) c ON doc_id = user_id
+"""
+
+#: Nodes with qualified names; methods of five classes; a note for each nation.
+RICH = f"""
+SELECT id, path, kind, symbol, concat(replace(path, '/', '.'), CASE WHEN kind = 'file' THEN '' ELSE concat('.', symbol) END) AS fqn, concat(kind, ' ', symbol) AS label, concat(kind, ' ', symbol, ' of ', path) AS body, line_start, line_end, line_start AS updated_at
+FROM ({NODES}) n WHERE kind <> 'method'
+UNION ALL SELECT concat('meth:', cast(s_suppkey AS string)), path, 'method', concat('Base', cast(s_suppkey % 5 AS string), '.m', cast(s_suppkey % 7 AS string)), concat(replace(path, '/', '.'), '.Base', cast(s_suppkey % 5 AS string), '.m', cast(s_suppkey % 7 AS string)),
+  concat('Base', cast(s_suppkey % 5 AS string), '.m', cast(s_suppkey % 7 AS string)), 'a method', cast(1 + s_suppkey AS int), cast(9 + s_suppkey AS int), 5 FROM supplier JOIN ({NATION_PATH}) np ON s_nationkey = n_nationkey WHERE s_suppkey % 5 > 1 OR s_suppkey % 7 = 0
+UNION ALL SELECT concat('note:', cast(n_nationkey AS string)), '', 'note', concat('note ', n_name), n_name, concat('about ', n_name), concat('remember ', n_name), cast(NULL AS int), cast(NULL AS int), n_nationkey * 3 % 11 FROM nation
 """
 
-SYMBOLS = """
-SELECT concat('part:', cast(p_partkey AS string)) AS id, CASE WHEN p_partkey % 10 = 0 THEN concat(p_name, '#', cast(p_partkey AS string)) ELSE p_name END AS symbol, concat('lib.', p_brand) AS module FROM part
+#: What files bring in, and which class extends which (a chain of five).
+RICH_EDGES = f"""
+SELECT path, concat('file:', cast(n_nationkey AS string)) AS src, concat('part:', cast(s_suppkey AS string)) AS dst, 'imports' AS relation, 1 AS line FROM supplier JOIN ({NATION_PATH}) np ON s_nationkey = n_nationkey
+UNION ALL SELECT 'src/base.py', concat('sym:x:Base', cast(r_regionkey AS string)), concat('sym:x:Base', cast(r_regionkey + 1 AS string)), 'extends', 2 FROM region WHERE r_regionkey < 4
+"""
+
+#: References that the files of an order's customer make, one for each line.
+REFS = f"""
+SELECT path, concat('ord:', cast(o_orderkey AS string)) AS src,
+  CASE WHEN l_suppkey % 4 = 0 THEN concat('m', cast(l_partkey % 8 AS string)) WHEN l_partkey % 50 = 7 THEN 'unknown symbol' WHEN l_partkey % 9 = 0 THEN p_name ELSE concat('lib.', p_brand, '.', p_name) END AS dst_symbol,
+  CASE WHEN l_linenumber = 7 THEN 'imports' ELSE 'calls' END AS relation, l_linenumber AS line,
+  CASE l_linenumber WHEN 1 THEN concat('lib.', p_brand) WHEN 3 THEN 'ext.pkg' WHEN 4 THEN concat('.nation_', cast(l_partkey % 25 AS string)) WHEN 5 THEN 'src.asia' WHEN 6 THEN concat('nation_', cast(l_suppkey % 25 AS string)) WHEN 7 THEN concat('nation_', cast(l_suppkey % 25 AS string)) END AS import_source,
+  CASE WHEN l_suppkey % 4 = 0 THEN concat('sym:x:Base', cast(l_suppkey % 5 AS string)) END AS receiver
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN ({NATION_PATH}) np ON c_nationkey = n_nationkey
 """
 
 TEXTS = {
     "nodes": NODES, "edges": EDGES, "steps": STEPS, "hunks": HUNKS, "journal": JOURNAL, "disk": DISK, "runs": RUNS, "evidence": EVIDENCE,
-    "pending": PENDING, "symbols": SYMBOLS,
+    "corpus": CORPUS, "doc_evidence": DOC_EVIDENCE, "rich": RICH, "rich_edges": RICH_EDGES, "refs": REFS,
 }
+#: Tables that a store would hold; derived from others once.
+STORED = {"nodes", "edges", "steps", "hunks", "evidence", "rich", "refs"}
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,12 +123,16 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table; its base tables are views only while its plan is made."""
+    """One derived table; its base tables are views only while its plan is made. Stored ones are read from their files."""
     text = TEXTS[name]
-    for t in TABLES:
-        if t in text:
-            base(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(text)
+
+    def derived() -> DataFrame:
+        for t in TABLES:
+            if t in text:
+                base(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(text)
+
+    return kept(spark, f"{name} {sf_dir}", derived) if name in STORED else derived()
 
 
 def oracle(sql: str) -> str:
