@@ -3,8 +3,8 @@
 File format, one folder with three Parquet tables:
   chunks    digest (SHA-256 of data), n, data: ids as little-endian unsigned 16-bit numbers; one row a
             digest, whatever the number of documents that hold it
-  recipes   in ascending doc_id order: row, doc_id, place (documents before it), start (ids before it),
-            n_tokens, and the digests and sizes of its chunks in order
+  recipes   in ascending doc_id order, a folder range=k for each range of doc_id: row, doc_id, place (documents
+            before it), start (ids before it), n_tokens, and the digests and ends of its chunks in order
   manifest  a Merkle tree over the recipes: node k of level v hashes the 1,024 nodes from 1,024 k of the
             level below; level 0 are the recipes themselves; the one node of the last level is the root
 
@@ -39,6 +39,7 @@ ZERO_BITS = 10  # a boundary every 1,024 ids on average
 SHORTEST, LONGEST = 256, 8192
 FANOUT = 1024  # of the Merkle tree
 DOCS_AT_ONCE = 3000
+SALTS = 16
 POLYNOMIAL = 0xEDB88320  # of CRC-32, reflected
 
 
@@ -70,11 +71,11 @@ def boundaries(ends: list[int], n: int) -> list[int]:
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """row, doc_id, n_tokens and the digests, sizes and data of the chunks of each document."""
+    """row, doc_id, n_tokens and the digests, ends (in ids) and data of the chunks of each document."""
     ship_package(docs.sparkSession)
     schema = pa.schema([
         ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()),
-        ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("data", pa.list_(pa.binary())),
+        ("digests", pa.list_(pa.binary())), ("ends", pa.list_(pa.int64())), ("data", pa.list_(pa.binary())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,20 +93,20 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                     first, last = np.searchsorted(hits, (at, at + n), "right")
                     ends = boundaries((hits[first:last] - at).tolist(), n)
                     data = [whole[2 * (at + i) : 2 * (at + j)] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
-                    rows.append((row, doc, n, [hashlib.sha256(x).digest() for x in data], [len(x) // 2 for x in data], data))
+                    rows.append((row, doc, n, [hashlib.sha256(x).digest() for x in data], ends, data))
                     row += 1
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(
-        run, "row long, doc_id long, n_tokens long, digests array<binary>, sizes array<int>, data array<binary>"
+        run, "row long, doc_id long, n_tokens long, digests array<binary>, ends array<bigint>, data array<binary>"
     )
 
 
 def tree(recipes: DataFrame) -> DataFrame:
     """level, node, hash of the Merkle tree over the recipes; a group holds FANOUT nodes at most."""
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "start", "n_tokens")]
-    leaf = F.sha2(F.concat_ws(" ", *fields, F.concat_ws(" ", F.transform("digests", lambda x: F.hex(x)))), 256)
+    leaf = F.sha2(F.concat_ws(" ", *fields, F.concat_ws(" ", F.transform("digests", lambda x: F.hex(x))), F.concat_ws(" ", F.col("ends").cast("array<string>"))), 256)
     nodes = recipes.select(F.col("place").alias("node"), leaf.alias("hash"))
     total, level, levels = recipes.count(), 0, []
     while total > 1 or not levels:
@@ -124,17 +125,33 @@ def tree(recipes: DataFrame) -> DataFrame:
 def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2) -> None:
     """Encode docs and write the three tables under path."""
     cut = stored(cut_documents(docs, vocabulary, end_id), "cut")
-    chunks = cut.select(F.explode(F.arrays_zip("digests", "sizes", "data")).alias("x")).select(
-        F.col("x.digests").alias("digest"), F.col("x.sizes").alias("n"), F.col("x.data").alias("data")
-    )
-    chunks.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    copies = stored(repeated_chunks(cut), "copies")
+    chunks = cut.select("row", F.posexplode(F.arrays_zip("digests", "data")).alias("k", "x"))
+    # copies is read from files: Spark sends it to all tasks where its size allows, and sorts and merges otherwise
+    chunks = chunks.join(copies, ["row", "k"], "left_anti").select(F.col("x.digests").alias("digest"), (F.octet_length("x.data") / 2).cast("int").alias("n"), F.col("x.data").alias("data"))
+    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = running_start(
-        cut.select("row", "doc_id", "n_tokens", "digests", "sizes", F.lit(1).alias("one")), ["doc_id", "row"], {"start": "n_tokens", "place": "one"}
+        cut.select("row", "doc_id", "n_tokens", "digests", "ends", F.lit(1).alias("one")), ["doc_id", "row"], {"start": "n_tokens", "place": "one"}
     ).drop("one")
-    spark = docs.sparkSession
-    recipes.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    tree(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    recipes.write.option("compression", "zstd").partitionBy("range").parquet(f"{path}/recipes")
+    tree(recipes_of(docs.sparkSession, path)).write.parquet(f"{path}/manifest")
     discard(cut)
+    discard(copies)
+
+
+def repeated_chunks(cut: DataFrame) -> DataFrame:
+    """row, k of every chunk whose digest stands earlier; data is not read. A chunk that very many documents hold is
+    dealt to SALTS tasks: the few repeated digests go to each of them."""
+    held = cut.select("row", F.posexplode("digests").alias("k", "digest"))
+    first = held.groupBy("digest").agg(F.min(F.struct("row", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = first.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
+    salted = held.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    return salted.join(first, ["digest", "salt"]).where(F.struct("row", "k") != F.col("first")).select("row", "k")
+
+
+def recipes_of(spark: SparkSession, path: str) -> DataFrame:
+    schema = "row long, doc_id long, n_tokens long, digests array<binary>, ends array<bigint>, start long, place long, range int"
+    return spark.read.schema(schema).parquet(f"{path}/recipes").drop("range")
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,7 +194,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def verify_manifest(spark: SparkSession, path: str) -> str | None:
     """The root; raises if the recipes are not those that the tree was built over."""
-    there, now = spark.read.parquet(f"{path}/manifest"), tree(spark.read.parquet(f"{path}/recipes"))
+    there, now = spark.read.parquet(f"{path}/manifest"), tree(recipes_of(spark, path))
     both = there.withColumnRenamed("hash", "was").join(now, ["level", "node"], "full_outer")
     if not both.where("not (was <=> hash)").isEmpty():
         raise ValueError("recipes and Merkle tree differ")
@@ -188,11 +205,8 @@ def verify_manifest(spark: SparkSession, path: str) -> str | None:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every stored document, from checked files."""
     verify_manifest(spark, path)
-    recipes = spark.read.parquet(f"{path}/recipes")
-    held = recipes.select("row", "doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("digests", "sizes")).alias("k", "x"), "sizes").select(
-        "row", "doc_id", "start", "n_tokens", F.col("x.digests").alias("digest"), F.col("x.sizes").alias("size"),
-        F.expr("aggregate(slice(sizes, k + 2, size(sizes)), 0L, (a, x) -> a + x)").alias("after"),
-    )
+    part = lambda e, i: F.struct(F.get("digests", i).alias("digest"), (e - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("int").alias("size"), (F.col("n_tokens") - e).alias("after"))
+    held = recipes_of(spark, path).select("row", "doc_id", "start", "n_tokens", F.explode(F.transform("ends", part)).alias("x")).select("row", "doc_id", "start", "n_tokens", "x.*")
     found = held.join(read_chunks(spark, path), "digest", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +230,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and ids (array) of every stored document, put together from its chunks."""
     verify_manifest(spark, path)
-    held = spark.read.parquet(f"{path}/recipes").select("row", "doc_id", "start", F.posexplode("digests").alias("k", "digest"))
+    held = recipes_of(spark, path).select("row", "doc_id", "start", F.posexplode("digests").alias("k", "digest"))
     parts = held.join(spark.read.parquet(f"{path}/chunks"), "digest")
     whole = parts.groupBy("row", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("k", "data"))).alias("x"))
 
