@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -90,7 +93,7 @@ def test_cache_stays_bounded():
     for k in range(20):
         some = [f"word{k}x{i} other{i}" for i in range(40)]
         assert e.encode(pa.array(some)) == e.library(some)
-    assert len(e.cache) <= 130
+    assert len(e.keys) <= 220
 
 
 def edits(a, b):
@@ -120,7 +123,8 @@ def brute_lines(rows, tau=op1.TAU, least=op1.MIN_CHARS):
     first, links = {}, collections.defaultdict(set)
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         for k, line in enumerate((t or "").split("\n") if t is not None else []):
-            if line.strip(" "):
+            line = line.rstrip("\r")
+            if line.strip(" \t\r\x0b\x0c"):
                 first.setdefault(line, (op1.NO_ID if i is None else i, k))
     long_ones = [x for x in first if len(x) >= least]
     for k, a in enumerate(long_ones):
@@ -150,12 +154,28 @@ def test_op1_against_brute_force(spark):
         rows.append((i, "\n".join(some)))
     df = stored(spark.createDataFrame(rows, "doc_id long, text string"), "lines")
     kept, links = brute_lines(rows)
-    small = op1.line_links(op1.lines_of(df).select("h", "h2", "line"), block=2)  # many blocks a key
+    small = op1.line_links(stored(op1.texts_of(op1.lines_of(df)), "texts"), block=2)  # many blocks a key
     assert small.count() == sum(map(len, links.values())) > 20
     got = {x.id: x.kept for x in op1.decisions(df).collect()}
     assert {i: k for i, k in got.items() if k} == kept
 
 
+def test_op1_hot_segments_are_split(spark):
+    r = random.Random(4)
+    rows = [(i, f"Copyright notice: this and that of page number {i % 450:04d} {'x' if i % 9 else ''}" if i % 2 else f"Copyright notice: all that and more, {r.randrange(1 << 20):05x} and so on and on") for i in range(900)]
+    kept, links = brute_lines(rows)
+    df = stored(spark.createDataFrame(rows, "doc_id long, text string"), "lines")
+    got = op1.line_links(stored(op1.texts_of(op1.lines_of(df)), "texts"), block=8)
+    assert got.count() == sum(map(len, links.values())) > 1000
+    assert {x.id: x.kept for x in op1.decisions(df).collect() if x.kept} == kept
+
+
+def test_op1_blank_lines_stay(spark):
+    rows = [(1, "a\r\n\r\nb\r\n\r\nc", 77), (2, "a\n\t\n \nd\n", 78), (3, f"{LINE}\r\ne", 79), (4, f"{LINE}\nf", 80)]
+    out = op1.without_repeats(stored(spark.createDataFrame(rows, "doc_id long, text string, __id long"), "lines"))
+    assert {tuple(r) for r in out.collect()} == {(1, "a\r\n\r\nb\r\n\r\nc", 77), (2, "\t\n \nd\n", 78), (3, f"{LINE}\r\ne", 79), (4, "f", 80)}
+
+
 def test_op1_awkward(awkward):
     out = op1.without_repeats(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()
@@ -208,8 +228,7 @@ def test_op2_long_streams_share_chunks():
 
 
 def test_op3_index_and_awkward(spark, awkward):
-    index = op3.DigestIndex(spark, "test_digests", 4)
-    index.drop()
+    index = op3.DigestIndex(spark, scratch(spark, "test-index"), 4)
     got = op3.groups(awkward, index).collect()
     norm = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     groups = collections.defaultdict(list)
@@ -224,8 +243,28 @@ def test_op3_index_and_awkward(spark, awkward):
     assert index.read().count() == before
     index.add(op3.digests(spark.createDataFrame([(99, "brand new")], "doc_id long, text string")))
     assert index.read().count() == before + 1
+    for k in range(op3.MOST):  # runs are merged
+        index.add(op3.digests(spark.createDataFrame([(k, f"one more {k}")], "doc_id long, text string")))
+    assert len(index.runs()) < op3.MOST and index.read().count() == before + 1 + op3.MOST == index.read().select("digest").distinct().count()
+    plan = index.fresh(stored(op3.digests(awkward), "batch"))._jdf.queryExecution().executedPlan().toString()
+    scans = plan.split("left_anti" if "left_anti" in plan else "LeftAnti")
+    assert len(scans) > 1 and plan.count("Exchange") <= 2  # the batch is shuffled, the index is not
+    # another process, which knows only the folder
+    code = f"""
+import sys
+sys.path.insert(0, {str(pathlib.Path(op3.__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+from loomgraph.llm import op3_exact_dedup as op3
+s = SparkSession.builder.master("local[2]").config("spark.sql.warehouse.dir", {scratch(spark, "other")!r}).config("spark.checkpoint.dir", {scratch(spark, "other")!r}).config("spark.ui.enabled", "false").getOrCreate()
+index = op3.DigestIndex(s, {index.path!r})
+n = index.read().count()
+index.add(op3.digests(s.createDataFrame([(5, "ONE MORE 1"), (6, "from the other process")], "doc_id long, text string")))
+print("rows", index.buckets, n, index.read().count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300).stdout
+    assert f"rows 4 {before + 1 + op3.MOST} {before + 2 + op3.MOST}" in out
     index.drop()
-    other = op3.DigestIndex(spark, "test_digests_empty", 2)
+    other = op3.DigestIndex(spark, scratch(spark, "test-index"), 2)
     assert op3.groups(empty(awkward), other).count() == 0
     other.drop()
 
@@ -290,10 +329,10 @@ def slow_fingerprint(t):
 def test_op6_fingerprints_and_components(spark, awkward, docs, texts):
     for df, rows in ((awkward, AWKWARD), (docs, list(texts.items()))):
         got = collections.Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in op6.near_duplicates(df).collect())
-        f = [(i, slow_fingerprint(t)) for i, t in rows]
-        comp = brute_components([x for x in f if x[0] is not None])
-        by_fp = {fp: comp[i] for i, fp in f if i is not None}
-        assert got == collections.Counter((i, fp, by_fp.get(fp)) for i, fp in f)
+        f = [slow_fingerprint(t) for _, t in rows]
+        part = brute_components(list(enumerate(f)))
+        least = {p: min((rows[k][0] for k in part if part[k] == p and rows[k][0] is not None), default=None) for p in part.values()}
+        assert got == collections.Counter((i, f[k], least[part[k]]) for k, (i, _) in enumerate(rows))
     assert op6.near_duplicates(empty(awkward)).count() == 0
 
 
@@ -330,8 +369,8 @@ def test_op6_covering_and_large_buckets(spark):
         distinct.setdefault(x, i)
     df = stored(spark.createDataFrame([(i, x) for x, i in distinct.items()], "low long, fp long"), "classes")
     got = {r.node: r.root for r in components(op6.links(df, 4, leaf=64)).collect()}
-    want = brute_components([(i, x % 2**64) for x, i in distinct.items()])
-    assert {i: got.get(i, i) for i in want} == want
+    want = brute_components([(x, x % 2**64) for x in distinct])
+    assert {x: got.get(x, x) for x in want} == want
 
 
 def test_op7_next_and_likeness(spark, awkward, docs, texts):
