@@ -51,14 +51,18 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:
-    """One row: sum over communities of inner share minus squared half-degree share. member: id, community."""
+    """One row: sum over communities of inner share minus squared half-degree share, 0 without edges. member: id, community.
+
+    Each edge gives its two ends once, the first with whether it stays inside; the total is the one row that is joined.
+    """
     a, b = member.select(F.col("id").alias("src"), F.col("community").alias("ca")), member.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
-    both = edges.join(a, "src").join(b, "dst")
-    inner = both.where("ca = cb").groupBy(F.col("ca").alias("c")).agg(F.count(F.lit(1)).alias("inside"), F.lit(0).alias("degree"))
-    ends = both.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.lit(0).alias("inside"), F.count(F.lit(1)).alias("degree"))
-    per = inner.unionByName(ends).groupBy("c").agg(F.sum("inside").alias("inside"), F.sum("degree").alias("degree"))
-    m = F.sum("degree").over(Window.partitionBy()) / 2
-    return per.select(((F.col("inside") / m) - F.pow(F.col("degree") / (2 * m), 2)).alias("q")).agg(F.round(F.sum("q"), 4).alias("modularity"))
+    ends = edges.select("src", "dst").join(a, "src").join(b, "dst").select(F.explode(F.array(
+        F.struct(F.col("ca").alias("c"), (F.col("ca") == F.col("cb")).cast("long").alias("inside")), F.struct(F.col("cb").alias("c"), F.lit(0).cast("long").alias("inside")),
+    )).alias("e"))
+    per = ends.select("e.*").groupBy("c").agg(F.sum("inside").alias("inside"), F.count(F.lit(1)).alias("degree"))
+    sums = per.agg(F.sum("inside").alias("i"), F.sum("degree").alias("d"), F.sum(F.col("degree").cast("double") * F.col("degree")).alias("s"))
+    m = F.col("d") / 2
+    return sums.select(F.round(F.coalesce(F.col("i") / m - F.col("s") / (4 * m * m), F.lit(0.0)), 4).alias("modularity"))
 
 
 def cohesion(edges: DataFrame, member: DataFrame) -> DataFrame:
@@ -70,12 +74,3 @@ def cohesion(edges: DataFrame, member: DataFrame) -> DataFrame:
     every = member.select("community").distinct().join(of, "community", "left").fillna(0, ["inner_edges", "outer_edges"])
     total = F.col("inner_edges") + F.col("outer_edges")
     return every.withColumn("cohesion", F.when(total == 0, 1.0).otherwise(F.round(F.col("inner_edges") / total, 3)))
-
-
-def cross_community(edges: DataFrame, member: DataFrame, samples: int = 3) -> DataFrame:
-    """Edges between communities by unordered pair: weight and the first samples."""
-    a, b = member.select(F.col("id").alias("src"), F.col("community").alias("ca")), member.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
-    x = edges.join(a, "src").join(b, "dst").where("ca <> cb").withColumns({"low": F.least("ca", "cb"), "high": F.greatest("ca", "cb")})
-    weight = x.groupBy("low", "high").agg(F.count(F.lit(1)).alias("weight"))
-    first = x.withColumn("n", F.row_number().over(Window.partitionBy("low", "high").orderBy("src", "dst", "relation"))).where(F.col("n") <= samples)
-    return first.join(weight, ["low", "high"]).select("low", "high", "n", "src", "dst", "relation", "weight")

@@ -106,6 +106,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, restart: DataFrame | None = Non
     source and stay so; each round joins the ranks to them and sums, with a checkpoint every third.
     """
     n = nodes.count()
+    if not n:
+        return nodes.select("id", F.lit(0.0).alias("rank"))
     base = nodes.select("id", F.lit(1.0 / n).alias("base"))
     if restart is not None:
         total = restart.agg(F.sum("weight").alias("total"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomgraph.schemas import COVERAGE_FLOOR, STATUS_SEVERITY
@@ -97,36 +97,3 @@ def commit_risk(files: Column, churn: Column, critical: Column, hub: Column) ->
 def impact_score(files: Column, nodes: Column, callers: Column, apis: Column) -> Column:
     cap = lambda k, x, m: F.least(k * x, F.lit(m))
     return cap(5, files, 25) + cap(8, nodes, 30) + cap(4, callers, 25) + cap(10, apis, 20)
-
-
-#: Line rules of backend steps: first match wins.
-STEP_RULES = [
-    ("VALIDATION", r"\bif\s*\("), ("ERROR", r"\bthrow\b|\braise\b"), ("PERSISTENCE", r"\.(save|insert|update|delete)\w*\("), ("QUERY", r"\.(find|query|select|get)\w*\("),
-    ("EVENT", r"\.(publish|emit|send)\w*\("), ("AUDIT", r"\b(audit|log|logger)\b"),
-]
-
-
-def step_category(line: Column) -> Column:
-    out = F.lit("LOGIC")
-    for name, pattern in reversed(STEP_RULES):
-        out = F.when(line.rlike(pattern), name).otherwise(out)
-    return out
-
-
-#: Layers by path; first match wins.
-LAYER_RULES = [("INTERFACE", r"(^|/)(api|web|ui|routes?|controllers?)(/|$)"), ("DATA", r"(^|/)(db|models?|repositor(y|ies)|store|lib)(/|$)"), ("DOMAIN", r"(^|/)(src|core|services?|domain)(/|$)")]
-
-
-def layer(path: Column) -> Column:
-    out = F.lit("UNKNOWN")
-    for name, pattern in reversed(LAYER_RULES):
-        out = F.when(path.rlike(pattern), name).otherwise(out)
-    return out
-
-
-def layer_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct path pairs whose layers are called the wrong way (INVERTED_DEPENDENCY) or past one (LAYER_BYPASS)."""
-    of = nodes.select("id", "path", layer(F.col("path")).alias("layer"))
-    a, b = of.select(F.col("id").alias("src"), F.col("path").alias("from_path"), F.col("layer").alias("la")), of.select(F.col("id").alias("dst"), F.col("path").alias("to_path"), F.col("layer").alias("lb"))
-    kind = F.when((F.col("la") == "DATA") & F.col("lb").isin("DOMAIN", "INTERFACE") | (F.col("la") == "DOMAIN") & (F.col("lb") == "INTERFACE"), "INVERTED_DEPENDENCY").when((F.col("la") == "INTERFACE") & (F.col("lb") == "DATA"), "LAYER_BYPASS")
-    return edges.join(a, "src").join(b, "dst").select("from_path", "to_path", kind.alias("violation")).where("violation is not null").distinct()

@@ -68,22 +68,6 @@ def journal_drift_full_outer(t):
     return joins.drift(t("journal"), t("disk"))
 
 
-STATES = """WITH s AS (SELECT coalesce(j.path, d.path) AS path, CASE WHEN concat('/', coalesce(j.path, d.path), '/') LIKE '%/vendor/%' THEN 'EXCLUDED' WHEN j.path IS NULL THEN 'NOT_INDEXED' WHEN d.path IS NULL THEN 'MISSING'
-  WHEN j.digest <> d.digest THEN 'STALE' WHEN parser_outcome = 'PARTIAL_AST' THEN 'PARSER_PARTIAL' WHEN parser_outcome = 'PARSE_ERROR' THEN 'PARSER_FAILED' WHEN parser_outcome = 'VALID_EMPTY' THEN 'INDEXED' ELSE 'PARSED' END AS state
-  FROM <journal> j FULL OUTER JOIN <disk> d ON j.path = d.path)"""
-
-
-@query(STATES + " SELECT * FROM s")
-def coverage_states(t):
-    return joins.coverage_states(t("journal"), t("disk"))
-
-
-@query(STATES + """ SELECT count(*) FILTER (state <> 'EXCLUDED') AS eligible, count(*) FILTER (state IN ('INDEXED', 'PARSED')) AS covered,
-  round(count(*) FILTER (state IN ('INDEXED', 'PARSED')) / nullif(count(*) FILTER (state <> 'EXCLUDED'), 0), 6) AS fraction FROM s""")
-def covered_fraction(t):
-    return joins.covered_fraction(joins.coverage_states(t("journal"), t("disk")))
-
-
 @query("""SELECT concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) AS scope, sha256(string_agg(concat(path, ':', digest, chr(10)), '' ORDER BY path, digest)) AS digest
 FROM <journal> GROUP BY 1""")
 def manifest_digest(t):
@@ -153,11 +137,6 @@ def retention_keep_n(t):
     return ledger.keep_newest(t("runs"))
 
 
-@query("SELECT provider, arg_max(status, struct_pack(c := created_at, r := run_id)) AS status, max(created_at) AS created_at FROM <runs> GROUP BY provider")
-def latest_status_per_capability(t):
-    return ledger.latest_status(t("runs"))
-
-
 @query("""WITH b AS (SELECT src, dst, relation, min(line) AS bl FROM <edges> WHERE relation = 'calls' GROUP BY 1, 2, 3), e AS (SELECT src, dst, relation, min(span_line) AS el FROM <evidence> GROUP BY 1, 2, 3),
 x AS (SELECT coalesce(b.src, e.src) AS src, coalesce(b.dst, e.dst) AS dst, coalesce(b.relation, e.relation) AS relation, bl, el FROM b FULL OUTER JOIN e ON b.src = e.src AND b.dst = e.dst AND b.relation = e.relation)
 SELECT src, dst, relation, CASE WHEN bl IS NOT NULL AND el IS NOT NULL THEN CASE WHEN abs(bl - el) > 2 THEN 'span_conflict' ELSE 'agreement' END
@@ -241,41 +220,12 @@ def community_cohesion(t):
     return stats.cohesion(t("edges"), _member(t))
 
 
-@query(f"""WITH {_MEMBER}, x AS (SELECT least(a.community, b.community) AS low, greatest(a.community, b.community) AS high, e.src, e.dst, e.relation FROM <edges> e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.dst WHERE a.community <> b.community)
-SELECT low, high, n, src, dst, relation, weight FROM (SELECT *, cast(row_number() OVER (PARTITION BY low, high ORDER BY src, dst, relation) AS int) AS n, count(*) OVER (PARTITION BY low, high) AS weight FROM x) WHERE n <= 3""")
-def cross_community_top3(t):
-    return stats.cross_community(t("edges"), _member(t))
-
-
 @query()
 def label_propagation(t):
     e = t("steps")
     return traverse.label_propagation(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e, ANALYTICS_ROUNDS)
 
 
-_LAYER = "CASE WHEN regexp_matches({p}, '(^|/)(api|web|ui|routes?|controllers?)(/|$)') THEN 'INTERFACE' WHEN regexp_matches({p}, '(^|/)(db|models?|repositor(y|ies)|store|lib)(/|$)') THEN 'DATA' WHEN regexp_matches({p}, '(^|/)(src|core|services?|domain)(/|$)') THEN 'DOMAIN' ELSE 'UNKNOWN' END"
-
-
-@query(f"SELECT id, {_LAYER.format(p='path')} AS layer FROM <nodes>")
-def layer_classify(t):
-    return t("nodes").select("id", trust.layer(F.col("path")).alias("layer"))
-
-
-@query(f"""WITH l AS (SELECT id, CASE WHEN kind = 'method' THEN concat('api/', path) ELSE path END AS path FROM <nodes>), k AS (SELECT id, path, {_LAYER.format(p='path')} AS layer FROM l)
-SELECT DISTINCT a.path AS from_path, b.path AS to_path, CASE WHEN a.layer = 'INTERFACE' THEN 'LAYER_BYPASS' ELSE 'INVERTED_DEPENDENCY' END AS violation FROM <edges> e JOIN k a ON a.id = e.src JOIN k b ON b.id = e.dst
-WHERE (a.layer = 'DATA' AND b.layer IN ('DOMAIN', 'INTERFACE')) OR (a.layer = 'DOMAIN' AND b.layer = 'INTERFACE') OR (a.layer = 'INTERFACE' AND b.layer = 'DATA')""")
-def layer_violations(t):
-    nodes = t("nodes").withColumn("path", F.when(F.col("kind") == "method", F.concat(F.lit("api/"), "path")).otherwise(F.col("path")))
-    return trust.layer_violations(nodes, t("edges"))
-
-
-@query("""SELECT split_part(path, '/', 2) AS domain, count(*) AS symbols, count(DISTINCT path) AS files, count(*) FILTER (kind = 'class') AS classes, min(symbol) AS sample FROM <nodes> GROUP BY 1""")
-def domain_aggregate(t):
-    return t("nodes").groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("domain")).agg(
-        F.count(F.lit(1)).alias("symbols"), F.count_distinct("path").alias("files"), F.count_if(F.col("kind") == "class").alias("classes"), F.min("symbol").alias("sample")
-    )
-
-
 @query("""WITH c AS (SELECT cast(cast(o_orderdate AS date) AS string) AS commit_id, count(DISTINCT l_partkey) AS files, cast(sum(l_quantity) AS bigint) + count(*) AS churn, bool_or(l_shipdate < o_orderdate + INTERVAL 3 DAY) AS critical, bool_or(l_suppkey % 97 = 0) AS hub
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), p AS (SELECT *, cast((CASE WHEN files > 15 THEN 4 WHEN files > 5 THEN 2 ELSE 0 END) + (CASE WHEN churn > 800 THEN 4 WHEN churn > 250 THEN 2 ELSE 0 END) + (CASE WHEN critical THEN 4 ELSE 0 END) + (CASE WHEN hub THEN 3 ELSE 0 END) AS int) AS points FROM c)
 SELECT commit_id, files, churn, points, CASE WHEN points >= 5 THEN 'HIGH' WHEN points >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM p""")
@@ -296,21 +246,6 @@ def impact_risk_score(t):
     return h.join(n, "path").select("path", trust.impact_score(F.col("files") % 7, F.col("nodes") % 5, F.col("callers") % 9, F.col("files") % 3).alias("score"))
 
 
-_LINE = "CASE event_id % 6 WHEN 0 THEN 'if (balance > limit)' WHEN 1 THEN 'repo.save(x)' WHEN 2 THEN 'throw new AppException()' WHEN 3 THEN 'repository.find(id)' WHEN 4 THEN 'audit.log(x)' ELSE 'total = a + b' END"
-
-
-@query(f"""WITH l AS (SELECT user_id, event_id, {_LINE} AS line FROM events), c AS (SELECT *, CASE WHEN line LIKE 'if (%' THEN 'VALIDATION' WHEN line LIKE 'throw%' THEN 'ERROR' WHEN line LIKE '%.save(%' THEN 'PERSISTENCE'
-  WHEN line LIKE '%.find(%' THEN 'QUERY' WHEN line LIKE 'audit%' THEN 'AUDIT' ELSE 'LOGIC' END AS category FROM l)
-SELECT user_id AS body, cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS int) AS step, category, max(CASE WHEN category = 'VALIDATION' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS guarded_by FROM c""")
-def execution_steps(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    c = t("events").select("user_id", "event_id", trust.step_category(F.expr(_LINE)).alias("category"))
-    guard = F.max(F.when(F.col("category") == "VALIDATION", F.col("event_id"))).over(w)
-    return c.select(F.col("user_id").alias("body"), F.row_number().over(w).alias("step"), "category", guard.alias("guarded_by"))
-
-
 _TRUST = """x AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'UNKNOWN' WHEN toxic = 1 THEN 'STALE' ELSE 'FRESH' END AS fresh,
   CASE WHEN quality = 1 AND d.doc_id % 2 = 0 THEN 'EXACT_SPAN' WHEN quality = 1 THEN 'EXACT_SYMBOL' ELSE 'FILE_TOKEN' END AS rel, CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE (d.doc_id % 10) / 10.0 END AS cov FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
@@ -374,4 +309,4 @@ def repo_map_budget(t):
     return traverse.budget_prefix(top.withColumn("cost", F.ceil(F.length(F.concat("path", "symbol")) / 4)), [F.desc("rank"), "id"], "cost", 1024)
 
 
-from loomgraph.plans import resolve_queries, search_queries  # noqa: E402, F401  each registers its queries
+from loomgraph.plans import assurance_queries, code_queries, graph_queries, identity_queries, ledger_queries, resolve_queries, search_queries  # noqa: E402, F401  each registers its queries

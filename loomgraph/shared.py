@@ -6,7 +6,8 @@ import hashlib
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +47,15 @@ def kept(spark: SparkSession, key: str, make: Callable[[], DataFrame], by: str |
         (out.partitionBy(by) if by else out).parquet(path)
         _KEPT[slot] = path
     return spark.read.parquet(_KEPT[slot])
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds the row's number from 0 in a total order, without ordering all rows in one task: ranges are counted, and only a
+    row a range is summed in one place."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    up_to_here = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("k")).select("__range", F.coalesce(F.sum("k").over(up_to_here), F.lit(0)).alias("__before"))
+    out = ranged.withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    out = out.join(F.broadcast(before), "__range")  # a row for each shuffle partition at most
+    return out.withColumn(name, F.col("__before") + F.col("__place") - 1).drop("__range", "__before", "__place")

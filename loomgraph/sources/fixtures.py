@@ -110,12 +110,66 @@ SELECT path, concat('ord:', cast(o_orderkey AS string)) AS src,
 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN ({NATION_PATH}) np ON c_nationkey = n_nationkey
 """
 
+#: Code: ten files, thirteen names and eleven lines, dealt over the events.
+_CODE_PATHS = (
+    "app/lib/features/client_crm/presentation/home_page.dart", "server/src/services/billing/invoice_service.java", "lib/core/network/api_client.dart", "web/src/pages/checkout/CartView.tsx", "api/controllers/order_controller.py",
+    "app/lib/features/auth/domain/user_entity.dart", "server/src/repository/order_repository.java", "tests/unit/test_orders.py", "web/src/components/PayDialog.tsx", "misc/notes.txt",
+)
+_CODE_LABELS = (
+    "class HomePage", "def list_orders(request)", "class OrderController", "function createInvoice(x)", "class PaymentEvent", "async def _private_get()", "class UserEntity", "OrderRepository", "def approve_order(id)", "class LoginScreen extends Widget",
+    "function exportCsv(rows)", "class WebhookCallback", "helper",
+)
+_CODE_LINES = (
+    "if (balance < limit) { throw new LimitException(); }", "const handleSubmit = async (e) => {", "  repository.save(order);", "  toast.error(\"Payment failed\");", "// a comment", "  setOpen(true); api.sendOrder(order);", "  return order;",
+    "  repo.findById(id); logger.info(\"x\");", "  restTemplate.getForObject(url); // bccs", "@Scheduled cron for user data sync", "if (name == null || name.isEmpty()) validate(name);",
+)
+
+
+def _pick(column: str, values: tuple[str, ...]) -> str:
+    return f"CASE {column} % {len(values)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
+CODE = f"""
+SELECT concat('code:', cast(event_id AS string)) AS id, event_id, {_pick("event_id", _CODE_PATHS)} AS path, CASE event_id % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 2 THEN 'method' ELSE 'file' END AS kind,
+  {_pick("event_id", ("listOrders", "approveOrder", "_hidden", "exportCsv", "AdminController", "uploadFile", "payment", "doIt", "WebhookHandler"))} AS symbol, {_pick("event_id", _CODE_LABELS)} AS label,
+  concat_ws(chr(10), {_pick("event_id", _CODE_LINES)}, {_pick("event_id * 3 + 1", _CODE_LINES)}, {_pick("user_id", _CODE_LINES)}, {_pick("event_id * 5 + user_id", _CODE_LINES)}) AS body, cast(1 + event_id % 90 AS int) AS line_start FROM events
+"""
+
+CODE_EDGES = "SELECT DISTINCT concat('code:', cast(event_id AS string)) AS src, concat('code:', cast(user_id AS string)) AS dst, 'calls' AS relation FROM events WHERE event_id <> user_id"
+
+LEDGER_RUNS = f"""
+SELECT run_id, provider, created_at, status, CASE WHEN created_at % 2 = 0 THEN '1.0' ELSE '1.1' END AS version, CASE WHEN created_at % 3 = 0 THEN 'SYMBOLS' ELSE 'CALLS' END AS capability, CASE WHEN created_at % 5 = 0 THEN '/b' ELSE '/a' END AS project,
+  concat('snap', cast(created_at % 17 AS string)) AS snapshot_id FROM ({RUNS}) r
+"""
+
+SNAPSHOTS = "SELECT concat('snap', cast(user_id AS string)) AS snapshot_id, concat('/r', cast(user_id % 4 AS string)) AS root, max(event_id) AS captured_at FROM events GROUP BY user_id"
+
+LEDGER = f"""
+SELECT evidence_id, provider, run_id, CASE WHEN span_line % 2 = 1 THEN src END AS symbol, src, dst, CASE WHEN span_line % 3 = 1 THEN dst END AS target, relation, CASE WHEN span_line = 6 THEN NULL ELSE concat('src/f', cast(length(evidence_id) * 7 % 5 AS string), cast(span_line AS string), '.py') END AS path,
+  CASE WHEN span_line = 5 THEN concat('src\\\\f1', cast(span_line AS string), '.py') END AS file_path, CASE WHEN span_line <> 4 THEN span_line END AS line_start, CASE WHEN span_line <> 4 THEN span_line + 3 END AS line_end, snapshot,
+  CASE WHEN span_line = 2 THEN 77 END AS invalidated_at, CASE WHEN span_line = 2 THEN 'old' END AS invalidation_reason, length(evidence_id) * 100 + span_line AS created_at FROM ({EVIDENCE}) e
+"""
+
+_FILE = """concat(CASE o_custkey % 9 WHEN 0 THEN 'vendor/x' WHEN 1 THEN 'src/build' ELSE concat('src/p', cast(o_custkey % 40 AS string)) END, '/f', cast(o_orderkey AS string),
+  CASE o_orderkey % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.min.js' WHEN 3 THEN '.tsx' WHEN 4 THEN '.md' ELSE '.bin' END)"""
+
+#: A journal with a file an order, and what is on disk: files altered, touched, vanished and new.
+FILES = f"""
+SELECT {_FILE} AS path, concat('h', cast(o_orderkey AS string)) AS digest, 10 + o_orderkey % 1000 AS size, o_orderkey * 3 AS mtime_ms, 1 + o_orderkey % 7 AS generation,
+  CASE o_orderkey % 11 WHEN 0 THEN 'PARTIAL_AST' WHEN 1 THEN 'PARSE_ERROR' WHEN 2 THEN 'VALID_EMPTY' WHEN 3 THEN 'PARSER_UNAVAILABLE' WHEN 4 THEN NULL ELSE 'COMPLETE' END AS parser_outcome FROM orders WHERE o_orderkey % 13 <> 0
+"""
+
+FILES_ON_DISK = f"""
+SELECT {_FILE} AS path, CASE WHEN o_orderkey % 10 = 0 THEN 'other' ELSE concat('h', cast(o_orderkey AS string)) END AS digest, 10 + o_orderkey % 1000 + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS size, o_orderkey * 3 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS mtime_ms,
+  CASE o_orderkey % 4 WHEN 0 THEN 'x = getattr(a, b)' WHEN 1 THEN 'return reflect.TypeOf(v)' WHEN 2 THEN 'import(path)' ELSE 'plain text' END AS content FROM orders WHERE o_orderkey % 17 <> 0
+"""
+
 TEXTS = {
     "nodes": NODES, "edges": EDGES, "steps": STEPS, "hunks": HUNKS, "journal": JOURNAL, "disk": DISK, "runs": RUNS, "evidence": EVIDENCE,
-    "corpus": CORPUS, "doc_evidence": DOC_EVIDENCE, "rich": RICH, "rich_edges": RICH_EDGES, "refs": REFS,
+    "corpus": CORPUS, "doc_evidence": DOC_EVIDENCE, "rich": RICH, "rich_edges": RICH_EDGES, "refs": REFS, "code": CODE, "files": FILES, "files_on_disk": FILES_ON_DISK, "ledger": LEDGER, "ledger_runs": LEDGER_RUNS, "snapshots": SNAPSHOTS, "code_edges": CODE_EDGES,
 }
 #: Tables that a store would hold; derived from others once.
-STORED = {"nodes", "edges", "steps", "hunks", "evidence", "rich", "refs"}
+STORED = {"nodes", "edges", "steps", "hunks", "evidence", "rich", "refs", "ledger", "ledger_runs"}
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,7 +192,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(sql: str) -> str:
     """A query over derived tables as SQL over base tables."""
     used = [n for n in TEXTS if f"<{n}>" in sql]
-    head = ", ".join(f"fx_{n} AS ({TEXTS[n]})" for n in used)
+    head = ", ".join(f"fx_{n} AS ({TEXTS[n]})" for n in used).replace("\\\\", "\\")  # one backslash there is one there
     for n in used:
         sql = sql.replace(f"<{n}>", f"fx_{n}")
     sql = sql.strip()

@@ -101,21 +101,6 @@ def keywords(symbol: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(F.lower(symbol)), snake, pairs, camel), lambda x: F.length(x) >= 2))
 
 
-#: Names that providers give to relations, and the canonical ones; fixed values.
-RELATIONS = {
-    "call": "CALLS", "calls": "CALLS", "invokes": "CALLS", "uses": "USES", "use": "USES", "imports": "IMPORTS", "import": "IMPORTS", "extends": "EXTENDS",
-    "inherits": "EXTENDS", "implements": "IMPLEMENTS", "references": "REFERENCES", "reference": "REFERENCES", "defines": "DEFINES", "type_of": "TYPE_OF",
-}
-
-
-def canonical_relation(raw: Column) -> Column:
-    low = F.lower(F.trim(raw))
-    out = F.upper(low)
-    for k, v in RELATIONS.items():
-        out = F.when(low == k, v).otherwise(out)
-    return F.when(low.startswith("call:"), "CALLS").otherwise(out)
-
-
 def normalise_path(path: Column) -> Column:
     """Forward slashes, no ./ and no doubled or closing slash."""
     p = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+", "/")
