@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import joins, ledger, stats, traverse, trust
 from loomgraph.plans.registry import ORACLES, QUERIES, query
-from loomgraph.schemas import ANALYTICS_ROUNDS, MAP_ROUNDS
+from loomgraph.schemas import ANALYTICS_ROUNDS
 from loomgraph.streaming import changes
 
 DEGREE = """WITH o AS (SELECT src AS id, count(*) AS n FROM <edges> GROUP BY src), i AS (SELECT dst AS id, count(*) AS n FROM <edges> GROUP BY dst),
@@ -62,12 +62,6 @@ def orphan_edges_anti(t):
     return joins.orphan_edges(t("nodes").where("not (kind = 'class' and line_start % 7 = 0)"), t("edges"))
 
 
-@query("""SELECT coalesce(j.path, d.path) AS path, CASE WHEN d.path IS NULL THEN 'missing' WHEN j.path IS NULL THEN 'unrecorded' WHEN j.digest <> d.digest THEN 'hash_mismatch' ELSE 'mtime_size_mismatch' END AS state
-FROM <journal> j FULL OUTER JOIN <disk> d ON j.path = d.path WHERE j.path IS NULL OR d.path IS NULL OR j.digest <> d.digest OR j.size <> d.size""")
-def journal_drift_full_outer(t):
-    return joins.drift(t("journal"), t("disk"))
-
-
 @query("""SELECT concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) AS scope, sha256(string_agg(concat(path, ':', digest, chr(10)), '' ORDER BY path, digest)) AS digest
 FROM <journal> GROUP BY 1""")
 def manifest_digest(t):
@@ -301,12 +295,4 @@ def generation_latest_state(t):
     return changes.latest(_changes(t)).drop("ts")
 
 
-@query()
-def repo_map_budget(t):
-    e = t("steps")
-    ranks = traverse.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e, rounds=MAP_ROUNDS)
-    top = ranks.join(t("nodes").select("id", "symbol", "path"), "id").orderBy(F.desc("rank"), "id").limit(400)
-    return traverse.budget_prefix(top.withColumn("cost", F.ceil(F.length(F.concat("path", "symbol")) / 4)), [F.desc("rank"), "id"], "cost", 1024)
-
-
-from loomgraph.plans import assurance_queries, code_queries, graph_queries, identity_queries, ledger_queries, resolve_queries, search_queries  # noqa: E402, F401  each registers its queries
+from loomgraph.plans import assurance_queries, code_queries, graph_queries, identity_queries, ledger_queries, resolve_queries, search_queries, upkeep_queries  # noqa: E402, F401  each registers its queries

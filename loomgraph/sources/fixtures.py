@@ -164,12 +164,27 @@ SELECT {_FILE} AS path, CASE WHEN o_orderkey % 10 = 0 THEN 'other' ELSE concat('
   CASE o_orderkey % 4 WHEN 0 THEN 'x = getattr(a, b)' WHEN 1 THEN 'return reflect.TypeOf(v)' WHEN 2 THEN 'import(path)' ELSE 'plain text' END AS content FROM orders WHERE o_orderkey % 17 <> 0
 """
 
+#: A graph over the journaled files: a node a file, notes, edges and references between files.
+FILE_NODES = f"""
+SELECT concat('f:', cast(o_orderkey AS string)) AS id, {_FILE} AS path, 'file' AS kind, concat('mod', cast(o_orderkey AS string)) AS symbol, concat('pkg.mod', cast(o_orderkey AS string)) AS fqn FROM orders WHERE o_orderkey % 13 <> 0
+UNION ALL SELECT concat('note:', cast(n_nationkey AS string)), '', 'note', n_name, n_name FROM nation
+"""
+
+FILE_EDGES = f"""
+SELECT {_FILE} AS path, concat('f:', cast(l_orderkey AS string)) AS src, concat('f:', cast(l_partkey AS string)) AS dst, 'imports' AS relation, min(l_linenumber) AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 13 <> 0 GROUP BY 1, 2, 3
+"""
+
+FILE_PENDING = f"""
+SELECT DISTINCT {_FILE} AS path, concat('f:', cast(l_orderkey AS string)) AS src, concat('mod', cast(l_suppkey AS string)) AS dst_symbol, 'calls' AS relation, 2 AS line, cast(NULL AS string) AS import_source, cast(NULL AS string) AS receiver, 'UNRESOLVED' AS resolution_state
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 2
+"""
+
 TEXTS = {
     "nodes": NODES, "edges": EDGES, "steps": STEPS, "hunks": HUNKS, "journal": JOURNAL, "disk": DISK, "runs": RUNS, "evidence": EVIDENCE,
-    "corpus": CORPUS, "doc_evidence": DOC_EVIDENCE, "rich": RICH, "rich_edges": RICH_EDGES, "refs": REFS, "code": CODE, "files": FILES, "files_on_disk": FILES_ON_DISK, "ledger": LEDGER, "ledger_runs": LEDGER_RUNS, "snapshots": SNAPSHOTS, "code_edges": CODE_EDGES,
+    "corpus": CORPUS, "doc_evidence": DOC_EVIDENCE, "rich": RICH, "rich_edges": RICH_EDGES, "refs": REFS, "code": CODE, "files": FILES, "file_nodes": FILE_NODES, "file_edges": FILE_EDGES, "file_pending": FILE_PENDING, "files_on_disk": FILES_ON_DISK, "ledger": LEDGER, "ledger_runs": LEDGER_RUNS, "snapshots": SNAPSHOTS, "code_edges": CODE_EDGES,
 }
 #: Tables that a store would hold; derived from others once.
-STORED = {"nodes", "edges", "steps", "hunks", "evidence", "rich", "refs", "ledger", "ledger_runs"}
+STORED = {"nodes", "edges", "steps", "hunks", "evidence", "rich", "refs", "ledger", "ledger_runs", "files", "files_on_disk", "file_nodes", "file_edges", "file_pending"}
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
