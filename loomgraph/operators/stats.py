@@ -74,3 +74,22 @@ def cohesion(edges: DataFrame, member: DataFrame) -> DataFrame:
     every = member.select("community").distinct().join(of, "community", "left").fillna(0, ["inner_edges", "outer_edges"])
     total = F.col("inner_edges") + F.col("outer_edges")
     return every.withColumn("cohesion", F.when(total == 0, 1.0).otherwise(F.round(F.col("inner_edges") / total, 3)))
+
+
+def counts(journal: DataFrame, nodes: DataFrame, edges: DataFrame, pending: DataFrame) -> DataFrame:
+    """One row: paths, nodes, edges, references, ambiguous and unresolved ones."""
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    state = F.col("resolution_state")
+    p = pending.agg(F.count(F.lit(1)).alias("pending"), F.count_if(state == "AMBIGUOUS").alias("pending_ambiguous"), F.count_if(state == "UNRESOLVED").alias("pending_unresolved"))
+    return one(journal, "paths").crossJoin(one(nodes, "nodes")).crossJoin(one(edges, "edges")).crossJoin(p)  # single rows
+
+
+def integrity(journal: DataFrame, nodes: DataFrame, pending: DataFrame, indexed: DataFrame) -> DataFrame:
+    """what, n: nodes without a journaled file (notes have none), how far the text index (id) is from the nodes, references by
+    state and by relation."""
+    note = (F.col("kind") == "note") | F.startswith("id", F.lit("note:"))
+    lost = nodes.where(~note).join(journal.select("path"), "path", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("orphaned_nodes").alias("what"), "n")
+    gap = nodes.agg(F.count(F.lit(1)).alias("a")).crossJoin(indexed.agg(F.count(F.lit(1)).alias("b"))).select(F.lit("index_gap").alias("what"), F.abs(F.col("a") - F.col("b")).alias("n"))  # single rows
+    g = pending.groupingSets([[F.col("resolution_state")], [F.col("relation")]], "resolution_state", "relation").agg(F.count(F.lit(1)).alias("n"), F.grouping("resolution_state").alias("g"))
+    open_ = g.select(F.when(F.col("g") == 0, F.concat(F.lit("pending_state:"), "resolution_state")).otherwise(F.concat(F.lit("pending_relation:"), "relation")).alias("what"), "n")
+    return lost.unionByName(gap).unionByName(open_)

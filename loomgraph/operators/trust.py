@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.schemas import COVERAGE_FLOOR, STATUS_SEVERITY
@@ -29,27 +29,6 @@ def verdict(freshness: Column, relevance: Column) -> Column:
     )
 
 
-def reasons(bound: Column, stale: Column, conflicts: Column, covered: Column, absence: Column, unresolved: Column) -> Column:
-    """All reason codes that apply, in rule order."""
-    return F.array_compact(F.array(
-        F.when(~F.coalesce(bound, F.lit(False)), "SNAPSHOT_UNBOUND"), F.when(stale > 0, "STALE_EVIDENCE"), F.when(conflicts > 0, "CONFLICTING_EVIDENCE"),
-        F.when(covered.isNull(), "COVERAGE_UNMEASURED"), F.when(absence & (covered < COVERAGE_FLOOR), "COVERAGE_BELOW_FLOOR"), F.when(unresolved > 0, "UNRESOLVED_EDGES"),
-    ))
-
-
-#: The status that each reason leads to.
-REASON_STATUS = {
-    "SNAPSHOT_UNBOUND": "ABSTAINED", "STALE_EVIDENCE": "STALE", "CONFLICTING_EVIDENCE": "CONFLICTED", "COVERAGE_UNMEASURED": "UNVERIFIABLE",
-    "COVERAGE_BELOW_FLOOR": "UNVERIFIABLE", "UNRESOLVED_EDGES": "PARTIAL",
-}
-
-
-def decision(codes: Column) -> Column:
-    """The most severe status of the reasons; ASSURED without any."""
-    worst = F.array_max(F.concat(F.array(F.lit(0)), F.transform(codes, lambda c: _map({k: STATUS_SEVERITY[v] for k, v in REASON_STATUS.items()}, c))))
-    return _map({v: k for k, v in STATUS_SEVERITY.items()}, worst)
-
-
 def decide(
     identity: Column, bound: Column, collection_error: Column, stale: Column, measured: Column, covered: Column, parser_failures: Column, unresolved: Column, conflicts: Column,
     truncated: Column, truncation_sources: Column, enumerated: Column, parser_capable: Column, partial_ast: Column, provider_ok: Column, absence: Column, gate_blocked: Column,
@@ -85,15 +64,42 @@ def _map(values: dict, key: Column) -> Column:
     return out
 
 
-def commit_risk(files: Column, churn: Column, critical: Column, hub: Column) -> Column:
-    """Points for files, churn, critical paths and touched hubs; HIGH from 5, MEDIUM from 2."""
-    points = (
-        F.when(files > 15, 4).when(files > 5, 2).otherwise(0) + F.when(churn > 800, 4).when(churn > 250, 2).otherwise(0)
-        + F.when(critical, 4).otherwise(0) + F.when(hub, 3).otherwise(0)
-    )
-    return F.struct(points.alias("points"), F.when(points >= 5, "HIGH").when(points >= 2, "MEDIUM").otherwise("LOW").alias("level"))
+#: Paths and files whose change is a risk by itself; fixed values.
+CRITICAL = ("migration", "schema", "auth", "security", "crypto", "secret", "payment", "billing", "lock", "permission", "database", "alembic", "flyway")
+CONFIG = ("package.json", "cargo.toml", "pyproject.toml", "go.mod", "pom.xml", "build.gradle", "dockerfile", "docker-compose.yml", "tsconfig.json")
+BUSY = 5  # references that make a symbol a core one
+
+
+def commit_risks(changes: DataFrame, touched: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+    """commit, files, churn, points, level, reasons of each commit by what it changes.
+
+    changes: commit, path (null for a commit without files), insertions, deletions; touched: commit, symbol, place of the
+    symbols in the changed files; references: symbol, n. Of a commit's first three symbols one with BUSY references counts.
+    """
+    low = F.lower("path")
+    name = F.element_at(F.split(low, "/"), -1)
+    c = changes.groupBy("commit").agg(
+        F.count("path").alias("files"), F.sum(F.col("insertions") + F.col("deletions")).alias("churn"), F.count_if(F.rlike(low, F.lit("|".join(CRITICAL)))).alias("critical"), F.count_if(name.isin(*CONFIG)).alias("config")
+    )
+    if touched is not None and references is not None:
+        busy = touched.where("place <= 3").join(references.where(F.col("n") >= BUSY), "symbol").select("commit").distinct().withColumn("core", F.lit(True))
+        c = c.join(busy, "commit", "left")
+    else:
+        c = c.withColumn("core", F.lit(None).cast("boolean"))
+    f, k = F.col("files"), F.col("churn")
+    core = F.coalesce("core", F.lit(False))
+    points = F.when(f > 15, 4).when(f > 5, 2).otherwise(0) + F.when(k > 800, 4).when(k > 250, 2).otherwise(0) + F.when(F.col("critical") > 0, 4).otherwise(0) + F.when(F.col("config") > 0, 2).otherwise(0) + F.when(core, 3).otherwise(0)
+    why = F.array_compact(F.array(
+        F.when(f > 15, "many_files").when(f > 5, "several_files"), F.when(k > 800, "massive_churn").when(k > 250, "moderate_churn"), F.when(F.col("critical") > 0, "critical_paths"), F.when(F.col("config") > 0, "config_files"), F.when(core, "core_symbol"),
+    ))
+    x = c.withColumn("points", points)
+    level = F.when(F.col("points") >= 5, "HIGH").when(F.col("points") >= 2, "MEDIUM").otherwise("LOW")
+    return x.select("commit", "files", "churn", "points", level.alias("level"), F.when(F.size(why) == 0, "small_change").otherwise(F.array_join(why, ",")).alias("reasons"))
 
 
-def impact_score(files: Column, nodes: Column, callers: Column, apis: Column) -> Column:
+def impact_summary(files: Column, nodes: Column, callers: Column, apis: Column) -> Column:
+    """(score, level) of a change: capped weights of changed files, nodes in them, their callers and interfaces."""
     cap = lambda k, x, m: F.least(k * x, F.lit(m))
-    return cap(5, files, 25) + cap(8, nodes, 30) + cap(4, callers, 25) + cap(10, apis, 20)
+    score = cap(5, files, 25) + cap(8, nodes, 30) + cap(4, callers, 25) + cap(10, apis, 20)
+    level = F.when((score >= 60) | (apis >= 3) | (callers >= 10), "HIGH").when((score >= 25) | (callers >= 3) | (apis >= 1), "MEDIUM").otherwise("LOW")
+    return F.struct(score.alias("score"), level.alias("level"))

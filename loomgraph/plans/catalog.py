@@ -220,26 +220,6 @@ def label_propagation(t):
     return traverse.label_propagation(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e, ANALYTICS_ROUNDS)
 
 
-@query("""WITH c AS (SELECT cast(cast(o_orderdate AS date) AS string) AS commit_id, count(DISTINCT l_partkey) AS files, cast(sum(l_quantity) AS bigint) + count(*) AS churn, bool_or(l_shipdate < o_orderdate + INTERVAL 3 DAY) AS critical, bool_or(l_suppkey % 97 = 0) AS hub
-  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), p AS (SELECT *, cast((CASE WHEN files > 15 THEN 4 WHEN files > 5 THEN 2 ELSE 0 END) + (CASE WHEN churn > 800 THEN 4 WHEN churn > 250 THEN 2 ELSE 0 END) + (CASE WHEN critical THEN 4 ELSE 0 END) + (CASE WHEN hub THEN 3 ELSE 0 END) AS int) AS points FROM c)
-SELECT commit_id, files, churn, points, CASE WHEN points >= 5 THEN 'HIGH' WHEN points >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM p""")
-def commit_risk(t):
-    x = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    c = x.groupBy(F.col("o_orderdate").cast("date").cast("string").alias("commit_id")).agg(
-        F.count_distinct("l_partkey").alias("files"), (F.sum("l_quantity").cast("long") + F.count(F.lit(1))).alias("churn"),
-        F.bool_or(F.col("l_shipdate") < F.col("o_orderdate") + F.expr("interval 3 days")).alias("critical"), F.bool_or(F.col("l_suppkey") % 97 == 0).alias("hub"),
-    )
-    return c.select("commit_id", "files", "churn", trust.commit_risk(F.col("files"), F.col("churn"), F.col("critical"), F.col("hub")).alias("r")).select("commit_id", "files", "churn", "r.points", "r.level")
-
-
-@query("""WITH h AS (SELECT path, count(*) AS files FROM <hunks> GROUP BY path), n AS (SELECT path, count(*) AS nodes, count(*) FILTER (kind = 'method') AS callers FROM <nodes> GROUP BY path)
-SELECT h.path, cast(least(5 * (files % 7), 25) + least(8 * (nodes % 5), 30) + least(4 * (callers % 9), 25) + least(10 * (files % 3), 20) AS bigint) AS score FROM h JOIN n ON n.path = h.path""")
-def impact_risk_score(t):
-    h = t("hunks").groupBy("path").agg(F.count(F.lit(1)).alias("files"))
-    n = t("nodes").groupBy("path").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("kind") == "method").alias("callers"))
-    return h.join(n, "path").select("path", trust.impact_score(F.col("files") % 7, F.col("nodes") % 5, F.col("callers") % 9, F.col("files") % 3).alias("score"))
-
-
 _TRUST = """x AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'UNKNOWN' WHEN toxic = 1 THEN 'STALE' ELSE 'FRESH' END AS fresh,
   CASE WHEN quality = 1 AND d.doc_id % 2 = 0 THEN 'EXACT_SPAN' WHEN quality = 1 THEN 'EXACT_SYMBOL' ELSE 'FILE_TOKEN' END AS rel, CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE (d.doc_id % 10) / 10.0 END AS cov FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
@@ -259,17 +239,6 @@ def trust_verdict(t):
     return _trust(t).select("doc_id", trust.verdict(f, r).alias("verdict"), F.round(trust.confidence(f, r, c), 4).alias("confidence"))
 
 
-@query(f"""WITH {_TRUST}, y AS (SELECT doc_id, list_filter([CASE WHEN fresh = 'UNKNOWN' THEN 'SNAPSHOT_UNBOUND' END, CASE WHEN fresh = 'STALE' THEN 'STALE_EVIDENCE' END, CASE WHEN doc_id % 11 = 0 THEN 'CONFLICTING_EVIDENCE' END, CASE WHEN cov IS NULL THEN 'COVERAGE_UNMEASURED' END,
-  CASE WHEN doc_id % 3 = 0 AND cov < 0.9 THEN 'COVERAGE_BELOW_FLOOR' END, CASE WHEN doc_id % 4 = 1 THEN 'UNRESOLVED_EDGES' END], lambda z: z IS NOT NULL) AS r FROM x)
-SELECT doc_id, array_to_string(r, ',') AS reasons, CASE WHEN list_contains(r, 'SNAPSHOT_UNBOUND') THEN 'ABSTAINED' WHEN list_contains(r, 'COVERAGE_UNMEASURED') OR list_contains(r, 'COVERAGE_BELOW_FLOOR') THEN 'UNVERIFIABLE' WHEN list_contains(r, 'STALE_EVIDENCE') THEN 'STALE'
-  WHEN list_contains(r, 'CONFLICTING_EVIDENCE') THEN 'CONFLICTED' WHEN list_contains(r, 'UNRESOLVED_EDGES') THEN 'PARTIAL' ELSE 'ASSURED' END AS status FROM y""")
-def receipt_decision(t):
-    i = F.col("doc_id")
-    one = lambda c: F.when(c, 1).otherwise(0)
-    x = _trust(t).select("doc_id", trust.reasons(F.col("fresh") != "UNKNOWN", one(F.col("fresh") == "STALE"), one(i % 11 == 0), F.col("cov"), i % 3 == 0, one(i % 4 == 1)).alias("r"))
-    return x.select("doc_id", F.array_join("r", ",").alias("reasons"), trust.decision(F.col("r")).alias("status"))
-
-
 _CHANGES = "SELECT event_id, cast(user_id AS string) AS path, ts, value AS size FROM events"
 
 
@@ -295,4 +264,4 @@ def generation_latest_state(t):
     return changes.latest(_changes(t)).drop("ts")
 
 
-from loomgraph.plans import assurance_queries, code_queries, graph_queries, identity_queries, ledger_queries, resolve_queries, search_queries, upkeep_queries  # noqa: E402, F401  each registers its queries
+from loomgraph.plans import assurance_queries, code_queries, graph_queries, identity_queries, impact_queries, ledger_queries, resolve_queries, search_queries, upkeep_queries  # noqa: E402, F401  each registers its queries

@@ -6,7 +6,7 @@ import hashlib
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,20 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     out = ranged.withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
     out = out.join(F.broadcast(before), "__range")  # a row for each shuffle partition at most
     return out.withColumn(name, F.col("__before") + F.col("__place") - 1).drop("__range", "__before", "__place")
+
+
+def carried(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], width: int = 4096) -> DataFrame:
+    """Adds, for each name of values, the last value that is not null at or before a row of its group.
+
+    order is a whole number. Rows are dealt into bins of it, each bin is one small sort, and what the bins before hold is one
+    row a bin, so a group of any size (one huge log) is spread over all tasks.
+    """
+    x = df.withColumn("__bin", F.floor(F.col(order) / width))
+    inside = Window.partitionBy(*keys, "__bin").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({f"__own_{n}": v for n, v in values.items()})
+    last = x.groupBy(*keys, "__bin").agg(*[F.max_by(f"__own_{n}", F.when(F.col(f"__own_{n}").isNotNull(), F.col(order))).alias(f"__last_{n}") for n in values])
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    past = last.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bin").alias("__b"), *[F.last(f"__last_{n}", True).over(before).alias(f"__past_{n}") for n in values])
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__bin") == F.col("__b")]
+    y = x.withColumns({f"__here_{n}": F.last(f"__own_{n}", True).over(inside) for n in values}).join(past, same)
+    return y.select(*df.columns, *[F.coalesce(f"__here_{n}", f"__past_{n}").alias(n) for n in values])

@@ -179,9 +179,24 @@ SELECT DISTINCT {_FILE} AS path, concat('f:', cast(l_orderkey AS string)) AS src
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 2
 """
 
+#: A log of three parts with a commit an order: a header, then a line a changed file.
+_CHANGED = """CASE l_partkey % 12 WHEN 0 THEN 'src/auth/login.py' WHEN 1 THEN 'package.json' WHEN 2 THEN concat('db/migration/v', cast(l_suppkey AS string), '.sql') ELSE concat('./src/f', cast(l_partkey AS string), '.py') END"""
+LOG = f"""
+SELECT concat('log', cast(o_orderkey % 3 AS string)) AS log, o_orderkey * 100 AS line_no, concat_ws(chr(31), concat('h', cast(o_orderkey AS string)), 'short', concat('author', cast(o_custkey % 7 AS string)), cast(cast(o_orderdate AS date) AS string), o_orderpriority) AS line FROM orders
+UNION ALL SELECT concat('log', cast(l_orderkey % 3 AS string)), l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice),
+  concat_ws(chr(9), CASE WHEN l_suppkey % 10 = 0 THEN '-' ELSE cast(cast(l_quantity * 2 AS int) AS string) END, cast(cast(l_quantity AS int) AS string), {_CHANGED}) FROM lineitem
+"""
+
+#: Diffs of a few files each, four lines a hunk.
+DIFFS = """
+SELECT user_id AS diff, event_id * 4 + k AS line_no, CASE k WHEN 0 THEN concat('--- a/src/f', cast(event_id % 50 AS string), '.py') WHEN 1 THEN CASE WHEN event_id % 9 = 0 THEN '+++ /dev/null' ELSE concat('+++ b/src/f', cast(event_id % 50 AS string), '.py') END
+  WHEN 2 THEN concat('@@ -', cast(1 + event_id % 70 AS string), ',4 +', cast(3 + event_id % 70 AS string), ',', cast(CASE WHEN event_id % 9 = 0 THEN 0 ELSE event_id % 5 END AS string), ' @@ def f') ELSE '-gone' END AS line
+FROM events CROSS JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 4) q
+"""
+
 TEXTS = {
     "nodes": NODES, "edges": EDGES, "steps": STEPS, "hunks": HUNKS, "journal": JOURNAL, "disk": DISK, "runs": RUNS, "evidence": EVIDENCE,
-    "corpus": CORPUS, "doc_evidence": DOC_EVIDENCE, "rich": RICH, "rich_edges": RICH_EDGES, "refs": REFS, "code": CODE, "files": FILES, "file_nodes": FILE_NODES, "file_edges": FILE_EDGES, "file_pending": FILE_PENDING, "files_on_disk": FILES_ON_DISK, "ledger": LEDGER, "ledger_runs": LEDGER_RUNS, "snapshots": SNAPSHOTS, "code_edges": CODE_EDGES,
+    "corpus": CORPUS, "doc_evidence": DOC_EVIDENCE, "rich": RICH, "rich_edges": RICH_EDGES, "refs": REFS, "code": CODE, "log": LOG, "diffs": DIFFS, "files": FILES, "file_nodes": FILE_NODES, "file_edges": FILE_EDGES, "file_pending": FILE_PENDING, "files_on_disk": FILES_ON_DISK, "ledger": LEDGER, "ledger_runs": LEDGER_RUNS, "snapshots": SNAPSHOTS, "code_edges": CODE_EDGES,
 }
 #: Tables that a store would hold; derived from others once.
 STORED = {"nodes", "edges", "steps", "hunks", "evidence", "rich", "refs", "ledger", "ledger_runs", "files", "files_on_disk", "file_nodes", "file_edges", "file_pending"}

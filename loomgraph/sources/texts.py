@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.shared import carried
+
 
 def parse_unified_diff(lines: DataFrame) -> DataFrame:
     """diff, path, line_start, line_end of each hunk; lines: diff, line_no, line.
 
-    A hunk that only deletes takes the old side. Each diff's lines are one ordered partition, so many
-    diffs are parsed in parallel and nothing is collected.
+    A hunk that only deletes takes the old side. A hunk's file is carried to it bin by bin, so one huge diff is as many small
+    sorts; binary files have no hunks.
     """
-    w = Window.partitionBy("diff").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     group = lambda k: F.regexp_extract("line", r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", k)
     number = lambda k, default: F.when(group(k) == "", F.lit(default)).otherwise(group(k)).cast("int")
     old = F.when(F.col("line").startswith("--- "), F.regexp_replace("line", r"^--- (?:a/)?([^\t]*).*$", "$1"))
     new = F.when(F.col("line").startswith("+++ "), F.regexp_replace("line", r"^\+\+\+ (?:b/)?([^\t]*).*$", "$1"))
-    x = lines.withColumns({"old": F.last(old, True).over(w), "new": F.last(new, True).over(w)}).where(F.col("line").rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@"))
+    x = carried(lines, ["diff"], "line_no", {"old": old, "new": new}).where(F.col("line").rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@"))
     x = x.withColumns({"os": number(1, 0), "oc": number(2, 1), "ns": number(3, 0), "nc": number(4, 1)})
     gone = F.col("nc") == 0
     start = F.when(gone, F.col("os")).otherwise(F.col("ns"))
@@ -26,42 +27,26 @@ def parse_unified_diff(lines: DataFrame) -> DataFrame:
     return x.select("diff", path.alias("path"), start.alias("line_start"), end.alias("line_end"))
 
 
-def parse_numstat(lines: DataFrame, mark: str = "commit ") -> DataFrame:
-    """log, commit, files, insertions, deletions; lines: log, line_no, line. Binary files count no lines."""
-    w = Window.partitionBy("log").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    commit = F.when(F.col("line").startswith(mark), F.expr(f"substring(line, {len(mark) + 1})"))
-    x = lines.withColumn("commit", F.last(commit, True).over(w))
-    parts = F.split("line", "\t")
-    n = lambda k: F.coalesce(F.try_to_number(F.get(parts, k), F.lit("999999999")).cast("long"), F.lit(0))
-    stat = F.when(F.size(parts) == 3, F.struct(n(0).alias("i"), n(1).alias("d"), F.get(parts, 2).alias("path")))
-    x = x.select("log", "commit", stat.alias("s")).where("commit is not null")
-    return x.groupBy("log", "commit").agg(
-        F.sort_array(F.collect_set("s.path")).alias("files"), F.coalesce(F.sum("s.i"), F.lit(0)).alias("insertions"), F.coalesce(F.sum("s.d"), F.lit(0)).alias("deletions")
-    )
-
-
-SYMBOL_INDEX = (
-    "documents array<struct<relative_path string, occurrences array<struct<symbol string, range array<int>, symbol_roles int>>, "
-    "symbols array<struct<symbol string, relationships array<struct<symbol string, is_implementation boolean, is_reference boolean>>>>>>"
-)
-
+def numstat_rows(lines: DataFrame, delimiter: str = "\x1f") -> DataFrame:
+    """log, commit, author, date, message, path, insertions, deletions, line_no of each changed file of a log, and a row
+    without path for each commit; lines: log, line_no, line. Binary files count no lines; what stands before the first
+    commit is left out."""
+    parts = F.split("line", delimiter)
+    part = lambda k: F.coalesce(F.get(parts, F.lit(k)), F.lit(""))
+    head = F.when(F.contains("line", F.lit(delimiter)), F.struct(part(0).alias("commit"), part(2).alias("author"), part(3).alias("date"), part(4).alias("message"), F.col("line_no").alias("at")))
+    x = carried(lines, ["log"], "line_no", {"c": head}).where("c is not null")
+    stat = F.split("line", "\t")
+    n = lambda k: F.when(F.trim(F.get(stat, F.lit(k))).rlike("^[0-9]+$"), F.trim(F.get(stat, F.lit(k))).cast("long")).otherwise(0)
+    is_head = F.col("c.at") == F.col("line_no")
+    x = x.where(is_head | (F.size(stat) >= 3))
+    path = F.regexp_replace(F.trim(F.get(stat, F.lit(2))), r"^\./", "")
+    return x.select("log", "c.commit", "c.author", "c.date", "c.message", F.when(~is_head, path).alias("path"), F.when(is_head, 0).otherwise(n(0)).alias("insertions"), F.when(is_head, 0).otherwise(n(1)).alias("deletions"), "line_no")
 
-def read_symbol_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, relationships) of a compiler's symbol index in JSON; lines are counted from 1."""
-    docs = spark.read.schema(SYMBOL_INDEX).option("multiLine", True).json(path).select(F.explode("documents").alias("d"))
-    o = docs.select(F.col("d.relative_path").alias("path"), F.explode("d.occurrences").alias("o"))
-    r = F.col("o.range")
-    last = F.when(F.size(r) == 4, F.get(r, 2)).otherwise(F.get(r, 0))
-    role = F.when(F.col("o.symbol_roles").bitwiseAND(1) == 1, "definition").otherwise("reference")
-    occurrences = o.select("path", F.col("o.symbol").alias("symbol"), role.alias("role"), (F.get(r, 0) + 1).alias("line_start"), (last + 1).alias("line_end"), symbol_name(F.col("o.symbol")).alias("name"))
-    s = docs.select(F.col("d.relative_path").alias("path"), F.explode("d.symbols").alias("s")).select("path", F.col("s.symbol").alias("src"), F.explode("s.relationships").alias("r"))
-    relation = F.when(F.col("r.is_implementation"), "implements").otherwise("references")
-    return occurrences, s.select("path", "src", F.col("r.symbol").alias("dst"), relation.alias("relation"))
 
-
-def symbol_name(symbol: Column) -> Column:
-    """Bare name: the last descriptor without its suffix characters."""
-    return F.regexp_extract(symbol, r"([A-Za-z0-9_$+\-]+)[^A-Za-z0-9_$+\-]*$", 1)
+def parse_numstat(lines: DataFrame, delimiter: str = "\x1f") -> DataFrame:
+    """log, commit, author, date, message, files (in order), insertions, deletions; a commit's files are one list."""
+    files = F.transform(F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("line_no", "path")))), lambda f: f["path"])
+    return numstat_rows(lines, delimiter).groupBy("log", "commit", "author", "date", "message").agg(files.alias("files"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"))
 
 
 def language(path: Column) -> Column:
@@ -93,12 +78,36 @@ def resolve_relative(source: Column, module: Column, is_package: Column) -> Colu
     return F.when(dots == 0, source).when(keep < 1, F.lit("")).otherwise(joined)
 
 
-def keywords(symbol: Column) -> Column:
-    """Whole identifier, its separated, snake and camel parts and snake pairs; distinct, two characters or more."""
-    snake = F.split(F.lower(symbol), r"[^a-z0-9]+")
-    camel = F.transform(F.regexp_extract_all(symbol, F.lit("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"), F.lit(0)), lambda x: F.lower(x))
-    pairs = F.zip_with(F.slice(snake, 1, F.greatest(F.size(snake) - 1, F.lit(0))), F.slice(snake, 2, F.size(snake)), lambda a, b: F.concat(a, F.lit("_"), b))
-    return F.array_distinct(F.filter(F.concat(F.array(F.lower(symbol)), snake, pairs, camel), lambda x: F.length(x) >= 2))
+def keywords(*sources: Column) -> Column:
+    """Names and their parts in order, each once and of two characters or more: whole, separated, snake and camel parts and
+    pairs of snake parts."""
+    none = F.array().cast("array<string>")
+
+    def of(source: Column) -> Column:
+        parts = F.filter(F.split(source, r"[\s/\\.:\-]+"), lambda p: p != "")
+
+        def inner(p: Column) -> Column:
+            snake = F.filter(F.split(p, "_"), lambda x: x != "")
+            pairs = F.zip_with(F.slice(snake, 1, F.greatest(F.size(snake) - 1, F.lit(0))), F.slice(snake, 2, F.greatest(F.size(snake) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b))
+            camel = F.regexp_extract_all(p, F.lit(r"[A-Z]?[a-z0-9]+|[A-Z]+(?=[A-Z][a-z0-9]|\b)"), F.lit(0))
+            return F.concat(F.array(p), F.when(F.size(snake) > 1, F.concat(snake, pairs)).otherwise(none), F.when(F.size(camel) > 1, camel).otherwise(none))
+
+        return F.when(F.coalesce(source, F.lit("")) != "", F.concat(F.array(source), F.flatten(F.transform(parts, inner)))).otherwise(none)
+
+    every = F.transform(F.concat(*[of(s) for s in sources]), lambda x: F.regexp_replace(x, r"^[._\-/$: ]+|[._\-/$: ]+$", ""))
+    return F.array_distinct(F.filter(every, lambda x: F.length(x) >= 2))
+
+
+def module_candidates(path: Column) -> Column:
+    """Names under which one file may be imported: its whole module, the last part and the packages above it."""
+    m = dotted_module(path)
+    parts = F.split(m, r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    return F.when(m != "", F.array_distinct(F.concat(above, F.array(F.element_at(parts, -1))))).otherwise(F.array().cast("array<string>"))
+
+
+def normalise_import(source: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(source, F.lit("")), r"^\.+", ""))
 
 
 def normalise_path(path: Column) -> Column:

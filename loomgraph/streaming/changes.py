@@ -50,3 +50,26 @@ def maintain(stream: DataFrame, state_path: str, checkpoint: str, publish: Calla
             publish(spark.read.parquet(f"{state_path}/gen={batch_id}"), batch_id)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def polled(before: DataFrame, now: DataFrame) -> DataFrame:
+    """path, change (added, changed, removed) between two listings (path, size, mtime_ms)."""
+    b = before.select("path", F.col("size").alias("bs"), F.col("mtime_ms").alias("bm"))
+    x = b.join(now.select("path", F.col("size").alias("ns"), F.col("mtime_ms").alias("nm")), "path", "full_outer")
+    change = F.when(F.col("bs").isNull(), "added").when(F.col("ns").isNull(), "removed").when((F.col("bs") != F.col("ns")) | (F.col("bm") != F.col("nm")), "changed")
+    return x.select("path", change.alias("change")).where("change is not null")
+
+
+def watch(
+    listing: Callable[[], DataFrame], before: DataFrame, apply: Callable[[DataFrame], DataFrame], rounds: int, keep: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """(last listing, deferred) after some rounds of polling: each round's changes and what was deferred are applied once, and
+    what apply() gives back as not done (a busy store) is tried again, so nothing is lost. keep() cuts a listing's lineage."""
+    deferred = None
+    for _ in range(rounds):
+        now = keep(listing())
+        found = polled(before, now).select("path")
+        todo = found if deferred is None else found.unionByName(deferred).distinct()
+        deferred = keep(apply(keep(todo)).select("path"))
+        before = now
+    return before, deferred
