@@ -2,16 +2,29 @@
 
 Method: a common word is an anchor; an anchor and the next CHAIN words that are not common form a
 signature, and a document's fingerprint is the set of its signatures (32-bit hashes, sorted, eight hex
-digits each). Likeness is Jaccard's. Where near pairs are searched (near_pairs()), sets are first dealt
-into partitions by length, narrow enough that a set can only be near sets of its own or the next
-partition, a pair is looked at only if the rarest signatures of both meet, and sets whose lengths alone
-rule the threshold out are never intersected. Only DataFrame functions are used.
+digits each). Likeness is Jaccard's.
+
+Near documents (near_classes()): equal fingerprints are one class. Sets are dealt into partitions by length,
+narrow enough that a set can only be near sets of its own or the next partition. Of each set as many
+signatures are keys as two near sets cannot both do without, and only sets that meet under a key of their
+partitions are compared: where lengths alone rule the threshold out not at all, else by Jaccard's. What is
+wanted is which sets are linked, directly or through others, so sets that are known to be linked need no
+comparison: where very many meet, all are first compared with a few of them, which links a crowd of near copies
+in as many comparisons as it has members; then only sets of different parts are compared, and where these are
+still very many (a frequent signature of unlike texts) the key is made longer by each further signature, of
+which one more must then be shared. Each fingerprint gets its linked part's smallest doc_id.
+
+query() gives what its contract asks for and does not search for near documents: the search takes more disk than
+the check tool allows (see README).
+
+Only DataFrame functions are used.
 
 Cases: a null text counts as empty; a text without words has an empty fingerprint, and two of those are
 alike (1); a text with words but no anchor takes every word as an anchor; texts of any length are taken
 whole; documents in sequence stand in descending doc_id (nulls last, then by a hash of the text), and
 rows equal in both are one document there, each with a result row; a table of one document has itself
-as next; extra columns are ignored; an empty table gives an empty result.
+as next; a class in which no row has a doc_id has a null class_id; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +32,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import partitions, stored, table
+from loomgraph.llm.common import components, partitions, scratch, stored, table, work
 
 CHAIN = 2
 THRESHOLD = 0.8
+BLOCK = 64  # sets of each side that are compared at once
+DEPTH = 3  # signatures that make one key at most
+PIVOTS = 2  # sets of a crowd that all others are compared with
+NONE = -(1 << 63)  # stands for a null doc_id, last in descending order
 #: Common words of four languages.
 ANCHORS = (
     "a about after all also an and are as at be been but by can for from had has have he her his how i if in into is it its more not of on one "
@@ -56,72 +73,167 @@ def as_text(sigs: Column | str) -> Column:
     return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"))), "")
 
 
-def likeness(a: str, b: str, at_least: float = 0.0) -> Column:
-    """Jaccard's; null where the lengths alone show that it is below at_least."""
+def likeness(a: str, b: str) -> Column:
+    """Jaccard's; sets of which one is empty are not intersected."""
     low, high = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     both = F.size(F.array_intersect(a, b))
-    value = F.when(high == 0, F.lit(1.0)).when(low == 0, F.lit(0.0)).otherwise(both / (low + high - both))
-    return F.when(low >= at_least * high, value)
+    return F.when(high == 0, F.lit(1.0)).when(low == 0, F.lit(0.0)).otherwise(both / (low + high - both))
+
 
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-def next_keys(keys: DataFrame) -> DataFrame:
-    """id, h of each document to next_id, next_h of the one after it, in a circle.
 
-    Only keys are ordered, in ranges; a row for each range is put in order in one place.
+def ranges(keys: DataFrame, n: int) -> Column:
+    """The number of the range, of about n of equal size, in which a row's (id, g) lies. keys: distinct (id, g), from files.
+
+    Bounds are taken from a hashed sample of about 64 n keys, so they are the same however often they are used.
+    """
+    step = max(1, keys.count() // (64 * n))
+    sample = sorted((r.id, r.g) for r in keys.where(F.pmod(F.xxhash64("id", "g"), F.lit(step)) == 0).collect())
+    cuts = sorted({sample[len(sample) * k // n] for k in range(1, n)}) if sample else []
+    if not cuts:
+        return F.lit(0)
+    bounds = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(g).cast("long").alias("g")) for i, g in cuts])
+    return F.size(F.filter(bounds, lambda b: b < F.struct(F.col("id").alias("id"), F.col("g").alias("g"))))
+
+
+def in_sequence(docs: DataFrame) -> DataFrame:
+    """id, text, sigs, next_head (as many first characters of the next document as half this one has) and next_sigs, in
+    descending id, in a circle.
+
+    Texts go through one shuffle, by ranges of id. In ascending order the next document is the one before, which a running
+    window carries past repeated rows; each range also gets the last document of the range before it (the first range that
+    of the last), and these are as many rows as there are ranges.
+    """
+    n = partitions(docs.sparkSession)
+    plain = _plain(docs).withColumn("g", F.bitwise_not(F.xxhash64("text")))  # ascending where the hash descends
+    keys = stored(plain.select("id", "g").distinct(), "keys")
+    number = ranges(keys, n)
+    last = keys.groupBy(number.alias("range")).agg(F.max(F.struct("id", "g")).alias("k"))
+    along = Window.orderBy("range")  # a row a range
+    every = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ghosts = stored(last.select("range", F.coalesce(F.lag("k").over(along), F.last("k").over(every)).alias("k")).select("range", F.col("k.id").alias("id"), F.col("k.g").alias("g")), "ghosts")
+    shown = plain.join(F.broadcast(ghosts), ["id", "g"]).dropDuplicates(["range"]).select("id", "text", "g", "range", F.lit(0).alias("real"))  # a row a range
+    rows = plain.withColumn("range", number).withColumn("real", F.lit(1)).unionByName(shown).repartition(n, "range")
+    full = signatures(rows, "text", "sigs").withColumn("key", F.struct("id", "g", "real"))
+    so_far = Window.partitionBy("range").orderBy("real", "id", "g")
+    changed = ~F.lag("key").over(so_far).eqNullSafe(F.col("key"))
+    led = full.withColumn("b", F.when(changed, F.lag(F.struct("text", "sigs")).over(so_far)))
+    led = led.withColumn("b", F.last("b", True).over(so_far.rowsBetween(Window.unboundedPreceding, 0))).where("real = 1")
+    return led.select("id", "text", "sigs", F.expr("left(b.text, cast(length(text) / 2 as int))").alias("next_head"), F.col("b.sigs").alias("next_sigs"))
+
+
+def classes_of(docs: DataFrame) -> DataFrame:
+    """id, a (the number of the fingerprint: its hash) and sigs of each row."""
+    return signatures(_plain(docs), "text", "sigs").select("id", F.xxhash64("sigs").alias("a"), "sigs")
+
+
+def prefix_length(n: Column, threshold: float, shared: int, other: Column | None = None) -> Column:
+    """How many of n signatures, in order, hold the first `shared` ones of those that a near set of `other` signatures or more
+    (n if that is more or not given) has too."""
+    most = n if other is None else F.greatest(n, other)
+    return F.greatest(F.lit(0), F.least(n, n - F.ceil(most * F.lit(threshold) - F.lit(1e-9)).cast("int") + shared))
+
+
+def set_links(sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+    """a, b: links between sets (a: number, sigs: sorted, not empty) at the threshold or above that connect them as all such
+    links would. sets must come from files; call it in work().
+
+    A set shows its keys in its own partition and, as many as a set of that length leaves it, in the one above, so that every
+    near pair meets in the upper set's. Of two near sets the `level` first shared signatures, in any order of all signatures,
+    are among the prefix_length() first of both, so one of their keys is the same at every level, and if it is made longer
+    for one it is for the other.
     """
-    order = [F.col("id").desc(), F.col("h")]
-    ranged = stored(keys.repartitionByRange(partitions(keys.sparkSession), *order).withColumn("__range", F.spark_partition_id()), "order")
-    inside = Window.partitionBy("__range").orderBy(*order)
-    key = F.struct("id", "h")
-    led = ranged.select("*", F.lead(key).over(inside).alias("next"), F.row_number().over(inside).alias("n"))
-    firsts = ranged.groupBy("__range").agg(F.max(F.struct("id", (-F.col("h").cast("decimal(20)")).alias("g"), "h")).alias("f"))
-    firsts = firsts.select(F.col("__range"), F.struct("f.id", "f.h").alias("f"))
-    along = Window.orderBy("__range")
-    after = firsts.select("__range", F.coalesce(F.lead("f").over(along), F.first("f").over(along)).alias("other"))
-    led = led.join(F.broadcast(after), "__range")  # a row for each shuffle partition at most
-    return led.select("id", "h", F.coalesce("next.id", "other.id").alias("next_id"), F.coalesce("next.h", "other.h").alias("next_h"), "need")
-
-
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, sigs, next_head (as many first characters of the next document as half this one has), next_sigs."""
-    none = -(1 << 63)  # stands for a null doc_id, last in descending order
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    plain = plain.withColumn("h", F.xxhash64("text"))
-    keys = plain.select("id", "h", F.floor(F.length("text") / 2).cast("int").alias("need")).groupBy("id", "h").agg(F.max("need").alias("need"))
-    order = stored(next_keys(keys), "next")
-    full = signatures(plain, "text", "sigs").select("id", "h", "text", "sigs")
-    # the same four columns, renamed, on both sides, so that the plans are equal and one shuffle of the texts serves both joins
-    own = full.select(F.col("id").alias("own_id"), F.col("h").alias("own_h"), F.col("text").alias("own_text"), F.col("sigs").alias("own_sigs"))
-    nexts = full.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("next_text"), F.col("sigs").alias("next_sigs"))
-    heads = order.join(nexts.hint("merge"), ["next_id", "next_h"]).select("id", "h", F.expr("left(next_text, need)").alias("next_head"), "next_sigs")
-    heads = heads.groupBy("id", "h").agg(F.first("next_head").alias("next_head"), F.first("next_sigs").alias("next_sigs"))  # the next may be a repeated row
-    joined = own.join(heads.hint("merge"), (F.col("own_id") == F.col("id")) & (F.col("own_h") == F.col("h")))
-    return joined.select(F.when(F.col("own_id") != none, F.col("own_id")).alias("doc_id"), F.col("own_text").alias("text"), F.col("own_sigs").alias("sigs"), "next_head", "next_sigs")
-
-
-def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, likeness for the representatives (smallest doc_id) of equal fingerprints, a < b, at threshold or above."""
-    sets = signatures(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "text", "sigs")
-    sets = stored(sets.groupBy("sigs").agg(F.min("doc_id").alias("a")).where("a is not null and size(sigs) > 0"), "sets")
-    held = sets.select("a", F.size("sigs").alias("n"), F.explode("sigs").alias("s"))
-    rare = held.join(held.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "s")
-    place = Window.partitionBy("a").orderBy("df", "s")
-    first = rare.withColumn("p", F.row_number().over(place)).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    # a partition ends where its first length over the threshold does, so near lengths are in the same or the next one
-    first = stored(first.withColumn("part", F.floor(F.log("n") / F.log(F.lit(1 / threshold)))).select("a", "n", "s", "part"), "rarest")
-    other = first.select(F.col("a").alias("b"), F.col("n").alias("m"), "s", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    near = first.join(other, ["s", "part"]).where("a <> b and m <= n").where(F.col("m") >= F.col("n") * threshold)
-    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = pairs.join(sets.withColumnRenamed("sigs", "x"), "a").join(sets.select(F.col("a").alias("b"), F.col("sigs").alias("y")), "b")
-    return found.select("a", "b", likeness("x", "y", threshold).alias("likeness")).where(F.col("likeness") >= threshold)
+    spread = partitions(sets.sparkSession)
+    step = F.log(F.lit(1 / threshold))
+    part = F.floor(F.log(F.col("n").cast("double")) / step + F.lit(1e-9)).cast("int")
+    ordered = F.array_sort(F.transform("sigs", lambda x: F.xxhash64(x)))  # an order that has nothing to do with the words
+    base = stored(sets.select("a", F.size("sigs").alias("n"), ordered.alias("s")).withColumn("part", part), "base")
+    # the least length of the partition above, and one less, since logarithms are rounded
+    above = (F.ceil(F.exp((F.col("part") + 1) * step)) - 1).cast("int")
+    ways = F.explode(F.array(F.struct(F.col("part").alias("at"), F.lit(1).alias("own")), F.struct((F.col("part") + 1).alias("at"), F.lit(0).alias("own"))))
+    prefix = lambda level: F.slice("s", 1, F.when(F.col("own") == 1, prefix_length(F.col("n"), threshold, level)).otherwise(prefix_length(F.col("n"), threshold, level, above)))
+    rows = base.withColumn("w", ways).select("a", "n", "s", "part", "w.*").select("a", "at", "own", F.explode(prefix(1)).alias("key"), F.lit(None).cast("array<bigint>").alias("held"))
+    found = [base.limit(0).select("a", F.col("a").alias("b"))]
+    for level in range(1, depth + 1):
+        dealt = rows.repartition(spread, "at", "key")
+        sizes = dealt.groupBy("at", "key").agg(F.sum("own").alias("n1"), F.count(F.lit(1)).alias("n0")).where("n1 > 0 and n0 > 1")
+        met = stored(dealt.join(sizes.hint("merge"), ["at", "key"]), "met")
+        crowd = F.col("n0") * F.col("n1") > block * block
+        found.append(_compared(met.where(~crowd).withColumn("of", F.col("a")), base, threshold, block, spread))
+        hot = met.where(crowd)
+        if hot.isEmpty():
+            break
+        for k in range(PIVOTS):
+            pivot = hot.where("own = 1").groupBy("at", "key").agg(F.min_by("a", F.xxhash64(F.lit(k), "a")).alias("b"))
+            pairs = hot.join(pivot, ["at", "key"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            one = lambda c: base.select(F.col("a").alias(c), F.struct(F.col("a"), F.col("s")).alias(f"_{c}")).hint("merge")
+            found.append(stored(pairs.join(one("a"), "a").join(one("b"), "b").where(_near(F.col("_a"), F.col("_b"), threshold)).select("a", "b"), "pivot-links"))
+            roots = components(_all(found)).withColumnRenamed("node", "a")
+            named = stored(hot.select("a", "at", "own", "key", "held", "n0", "n1").join(roots.hint("merge"), "a", "left").withColumn("of", F.coalesce("root", "a")).drop("root"), "hot")
+            # pairs of different parts under each key
+            apart = named.groupBy("at", "key", "of").agg(F.count(F.lit(1)).alias("c")).groupBy("at", "key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("apart")).where("apart > 0")
+            hot = stored(named.join(apart.hint("merge"), ["at", "key"]), "apart")
+        few = F.col("apart") <= 2 * block * F.col("n0") if level < depth else F.lit(True)
+        found.append(_compared(hot.where(few), base, threshold, block, spread))
+        hot = hot.where(~few)
+        if level == depth or hot.isEmpty():
+            break
+        had = F.coalesce("held", F.array("key"))
+        more = hot.select("a", "at", "own", had.alias("had")).join(base, "a").withColumn("x", F.explode(F.array_except(prefix(level + 1), "had")))
+        rows = more.select("a", "at", "own", F.array_sort(F.array_append("had", F.col("x"))).alias("held")).distinct().withColumn("key", F.xxhash64("held")).select("a", "at", "own", "key", "held")
+    return _all(found).distinct()
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _near(x: Column, y: Column, threshold: float) -> Column:
+    low, high = F.least(F.size(x["s"]), F.size(y["s"])), F.greatest(F.size(x["s"]), F.size(y["s"]))
+    both = F.size(F.array_intersect(x["s"], y["s"]))
+    return F.when(low >= threshold * high, both >= threshold * (low + high - both)).otherwise(False)
+
+
+def _compared(met: DataFrame, base: DataFrame, threshold: float, block: int, spread: int) -> DataFrame:
+    """Links under each (at, key) between sets of different parts (of): those of the partition itself against all that are
+    shown there, in blocks."""
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("a"), blocks(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    left = met.where("own = 1").select("at", "key", "a", "of", F.lit(True).alias("x"), F.explode(F.transform(every("n0"), lambda j: F.struct(mine("n1").alias("i"), j.alias("j")))).alias("c"))
+    right = met.select("at", "key", "a", "of", F.lit(False).alias("x"), F.explode(F.transform(every("n1"), lambda i: F.struct(i.alias("i"), mine("n0").alias("j")))).alias("c"))
+    members = left.unionByName(right).join(base.select("a", "s").hint("merge"), "a").repartition(spread, "at", "key", "c")
+    one = F.struct("a", "of", "s")
+    pairs = members.groupBy("at", "key", "c").agg(F.collect_list(F.when(F.col("x"), one)).alias("xs"), F.collect_list(F.when(~F.col("x"), one)).alias("ys"))
+    asks = lambda x, y: F.when((x["a"] != y["a"]) & (x["of"] != y["of"]), _near(x, y, threshold)).otherwise(False)
+    linked = lambda x: F.transform(F.filter("ys", lambda y: asks(x, y)), lambda y: F.struct(F.least(x["a"], y["a"]).alias("a"), F.greatest(x["a"], y["a"]).alias("b")))
+    return stored(pairs.select(F.explode(F.flatten(F.transform("xs", linked))).alias("l")).select("l.*").distinct(), "links")
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, class_id (the smallest doc_id of the linked part) of each fingerprint."""
+    spark = docs.sparkSession
+    path = scratch(spark, "classes")
+    with work(spark):
+        rows = classes_of(docs)
+        sets = stored(rows.groupBy("a").agg(F.min(F.when(F.col("id") != NONE, F.col("id"))).alias("low"), F.first("sigs").alias("sigs")), "sets")
+        links = stored(set_links(sets.where(F.size("sigs") > 0).select("a", "sigs"), threshold), "all-links")
+        roots = components(links).withColumnRenamed("node", "a")
+        of = stored(sets.select("a", "low").join(roots, "a", "left").select("a", "low", F.coalesce("root", "a").alias("root")), "roots")
+        least = of.groupBy("root").agg(F.min("low").alias("class_id"))
+        return stored(of.join(least, "root").select("a", "class_id"), "classes", path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_next(table(spark, sf_dir, "documents"))
-    n = F.length("text")
+    df = in_sequence(table(spark, sf_dir, "documents"))
     df = df.withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(length(text) / 2 as int))"), "next_head"))
-    df = signatures(df.select("doc_id", n.cast("long").alias("n_chars"), "edited", "sigs", "next_sigs"), "edited", "edited_sigs")
+    df = signatures(df.select("id", F.length("text").cast("long").alias("n_chars"), "edited", "sigs", "next_sigs"), "edited", "edited_sigs")
     return df.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("sigs").alias("fingerprint"), as_text("edited_sigs").alias("edited_fingerprint"),
+        F.when(F.col("id") != NONE, F.col("id")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("sigs").alias("fingerprint"), as_text("edited_sigs").alias("edited_fingerprint"),
         likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"),
     )

@@ -389,26 +389,66 @@ def test_op7_next_and_likeness(spark, awkward, docs, texts):
     for i, t in texts.items():
         same[t].add(by[i].fingerprint)
     assert all(len(s) == 1 for s in same.values())
-    out = op7.with_next(awkward)
-    assert out.count() == awkward.count() and op7.with_next(empty(awkward)).count() == 0
-    lone = op7.with_next(awkward.where("doc_id = 1")).first()
+    out = op7.in_sequence(awkward)
+    assert out.count() == awkward.count() and op7.in_sequence(empty(awkward)).count() == 0
+    assert out.where("next_sigs is null or next_head is null").count() == 0
+    lone = op7.in_sequence(awkward.where("doc_id = 1")).first()
     assert lone.next_head == AWKWARD[0][1][: len(AWKWARD[0][1]) // 2]
 
 
-def test_op7_near_pairs_and_chains(spark, docs, texts):
-    got = {(r.a, r.b) for r in op7.near_pairs(docs).collect()}
-    sets, first = {}, {}
-    for r in op7.signatures(docs.select("doc_id", "text"), "text", "s").collect():
-        key = frozenset(r.s)
-        if key and (key not in first or r.doc_id < first[key]):
-            first[key] = r.doc_id
-    sets = [(i, s) for s, i in first.items()]
-    want = {(min(a, b), max(a, b)) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if len(x & y) >= 0.8 * len(x | y)}
-    assert got == want
+def parts_of(ids, pairs):
+    """Smallest id of each id's linked part."""
+    part = {i: i for i in ids}
+
+    def find(x):
+        while part[x] != x:
+            part[x] = part[part[x]]
+            x = part[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        part[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def near_sets(sets, t=0.8):
+    ids = sorted(sets)
+    return {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
+
+
+def test_op7_classes_and_chains(spark, docs, texts):
+    rows = op7.classes_of(docs.where("doc_id is not null")).collect()
+    first = {}
+    for r in rows:
+        first[r.a] = min(first.get(r.a, r.id), r.id)
+    sets = {first[r.a]: set(r.sigs) for r in rows if r.sigs}
+    want = parts_of(sets, near_sets(sets))
+    assert len(set(want.values())) < len(want)
+    of = {r.a: r.class_id for r in op7.near_classes(docs).collect()}
+    for r in rows:
+        assert of[r.a] == want.get(first[r.a], first[r.a])
     one = lambda t: len(op7.signatures(spark.createDataFrame([(t,)], "text string"), "text", "s").first().s)
     assert one("The rally was a kick") == 3 and one("zzz qqq") == 2 and one("") == 0
 
 
+def test_op7_crowds(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(500):  # all share some signatures, few are near
+        base = list(range(6)) + [r.randrange(1000, 100_000) for _ in range(r.randrange(2, 20))]
+        rows.append((2 * i, sorted(set(base))))
+        if i % 5 == 0:
+            rows.append((2 * i + 1, sorted({*base[: len(base) - 1], 200_000 + i} if len(base) > 12 else {*base, 200_000 + i})))
+    rows += [(10_000 + i, sorted({*range(300_000, 300_030), 400_000 + i})) for i in range(150)]  # all near
+    rows += [(20_000 + i, sorted({*range(500_000 + 3 * i, 500_030 + 3 * i)})) for i in range(120)]  # a chain: each near the next ones only
+    df = stored(spark.createDataFrame(rows, "a long, sigs array<int>"), "sets")
+    sets = {a: set(s) for a, s in rows}
+    links = near_sets(sets)
+    got = {tuple(x) for x in op7.set_links(df, block=8).collect()}
+    assert got <= links and parts_of(sets, got) == parts_of(sets, links)
+
+
 def test_op8_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r.doc_id: r for r in op8.query(spark, sf).collect()}
