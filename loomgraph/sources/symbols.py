@@ -95,12 +95,15 @@ def _relationship(data: bytes) -> dict:
 
 
 def _information(data: bytes) -> dict:
+    """A symbol's entry. Writers disagree on field 3: it is a relationship where it starts as one, else a text."""
     out: dict = {"symbol": "", "kind": 0, "documentation": [], "relationships": []}
     for n, w, v in fields(data):
         if n == 1 and w == 2:
             out["symbol"] = _text(v)
         elif n == 2 and w == 2:
             out["documentation"].append(_text(v))
+        elif n == 3 and w == 2 and not v.startswith(b"\n"):
+            out["documentation"].append(_text(v))
         elif n in (3, 4) and w == 2:
             out["relationships"].append(_relationship(v))
         elif n in (4, 17) and w == 0:

@@ -78,6 +78,10 @@ def resolve_relative(source: Column, module: Column, is_package: Column) -> Colu
     return F.when(dots == 0, source).when(keep < 1, F.lit("")).otherwise(joined)
 
 
+#: Parts of a camel-case name.
+CAMEL = r"[A-Z]?[a-z0-9]+|[A-Z]+(?=[A-Z][a-z0-9]|\b)"
+
+
 def keywords(*sources: Column) -> Column:
     """Names and their parts in order, each once and of two characters or more: whole, separated, snake and camel parts and
     pairs of snake parts."""
@@ -89,7 +93,7 @@ def keywords(*sources: Column) -> Column:
         def inner(p: Column) -> Column:
             snake = F.filter(F.split(p, "_"), lambda x: x != "")
             pairs = F.zip_with(F.slice(snake, 1, F.greatest(F.size(snake) - 1, F.lit(0))), F.slice(snake, 2, F.greatest(F.size(snake) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b))
-            camel = F.regexp_extract_all(p, F.lit(r"[A-Z]?[a-z0-9]+|[A-Z]+(?=[A-Z][a-z0-9]|\b)"), F.lit(0))
+            camel = F.regexp_extract_all(p, F.lit(CAMEL), F.lit(0))
             return F.concat(F.array(p), F.when(F.size(snake) > 1, F.concat(snake, pairs)).otherwise(none), F.when(F.size(camel) > 1, camel).otherwise(none))
 
         return F.when(F.coalesce(source, F.lit("")) != "", F.concat(F.array(source), F.flatten(F.transform(parts, inner)))).otherwise(none)
