@@ -189,8 +189,9 @@ def _health(t):
 _WALK = "rc AS (SELECT * FROM <edges> WHERE relation <> 'defines')"
 
 
-@query(f"""WITH {STATES}, {MANIFEST}, {_WHO}, i AS (SELECT e.dst AS t, s.path FROM <edges> e JOIN lv s ON s.id = e.src), o AS (SELECT e.src AS t, d.path FROM <edges> e JOIN lv d ON d.id = e.dst),
-af AS (SELECT id AS t, path FROM lv WHERE id IN (SELECT id FROM wh) UNION SELECT t, path FROM i WHERE t IN (SELECT id FROM wh) UNION SELECT t, path FROM o WHERE t IN (SELECT id FROM wh)),
+@query(f"""WITH {STATES}, {MANIFEST}, {_WHO}, i AS (SELECT e.dst AS t, s.path, row_number() OVER (PARTITION BY e.dst ORDER BY s.path, symbol, s.id, relation) AS place FROM <edges> e JOIN lv s ON s.id = e.src WHERE e.dst IN (SELECT id FROM wh)),
+o AS (SELECT e.src AS t, d.path, row_number() OVER (PARTITION BY e.src ORDER BY d.path, symbol, d.id, relation) AS place FROM <edges> e JOIN lv d ON d.id = e.dst WHERE e.src IN (SELECT id FROM wh)),
+af AS (SELECT id AS t, path FROM lv WHERE id IN (SELECT id FROM wh) UNION SELECT t, path FROM i WHERE place <= 500 UNION SELECT t, path FROM o WHERE place <= 500),
 ag AS (SELECT t, count(*) AS files, count(*) FILTER (contains(lower(af.path), 'test') OR contains(lower(af.path), 'spec')) AS tests, count(*) FILTER (state = 'stale') AS stale FROM af LEFT JOIN st ON st.path = af.path GROUP BY 1)
 SELECT query, CASE n WHEN 0 THEN 'NOT_FOUND' WHEN 1 THEN 'UNIQUE' ELSE 'AMBIGUOUS' END AS identity, id, (SELECT count(*) FROM i WHERE i.t = wh.id) AS callers, (SELECT count(*) FROM o WHERE o.t = wh.id) AS callees, coalesce(files, 0) AS affected_files, coalesce(tests, 0) AS tests, coalesce(stale, 0) AS stale_files,
   CASE WHEN n <> 1 THEN 'ABSTAINED' ELSE 'other' END AS status FROM wh LEFT JOIN ag ON ag.t = wh.id""")
