@@ -57,19 +57,34 @@ def external_imports(imports: DataFrame, names: DataFrame) -> DataFrame:
     return rest.join(longer.distinct(), "imp", "left_anti")
 
 
-def inherited_methods(wanted: DataFrame, nodes: DataFrame, bases: DataFrame) -> DataFrame:
-    """cls, method, id: the class's own method, else that of the nearest base; wanted: cls; bases: cls, base.
+def inherited_methods(asked: DataFrame, nodes: DataFrame, bases: DataFrame) -> DataFrame:
+    """cls, method, id of each asked (cls, method): the class's own method, else that of the nearest base; bases: cls, base.
 
-    Of bases equally near the first by name counts. The walk goes on until no class is new.
+    Of bases equally near the first by name counts. The walk goes on until no class is new; methods that nobody asks for
+    are never listed, however many a common base has.
     """
     own = nodes.where("kind = 'method' and instr(symbol, '.') > 0").select(
         F.regexp_extract("symbol", r"^(.*)\.[^.]*$", 1).alias("owner"), F.element_at(F.split("symbol", r"\."), -1).alias("method"), "id"
     ).groupBy("owner", "method").agg(F.min("id").alias("id"))
-    up = reach(bases.select(F.col("cls").alias("src"), F.col("base").alias("dst")), wanted.select(F.col("cls").alias("id")).distinct(), None)
-    found = up.select(F.col("source").alias("cls"), F.col("id").alias("owner"), "depth").join(own, "owner")
+    up = reach(cut(bases.select(F.col("cls").alias("src"), F.col("base").alias("dst"))), asked.select(F.col("cls").alias("id")).distinct(), None)
+    found = asked.join(up.select(F.col("source").alias("cls"), F.col("id").alias("owner"), "depth"), "cls").join(own, ["owner", "method"])
     return found.groupBy("cls", "method").agg(F.min_by("id", F.struct("depth", "owner")).alias("id"))
 
 
+def candidates_in(places: DataFrame, modules: DataFrame) -> DataFrame:
+    """dst_symbol, module, k, id: how many candidates of a name lie in files of a module, and the first of them.
+
+    places: dst_symbol, at, k, id. A module (modules: module) stands for every file with a name that begins with it. The
+    names are few and bring the prefixes that were asked for; so files and references meet by equality, and each module
+    has one row a name, however many files both have.
+    """
+    files = places.select("at").distinct().select("at", F.explode(project_names(F.col("at"))).alias("name"))
+    begins = F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substr("name", F.lit(1), n))
+    covers = files.where("name <> ''").select("name").distinct().select("name", F.explode(begins).alias("module")).join(modules.distinct(), "module", "left_semi")
+    inside = files.join(covers, "name").select("at", "module").distinct()
+    return places.join(inside, "at").groupBy("dst_symbol", "module").agg(F.sum("k").alias("k"), F.min("id").alias("id"))
+
+
 def resolve_pending(pending: DataFrame, nodes: DataFrame, edges: DataFrame, paths: DataFrame, symbols: list[str] | None = None, path: str | None = None) -> DataFrame:
     """Each reference with state (EXTERNAL, RESOLVED, AMBIGUOUS, UNRESOLVED), tier and target.
 
@@ -82,7 +97,11 @@ def resolve_pending(pending: DataFrame, nodes: DataFrame, edges: DataFrame, path
     rows = pending
     if symbols or path:
         rows = rows.where(F.col("dst_symbol").isin(*(symbols or [])) | (F.col("path") == F.lit(path)))
-    rows = rows.withColumn("imp", imported(F.col("import_source"), F.col("path")))
+    asks = F.coalesce(F.col("receiver"), F.lit("")) != ""
+    rows = cut(rows.withColumns({
+        "imp": imported(F.col("import_source"), F.col("path")), "folder": directory(F.col("path")), "cls": F.when(asks, tail(F.col("receiver"))),
+        "caller": F.when(asks & F.contains("src", F.lit(".")), F.regexp_extract(tail(F.col("src")), r"^(.*)\.[^.]*$", 1)),
+    }))
     names = paths.select(F.explode(project_names(F.col("path"))).alias("name")).distinct()
     outside = external_imports(rows, names).withColumn("outside", F.lit(True))
 
@@ -91,19 +110,15 @@ def resolve_pending(pending: DataFrame, nodes: DataFrame, edges: DataFrame, path
         named.where("fqn is not null and fqn <> symbol").select(F.col("fqn").alias("dst_symbol"), "id", F.col("path").alias("at"))
     )
     counts = index.groupBy("dst_symbol").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("only_id"), F.min("at").alias("only_at"))
-    places = index.groupBy("dst_symbol", "at").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).withColumn("modules", project_names(F.col("at")))
+    places = index.groupBy("dst_symbol", "at").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id"))
 
     # 1: receiver and bases
     up = F.col("relation").isin("extends", "inherits", "implements")
     bases = edges.where(up).select(tail(F.col("src")).alias("cls"), tail(F.col("dst")).alias("base")).unionByName(
         pending.where(up).select(tail(F.col("src")).alias("cls"), tail(F.col("dst_symbol")).alias("base"))
     ).distinct()
-    asks = F.coalesce(F.col("receiver"), F.lit("")) != ""
-    rows = rows.withColumns({
-        "cls": F.when(asks, tail(F.col("receiver"))), "caller": F.when(asks & F.contains("src", F.lit(".")), F.regexp_extract(tail(F.col("src")), r"^(.*)\.[^.]*$", 1)),
-    })
-    wanted = rows.select("cls").unionByName(rows.select(F.col("caller").alias("cls"))).where("cls is not null and cls <> ''").distinct()
-    methods = inherited_methods(wanted, nodes, bases)
+    wanted = rows.select("cls", F.col("dst_symbol").alias("method")).unionByName(rows.select(F.col("caller").alias("cls"), F.col("dst_symbol").alias("method")))
+    methods = inherited_methods(cut(wanted.where("cls is not null and cls <> ''").distinct()), nodes, bases)
     by_cls = methods.select("cls", F.col("method").alias("dst_symbol"), F.col("id").alias("t1"))
     by_caller = methods.select(F.col("cls").alias("caller"), F.col("method").alias("dst_symbol"), F.col("id").alias("t1b"))
 
@@ -111,27 +126,28 @@ def resolve_pending(pending: DataFrame, nodes: DataFrame, edges: DataFrame, path
     brought = edges.where("relation = 'imports'").select("path", F.col("dst").alias("id")).join(nodes.select("id", F.col("symbol").alias("dst_symbol"), F.col("path").alias("of")), "id")
     again = brought.where("dst_symbol <> ''").select(F.explode(project_names(F.col("path"))).alias("imp"), "dst_symbol", "id").groupBy("imp", "dst_symbol").agg(F.min("id").alias("t2"))
 
-    # 3: candidates in files of the imported module
-    hit = F.exists("modules", lambda m: F.startswith(m, F.col("imp")))
-    in_module = rows.where("imp <> ''").select("imp", "dst_symbol").distinct().join(places, "dst_symbol").where(hit)
-    in_module = in_module.groupBy("imp", "dst_symbol").agg(F.sum("k").alias("n3"), F.min("id").alias("t3"))
-
-    # 3b: candidates in files that the caller's file imports
-    modules = brought.select("path", F.explode(project_names(F.col("of"))).alias("m")).unionByName(
-        pending.where("relation = 'imports' and import_source is not null").select("path", F.trim(F.regexp_replace("import_source", r"^\.+", "")).alias("m")).join(names, F.col("m") == F.col("name"), "left_semi")
-    ).groupBy("path").agg(F.collect_set("m").alias("ms"))
+    # 3: candidates in files of the imported module, and of the modules that the caller's file imports
+    modules = brought.select("path", F.explode(project_names(F.col("of"))).alias("module")).unionByName(
+        pending.where("relation = 'imports' and import_source is not null").select("path", F.trim(F.regexp_replace("import_source", r"^\.+", "")).alias("module")).join(names, F.col("module") == F.col("name"), "left_semi")
+    )
+    modules = cut(modules.distinct())
+    wanted_places = places.join(rows.select("dst_symbol").distinct(), "dst_symbol", "left_semi")
+    scoped = cut(candidates_in(wanted_places, modules.select("module").unionByName(rows.where("imp <> ''").select(F.col("imp").alias("module")))))
+    in_module = scoped.select(F.col("module").alias("imp"), "dst_symbol", F.col("k").alias("n3"), F.col("id").alias("t3"))
     many = rows.where("imp = ''").select("path", "dst_symbol").distinct().join(counts.where("n > 1").select("dst_symbol"), "dst_symbol", "left_semi")
-    seen = F.exists("ms", lambda m: F.exists("modules", lambda x: F.startswith(x, m)))
-    by_import = many.join(modules, "path").join(places, "dst_symbol").where(seen).groupBy("path", "dst_symbol").agg(F.sum("k").alias("n3b"), F.min("id").alias("t3b"))
+    by_import = many.join(modules, "path").join(scoped, ["dst_symbol", "module"]).groupBy("path", "dst_symbol").agg(
+        F.when((F.max("k") == 1) & (F.min("id") == F.max("id")), 1).otherwise(2).alias("n3b"), F.min("id").alias("t3b")
+    )
 
     # 3c: candidates in the caller's folder
-    folder = places.groupBy("dst_symbol", directory(F.col("at")).alias("folder")).agg(F.sum("k").alias("n3c"), F.min("id").alias("t3c"))
+    folders = places.select("at").distinct().withColumn("folder", directory(F.col("at")))
+    folder = places.join(folders, "at").groupBy("dst_symbol", "folder").agg(F.sum("k").alias("n3c"), F.min("id").alias("t3c"))
 
     # 5: an import that names a file
     files = nodes.where("kind = 'file'").select("id", F.explode(project_names(F.col("path"))).alias("imp")).groupBy("imp").agg(F.count(F.lit(1)).alias("n5"), F.min("id").alias("t5"))
 
     x = (
-        rows.withColumn("folder", directory(F.col("path"))).join(outside, "imp", "left").join(counts, "dst_symbol", "left").join(by_cls, ["cls", "dst_symbol"], "left")
+        rows.join(outside, "imp", "left").join(counts, "dst_symbol", "left").join(by_cls, ["cls", "dst_symbol"], "left")
         .join(by_caller, ["caller", "dst_symbol"], "left").join(again, ["imp", "dst_symbol"], "left").join(in_module, ["imp", "dst_symbol"], "left")
         .join(by_import, ["path", "dst_symbol"], "left").join(folder, ["dst_symbol", "folder"], "left").join(files, "imp", "left")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.traverse import neighbourhood
 from loomgraph.schemas import HUB_MIN_DEGREE, HUB_SIGMA
+from loomgraph.shared import cut
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,9 +27,9 @@ def hubs(nodes: DataFrame, edges: DataFrame, sigma: float = HUB_SIGMA, least: in
     undirected steps; the tier is by degree or by that share of all nodes. Needs 3 nodes."""
     d = degrees(nodes.select("id", "kind"), edges)
     s = d.agg(F.avg("total_degree").alias("mean"), F.stddev_pop("total_degree").alias("dev"), F.count(F.lit(1)).alias("n"))
-    cut = F.greatest(F.lit(float(least)), F.col("mean") + sigma * F.col("dev"))
+    enough = F.greatest(F.lit(float(least)), F.col("mean") + sigma * F.col("dev"))
     z = F.when(F.col("dev") > 0, F.round((F.col("total_degree") - F.col("mean")) / F.col("dev"), 2)).otherwise(0.0)
-    found = d.crossJoin(F.broadcast(s)).where((F.col("n") >= 3) & (F.col("total_degree") >= cut))  # one row
+    found = cut(d.crossJoin(F.broadcast(s)).where((F.col("n") >= 3) & (F.col("total_degree") >= enough)))  # one row
     found = found.join(neighbourhood(edges, found.select("id"), 2), "id", "left").withColumn("blast_radius", F.coalesce("blast", F.lit(0)))
     reaches = lambda k, share: (F.col("total_degree") >= F.col("mean") + k * F.col("dev")) | (F.col("blast_radius") >= F.col("n") * share)
     tier = F.when(reaches(3, 0.3), "CRITICAL").when(reaches(2, 0.15), "HIGH").otherwise("MEDIUM")

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.joins import hunks_to_nodes
-from loomgraph.shared import cut
+from loomgraph.shared import cut, numbered
 from loomgraph.schemas import ANALYTICS_ROUNDS, DAMPING, IMPACT_RELATIONS
 from loomgraph.sources.texts import is_test_path, is_test_symbol
 
 
 def reach(edges: DataFrame, sources: DataFrame, depth: int | None) -> DataFrame:
     """source, id, depth: every node within depth directed steps (None: any number), at its least depth, the source at 0."""
-    seen = sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("depth"))
+    seen = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("depth")))
     frontier = seen
     for d in itertools.count(1) if depth is None else range(1, depth + 1):
         step = frontier.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("source", F.col("dst").alias("id")).distinct()
@@ -78,10 +78,18 @@ def impacted_tests(nodes: DataFrame, edges: DataFrame, hunks: DataFrame, depth:
 
 
 def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """id, blast: distinct nodes within hops undirected steps of each start, without itself."""
+    """id, blast: distinct nodes within hops undirected steps of each start, without itself. The walk is over numbers,
+    since its pairs are many more than the names."""
     sides = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    got = reach(sides, starts, hops).groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return got.select("id", (F.col("n") - 1).alias("blast"))
+    numbers = cut(numbered(sides.select(F.col("src").alias("name")).distinct(), ["name"], "n"))
+    sides = sides.join(numbers.select(F.col("name").alias("src"), F.col("n").alias("a")), "src").join(numbers.select(F.col("name").alias("dst"), F.col("n").alias("b")), "dst")
+    names = cut(starts.select(F.col("id").alias("name")).distinct().join(numbers, "name", "left"))
+    sides = cut(sides.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    near = reach(sides, names.where("n is not null").select(F.col("n").alias("id")), hops - 1)
+    # the last step is only counted: neither written nor set against what was seen before
+    last = near.where(F.col("depth") == hops - 1).join(sides.select(F.col("src").alias("id"), "dst"), "id").select("source", F.col("dst").alias("id"))
+    got = last.unionByName(near.select("source", "id")).distinct().groupBy(F.col("source").alias("n")).agg((F.count(F.lit(1)) - 1).alias("blast"))
+    return names.join(got, "n", "left").select(F.col("name").alias("id"), F.coalesce("blast", F.lit(0)).alias("blast"))
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
