@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.shared import sized
 from loomgraph.sources.fixtures import base, fixture, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +17,7 @@ class Tables:
     """A lookup of base and derived tables for one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        sized(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def __call__(self, name: str) -> DataFrame:
