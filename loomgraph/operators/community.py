@@ -5,6 +5,9 @@ Loops run on written checkpoints; what a round needs of the whole graph is one r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from loomgraph.shared import cut, numbered
 
 MOVES = 2  # a node may move in one of so many rounds, so that neighbours do not swap for ever
 MAX_CYCLES = 100
+IN_ONE_TASK = 200_000  # edges; what is left of a graph is searched in one task from there on
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = ANALYTICS_ROUNDS, seed: int = 42) -> DataFrame:
@@ -165,12 +169,96 @@ def cross_community(edges: DataFrame, member: DataFrame, samples: int = 3) -> Da
     return first.join(weight, pair).select(*pair, "n", "src", "dst", "relation", "weight")
 
 
-def components_of_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _parts_in_one_task(edges: DataFrame) -> DataFrame:
+    """id, component (its smallest id) of the strongly connected parts of several nodes, by Tarjan's search."""
+    kind = edges.schema["src"].dataType.simpleString()
+    one = edges.select("src").limit(0).toArrow().schema.field(0).type
+    like = pa.schema([("id", one), ("component", one)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead: dict = {}
+        for b in batches:
+            for x, y in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), strict=True):
+                ahead.setdefault(x, []).append(y)
+        index, low, stack, held, ids, parts = {}, {}, [], set(), [], []
+        for root in ahead:
+            if root in index:
+                continue
+            index[root] = low[root] = len(index)
+            stack.append(root)
+            held.add(root)
+            way = [(root, iter(ahead[root]))]
+            while way:
+                v, to = way[-1]
+                w = next(to, None)
+                if w is not None:
+                    if w not in index:
+                        index[w] = low[w] = len(index)
+                        stack.append(w)
+                        held.add(w)
+                        way.append((w, iter(ahead.get(w, ()))))
+                    elif w in held:
+                        low[v] = min(low[v], index[w])
+                    continue
+                way.pop()
+                if way:
+                    low[way[-1][0]] = min(low[way[-1][0]], low[v])
+                if low[v] == index[v]:
+                    part = [stack.pop()]
+                    while part[-1] != v:
+                        part.append(stack.pop())
+                    held.difference_update(part)
+                    if len(part) > 1:
+                        ids += part
+                        parts += [min(part)] * len(part)
+        yield pa.RecordBatch.from_pydict({"id": ids, "component": parts}, schema=like)
+
+    return edges.select("src", "dst").coalesce(1).mapInArrow(run, f"id {kind}, component {kind}")
+
+
+def _cycles_in_one_task(inner: DataFrame) -> DataFrame:
+    """component, place, id as in cycles() of the edges (component, src, dst) of all parts."""
+    kind = inner.schema["src"].dataType.simpleString()
+    one = inner.select("src").limit(0).toArrow().schema.field(0).type
+    like = pa.schema([("component", one), ("place", pa.int32()), ("id", one)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict = {}
+        for b in batches:
+            for c, x, y in zip(*(b.column(k).to_pylist() for k in ("component", "src", "dst")), strict=True):
+                parts.setdefault(c, {}).setdefault(x, set()).add(y)
+        rows: dict = {"component": [], "place": [], "id": []}
+        for c, ahead in parts.items():
+            before, frontier = {c: None}, [c]
+            while frontier:
+                last = min((x for x in frontier if c in ahead.get(x, ())), default=None)
+                if last is not None:
+                    way = [last]
+                    while before[way[-1]] is not None:
+                        way.append(before[way[-1]])
+                    rows["component"] += [c] * len(way)
+                    rows["place"] += range(len(way))
+                    rows["id"] += way[::-1]
+                    break
+                new: dict = {}
+                for x in frontier:
+                    for y in ahead.get(x, ()):
+                        if y not in before:
+                            new[y] = min(new.get(y, x), x)
+                before |= new
+                frontier = list(new)
+        yield pa.RecordBatch.from_pydict(rows, schema=like)
+
+    return inner.select("component", "src", "dst").coalesce(1).mapInArrow(run, f"component {kind}, place int, id {kind}")
+
+
+def components_of_cycles(nodes: DataFrame, edges: DataFrame, alone: int = IN_ONE_TASK) -> DataFrame:
     """id, component: the strongly connected parts that hold a cycle, named by their smallest id.
 
     Nodes without a way in or out go first, round by round. Then the smallest id spreads forward until nothing
     changes; a node that its own id reaches again backward inside its colour is in the part of that colour. Parts are
-    taken out and the rest starts anew, so rounds grow with how parts hang together, not with the nodes.
+    taken out and the rest starts anew, so rounds grow with how parts hang together, not with the nodes. As soon as `alone`
+    edges or fewer are left, one task searches them: a long way to a cycle would be a round a step.
     """
     rest = cut(edges.select("src", "dst").distinct())
     out = cut(rest.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component")))
@@ -179,10 +267,15 @@ def components_of_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         while True:  # trim
             n = rest.count()
+            if n <= alone:
+                break
             rest = cut(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
             if rest.count() == n:
                 break
-        if not n:
+        if n <= alone:
+            if n:
+                few = cut(_parts_in_one_task(rest))
+                found = few if found is None else found.unionByName(few)
             break
         colour = cut(rest.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")))
         while True:
@@ -211,13 +304,16 @@ def components_of_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return parts.unionByName(out.join(parts.select("id"), "id", "left_anti"))
 
 
-def cycles(nodes: DataFrame, edges: DataFrame, most: int = MAX_CYCLES) -> DataFrame:
+def cycles(nodes: DataFrame, edges: DataFrame, most: int = MAX_CYCLES, alone: int = IN_ONE_TASK) -> DataFrame:
     """component, place, id: a shortest cycle through the smallest node of each strongly connected part, `most` of them by
-    name. Ways are found level by level for all parts at once; of several ways back the smallest ids count."""
-    parts = components_of_cycles(nodes, edges)
+    name. Ways are found level by level for all parts at once, by one task if they have `alone` edges or fewer; of several
+    ways back the smallest ids count."""
+    parts = components_of_cycles(nodes, edges, alone)
     parts = cut(parts.join(parts.select("component").distinct().orderBy("component").limit(most), "component", "left_semi"))
     inner = edges.select("src", "dst").distinct().join(parts.select(F.col("id").alias("src"), "component"), "src").join(parts.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2")
     inner = cut(inner.select("component", "src", "dst"))
+    if inner.count() <= alone:
+        return _cycles_in_one_task(inner)
     seen = cut(parts.where("id = component").select("component", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("before")))
     frontier, ends, depth = seen, None, 0
     while not frontier.isEmpty():

@@ -1,10 +1,11 @@
 """What must not grow with repeated rows, with rounds, or with names that files hold in few bytes."""
 
+import random
 import threading
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import joins
+from loomgraph.operators import community, joins
 from loomgraph.plans.registry import Tables
 from loomgraph.shared import MOST_BYTES, cut
 
@@ -37,3 +38,25 @@ def test_checkpoints_keep_no_endless_estimates(spark):
         x = cut(x.join(x.withColumnRenamed("s", "t"), "id").join(x.withColumnRenamed("s", "u"), "id").select("id", "s"))
         assert x._jdf.queryExecution().analyzed().stats().sizeInBytes() < 2 * MOST_BYTES
     assert x.count() == 10
+
+
+def test_long_ways_to_a_cycle_are_no_rounds(spark):
+    # a tail of 3000 steps into a cycle of 1000
+    e = spark.range(4000).select(F.format_string("n%04d", "id").alias("src"), F.format_string("n%04d", F.when(F.col("id") == 3999, 3000).otherwise(F.col("id") + 1)).alias("dst"))
+    stop = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = community.cycles(e.select(F.col("src").alias("id")), e).collect()
+    finally:
+        stop.cancel()
+    assert sorted((r.place, r.id) for r in got) == [(k, f"n{3000 + k}") for k in range(1000)] and {r.component for r in got} == {"n3000"}
+
+
+def test_one_task_finds_what_rounds_find(spark):
+    r = random.Random(4)
+    pairs = [(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(45)] + [("a", "a"), ("b", "c"), ("c", "b")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    n = e.select(F.col("src").alias("id")).distinct()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(community.components_of_cycles(n, e)) == rows(community.components_of_cycles(n, e, alone=0))
+    assert rows(community.cycles(n, e)) == rows(community.cycles(n, e, alone=0))
