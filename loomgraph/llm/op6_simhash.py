@@ -123,7 +123,8 @@ def links(classes: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFra
             wide = wide.distinct()  # several ways may fix the same bits
         wide = wide.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = wide.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = stored(wide.join(sizes, ["mask", "key"]), "buckets")
+        # without the hint the planner may broadcast the wide rows: it takes them for as few bytes as the classes' files have
+        shared = stored(wide.hint("merge").join(sizes, ["mask", "key"]), "buckets")
         small = shared.where(F.col("n") <= leaf).groupBy("mask", "key").agg(F.collect_list("fp").alias("members"))
         out.append(stored(bucket_links(small, radius).distinct(), "links"))
         rows = shared.where(F.col("n") > leaf).select("mask", "fp")

@@ -577,3 +577,19 @@ def test_pipeline_runs_and_mixes_whole_words(spark):
 def test_op10_candidates_are_not_lost(text, values):
     got = list(op10.candidates_in(text, ""))
     assert [v for _, v, _ in got] == values and all(text[s : s + len(v)] == v for s, v, _ in got)
+
+
+def test_op6_rows_under_all_masks_are_not_broadcast(spark, monkeypatch):
+    from loomgraph.llm import op6_simhash
+
+    plans, stored = [], op6_simhash.stored
+
+    def seen(df, tag, path=None):
+        if tag == "buckets":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, tag, path)
+
+    monkeypatch.setattr(op6_simhash, "stored", seen)
+    classes = stored(spark.range(2000).selectExpr("xxhash64(id) as fp"), "classes-of-test")
+    op6_simhash.links(classes).count()
+    assert plans and not any("Broadcast" in p for p in plans)
