@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import resolve
 from loomgraph.operators.store import Conflict
-from loomgraph.shared import cut
+from loomgraph.shared import cut, written
 
 BATCH = 64
 
@@ -91,8 +91,8 @@ def commit(state: State, records: DataFrame, nodes: DataFrame, edges: DataFrame,
 
     records: path, digest, size, mtime_ms, base_generation, parser_outcome. Of equal edges of a file the last line stays.
     """
-    lost = cut(conflicts(records, state.journal))
-    won = cut(records.join(lost, "path", "left_anti"))
+    lost = written(conflicts(records, state.journal))
+    won = written(records.join(lost, "path", "left_anti"))
     paths = won.select("path")
     swap = lambda old, new: old.join(paths, "path", "left_anti").unionByName(new.join(paths, "path", "left_semi").select(*old.columns))
     n = swap(state.nodes, nodes).groupBy("id").agg(F.max_by(F.struct(*[c for c in state.nodes.columns if c != "id"]), F.struct("path")).alias("r")).select("id", "r.*").select(*state.nodes.columns)
@@ -210,17 +210,18 @@ def reconcile(
     parse takes jobs and gives (records, nodes, edges, pending); a file without a record has failed.
     """
     scope = disk if not asked else disk.join(deletion_scope(disk, asked), "path", "left_semi")
-    todo = cut(jobs(scope, state.journal, force))
+    todo = written(jobs(scope, state.journal, force))
     records, nodes, edges, pending = parse(todo)
-    records = cut(records)
-    gone = cut(dead_paths(state.journal, disk, asked))
+    records = written(records)
+    gone = written(dead_paths(state.journal, disk, asked))
     new, lost = commit(state, records, nodes, edges, pending)
     new = delete_paths(new, gone)
+    new = State(*[written(x) for x in (new.journal, new.nodes, new.edges, new.pending)])  # read several times below
     named = resolve.resolve_pending(new.pending, new.nodes, new.edges, new.journal.select("path"))
     found, left = resolve.promoted(named.drop("resolution_state"))
     added = new.edges.unionByName(found.select(*new.edges.columns)).groupBy("path", "src", "dst", "relation").agg(F.max("line").alias("line")).select(*new.edges.columns)
     new = cleaned(replace(new, edges=added, pending=left.select(*new.pending.columns)))
-    new = State(*[cut(x) for x in (new.journal, new.nodes, new.edges, new.pending)])
+    new = State(*[written(x) for x in (new.journal, new.nodes, new.edges, new.pending)])
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     counts = one(scope, "scanned").crossJoin(one(todo, "jobs")).crossJoin(one(records, "parsed")).crossJoin(one(lost, "conflicts")).crossJoin(one(gone, "deleted"))  # single rows
     return new, counts.select(

@@ -101,3 +101,13 @@ def test_two_steps_by_doors_are_two_steps(spark):
     ids = spark.createDataFrame([(k,) for k in starts], "id long")
     for longest, most in ((10**6, 10**8), (3, 10**8), (3, 20), (10**6, 15)):
         assert dict(map(tuple, traverse._within_two(sides, ids, longest, most).collect())) == want
+
+
+def test_reconcile_writes_its_tables_in_compressed_files(spark, monkeypatch):
+    from loomgraph.operators import reconcile
+    from loomgraph.plans import catalog
+
+    held, written = [], reconcile.written
+    monkeypatch.setattr(reconcile, "written", lambda df: held.append(written(df)) or held[-1])
+    assert catalog.QUERIES["reconcile_counts"](spark, "/root/testdata/sf0.001").count() == 1
+    assert len(held) >= 8 and all(f.endswith(".zstd.parquet") for df in held for f in df.inputFiles())
