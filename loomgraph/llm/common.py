@@ -83,8 +83,21 @@ def work(spark: SparkSession) -> Iterator[None]:
             sweep(spark, [path])
 
 
+#: Rows of numbers and lines take up to so many times the bytes of their compressed files in memory.
+FILE_TO_MEMORY = 16
+
+
+def weighed(spark: SparkSession) -> None:
+    """The planner is to take files for what their rows are in memory: by the size of the files it broadcasts tables with a
+    row a document or a line, which grow with the input, and the driver holds each of them several times over."""
+    key = "spark.sql.sources.fileCompressionFactor"
+    if float(spark.conf.get(key)) < FILE_TO_MEMORY:
+        spark.conf.set(key, str(FILE_TO_MEMORY))
+
+
 def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder (or the path) and read it back: cuts the lineage and survives lost executors."""
+    weighed(df.sparkSession)
     path = path or scratch(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -593,3 +593,11 @@ def test_op6_rows_under_all_masks_are_not_broadcast(spark, monkeypatch):
     classes = stored(spark.range(2000).selectExpr("xxhash64(id) as fp"), "classes-of-test")
     op6_simhash.links(classes).count()
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_stored_rows_of_documents_are_not_broadcast(spark):
+    """Millions of numbers, a few bytes each in the files: their rows are many times the threshold of 10 MB."""
+    spark.conf.unset("spark.sql.sources.fileCompressionFactor")
+    x = stored(spark.range(2_000_000).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root")), "roots")
+    links = spark.range(10).select(F.col("id").alias("node"), F.lit(1).alias("other"))
+    assert "Broadcast" not in links.join(x, "node", "left")._jdf.queryExecution().executedPlan().toString()
