@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import search, traverse
 from loomgraph.operators.resolve import find_target
 from loomgraph.schemas import MAP_RELATIONS, MAP_ROUNDS
-from loomgraph.shared import cut
+from loomgraph.shared import cut, written
 
 MAP_CAP = 400
 HOPS, NODES, BYTES = 2, 50, 65536
@@ -24,7 +24,7 @@ def mapped(nodes: DataFrame) -> DataFrame:
 
 def map_ranks(nodes: DataFrame, edges: DataFrame, focus: DataFrame | None = None, rounds: int = MAP_ROUNDS) -> DataFrame:
     """id, rank over the shown nodes and the ranked relations between them, without loops; focus (id) restarts there."""
-    shown = cut(mapped(nodes).select("id").distinct())
+    shown = written(mapped(nodes).select("id").distinct())
     e = edges.where(F.col("relation").isin(*MAP_RELATIONS) & (F.col("src") != F.col("dst"))).select("src", "dst")
     e = e.join(shown.select(F.col("id").alias("src")), "src", "left_semi").join(shown.select(F.col("id").alias("dst")), "dst", "left_semi")
     start = None if focus is None else focus.join(shown, "id", "left_semi").select("id", F.lit(1.0).alias("weight"))
@@ -41,7 +41,7 @@ def repo_map(nodes: DataFrame, edges: DataFrame, focus: DataFrame | None = None,
     is the sum of its lines, which is what its rendering costs, since a line ends where the next begins.
     """
     budget = max(16, min(int(max_tokens), 32_768))
-    ranks = cut(map_ranks(nodes, edges, focus))
+    ranks = map_ranks(nodes, edges, focus)
     first = F.lit(1) if focus is None else F.when(F.col("focused"), 0).otherwise(1)
     x = ranks.join(nodes.select("id", "path", "symbol", "kind", "line_start"), "id")
     if focus is not None:

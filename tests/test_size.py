@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import community, joins, traverse
+from loomgraph.operators import community, export, joins, pack, traverse
 from loomgraph.plans.registry import Tables
 from loomgraph.shared import MOST_BYTES, cut, sized
 from loomgraph.sources import fixtures
@@ -111,3 +111,57 @@ def test_reconcile_writes_its_tables_in_compressed_files(spark, monkeypatch):
     monkeypatch.setattr(reconcile, "written", lambda df: held.append(written(df)) or held[-1])
     assert catalog.QUERIES["reconcile_counts"](spark, "/root/testdata/sf0.001").count() == 1
     assert len(held) >= 8 and all(f.endswith(".zstd.parquet") for df in held for f in df.inputFiles())
+
+
+def test_nodes_that_no_edge_leads_to_are_not_carried(spark, monkeypatch):
+    """Ranks as by plain rounds, with and without a restart; checkpoints hold only what edges lead to."""
+    rows, cut_ = [], traverse.cut
+
+    def seen(df):
+        rows.append(df.count())
+        return cut_(df)
+
+    monkeypatch.setattr(traverse, "cut", seen)
+    pairs = [(f"o{k}", f"c{k % 3}") for k in range(300)] + [("c0", "c1"), ("c1", "x"), ("x", "c0"), ("o1", "c1"), ("o1", "c1")]
+    ids = sorted({i for p in pairs for i in p} | {f"alone{k}" for k in range(40)})
+    nodes, edges = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "src string, dst string")
+    for start in (None, {"o1": 1.0, "alone3": 2.0, "c0": 1.0}):
+        base = {i: 1 / len(ids) if start is None else start.get(i, 0) / 4 for i in ids}
+        rank, out = dict(base), {i: sum(s == i for s, _ in pairs) for i in ids}
+        for _ in range(7):
+            loose = sum(v for i, v in rank.items() if not out[i])
+            new = {i: 0.15 * base[i] + 0.85 * loose / len(ids) for i in ids}
+            for s, d in pairs:
+                new[d] += 0.85 * rank[s] / out[s]
+            rank = new
+        restart = None if start is None else spark.createDataFrame(list(start.items()), "id string, weight double")
+        got = {r.id: r["rank"] for r in traverse.pagerank(nodes, edges, restart, 7).collect()}
+        assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 2e-8 for i in ids)
+    assert max(rows) <= 4
+    got = {r.id: r["rank"] for r in traverse.pagerank(nodes, edges.where("1 = 0"), None, 7).collect()}
+    assert set(got.values()) == {round(1 / len(ids), 8)} and len(got) == len(ids)
+
+
+def test_references_by_a_common_name_are_counted_by_name(spark):
+    n = 150_000  # pair by pair 2e10
+    nodes = spark.range(n).select(F.concat(F.lit("p"), "id").alias("id"), F.lit("a.b").alias("symbol"))
+    pending = spark.range(n).select(F.concat(F.lit("p"), "id").alias("src"), F.when(F.col("id") < 5, "a.b").otherwise("b").alias("dst_symbol"), F.lit("AMBIGUOUS").alias("resolution_state"))
+    edges = spark.createDataFrame([("p1", "p2", "calls"), ("p1", "p2", "uses"), ("gone", "p2", "calls")], "src string, dst string, relation string")
+    stop = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = joins.usages_with_risk(nodes, edges, pending, nodes)
+        assert {(r.unresolved, r.status, r.k) for r in got.groupBy("unresolved", "status").agg(F.count(F.lit(1)).alias("k")).collect()} == {(n - 1, "PARTIAL", n)}
+    finally:
+        stop.cancel()
+    assert [(r.resolved, r.callers) for r in got.where("target = 'p2'").collect()] == [(2, 1)]
+
+
+def test_names_of_targets_and_entities_are_not_broadcast(spark, tmp_path):
+    spark.conf.unset("spark.sql.sources.fileCompressionFactor")
+    row = [F.concat(F.lit("ord:"), "id").alias("id"), *[F.lit("a").alias(c) for c in ("label", "body", "kind", "path", "symbol")], F.lit(1).alias("line_start"), F.lit(0).alias("community_id"), F.lit("HIGH").alias("risk")]
+    spark.range(2_000_000).select(*row).write.option("compression", "zstd").parquet(str(tmp_path / "nodes_of_this_test.parquet"))
+    nodes = Tables(spark, str(tmp_path))("nodes_of_this_test")
+    edges = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("calls").alias("relation"), F.lit(1).alias("line"))
+    for df in (pack.neighbours(edges, nodes), export.entities(nodes.drop("community_id", "risk"), edges, nodes, nodes), joins.inheritance_around(nodes, edges, edges.selectExpr("src", "dst as dst_symbol", "'extends' as relation", "'AMBIGUOUS' as resolution_state"), nodes)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
