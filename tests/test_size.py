@@ -159,9 +159,10 @@ def test_references_by_a_common_name_are_counted_by_name(spark):
 
 def test_names_of_targets_and_entities_are_not_broadcast(spark, tmp_path):
     spark.conf.unset("spark.sql.sources.fileCompressionFactor")
-    row = [F.concat(F.lit("ord:"), "id").alias("id"), *[F.lit("a").alias(c) for c in ("label", "body", "kind", "path", "symbol")], F.lit(1).alias("line_start"), F.lit(0).alias("community_id"), F.lit("HIGH").alias("risk")]
-    spark.range(2_000_000).select(*row).write.option("compression", "zstd").parquet(str(tmp_path / "nodes_of_this_test.parquet"))
-    nodes = Tables(spark, str(tmp_path))("nodes_of_this_test")
+    spark.range(2_000_000).select(F.concat(F.lit("ord:"), "id").alias("id")).write.option("compression", "zstd").parquet(str(tmp_path / "nodes_of_this_test.parquet"))
+    nodes = Tables(spark, str(tmp_path))("nodes_of_this_test").select("id", *[F.lit("a").alias(c) for c in ("label", "body", "kind", "path", "symbol", "risk")], F.lit(1).alias("line_start"), F.lit(0).alias("community_id"))
     edges = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("calls").alias("relation"), F.lit(1).alias("line"))
-    for df in (pack.neighbours(edges, nodes), export.entities(nodes.drop("community_id", "risk"), edges, nodes, nodes), joins.inheritance_around(nodes, edges, edges.selectExpr("src", "dst as dst_symbol", "'extends' as relation", "'AMBIGUOUS' as resolution_state"), nodes)):
+    extends = edges.withColumn("relation", F.lit("extends"))
+    pending = extends.selectExpr("src", "dst as dst_symbol", "relation", "'AMBIGUOUS' as resolution_state")
+    for df in (pack.neighbours(edges, nodes), export.entities(nodes.drop("community_id", "risk"), edges, nodes, nodes), joins.inheritance_around(nodes, extends, pending, nodes.select("id", F.col("id").alias("symbol")))):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
