@@ -125,8 +125,10 @@ def file_id(path: Column) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    return path.rlike(r"(^|/)(tests?|spec|__tests__)/|(^|/)test_[^/]*$|[._](test|spec)\.[^/]+$")
+    # most paths hold neither word and need no search by the pattern
+    return (path.contains("test") | path.contains("spec")) & path.rlike(r"(^|/)(tests?|spec|__tests__)/|(^|/)test_[^/]*$|[._](test|spec)\.[^/]+$")
 
 
 def is_test_symbol(symbol: Column) -> Column:
-    return F.lower(symbol).startswith("test") | symbol.rlike("(Test|Tests|IT|Spec)$")
+    ends = (symbol.contains("Test") | symbol.contains("IT") | symbol.contains("Spec")) & symbol.rlike("(Test|Tests|IT|Spec)$")
+    return F.lower(symbol).startswith("test") | ends

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import joins, stats, store, traverse, trust
 from loomgraph.plans import catalog
+from loomgraph.sources import fixtures
 from loomgraph.sources.fixtures import base, fixture
 
 
@@ -109,6 +110,51 @@ def test_impacted_tests_of_three_tiers(spark):
     assert got == {("test:tests/v.py", "changed_file", None), ("t1", "caller", "run"), ("t2", "caller", "main"), ("t1", "direct_edge", "run"), ("t3", "direct_edge", "run")}
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_impacted_tests_of_any_depth_and_size(spark, depth):
+    r = random.Random(depth)
+    ids = [f"n{k}" for k in range(40)]
+    rows = [(i, f"tests/{i}.py" if k % 3 == 0 else f"src/{i}.py", "function", r.choice(["run", "test_it", "", None]), 1, 9) for k, i in enumerate(ids)]
+    pairs = sorted({(r.choice(ids + ["gone"]), r.choice(ids + ["gone"]), r.choice(["calls", "uses", "reads"])) for _ in range(70)})
+    hit = {i for k, i in enumerate(ids) if k % 8 == 0}
+    symbol, path = {x[0]: x[3] for x in rows}, {x[0]: x[1] for x in rows}
+    is_test = {i for i in ids if path[i].startswith("tests/") or (symbol[i] or "").startswith("test")}
+    want, seen, level = {(f"test:{path[i]}", "changed_file", None) for i in hit if path[i].startswith("tests/")}, set(hit), hit
+    for _ in range(depth):
+        via: dict[str, str] = {}
+        for a, b, relation in pairs:
+            if b in level and a not in seen and relation != "reads":
+                via[a] = min(b, via.get(a, b))
+        want |= {(a, "caller", symbol[b]) for a, b in via.items() if a in is_test and b in symbol}
+        seen, level = seen | set(via), set(via)
+    direct: dict[str, str] = {}
+    for a, b, _ in pairs:
+        if b in hit and symbol[b] and a in is_test:
+            direct[a] = min(symbol[b], direct.get(a, symbol[b]))
+    want |= {(a, "direct_edge", s) for a, s in direct.items()}
+    nodes = spark.createDataFrame(rows, "id string, path string, kind string, symbol string, line_start int, line_end int")
+    edges = spark.createDataFrame(pairs, "src string, dst string, relation string")
+    hunks = spark.createDataFrame([(k, path[i], 3, 4) for k, i in enumerate(sorted(hit))], "event_id long, path string, line_start int, line_end int")
+    for few in (0, 100_000):
+        got = [(x.id, x.tier, x.target) for x in traverse.impacted_tests(nodes, edges, hunks, depth, few).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_impacted_tests_where_callees_are_no_nodes(spark, tmp_path):
+    """Lines whose part is missing, and a customer and an order that stand there twice: the rows of the SQL."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in fixtures.TABLES:
+        more = {"part": "where p_partkey % 3 > 0", "customer": "union all select * from t where c_custkey % 7 = 0", "orders": "union all select * from t where o_orderkey % 5 = 0"}.get(t, "")
+        c.sql(f"copy (with t as (select * from '{sf}/{t}.parquet') select * from t {more}) to '{tmp_path}/{t}.parquet'")
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    want = c.sql(catalog.ORACLES["impacted_tests"]).fetchall()
+    got = catalog.QUERIES["impacted_tests"](spark, str(tmp_path)).select("id", "path", "symbol", "kind", "tier", "target").collect()
+    assert want and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_blast_starts_from_every_node(spark):
     sf = "/root/testdata/sf0.001"
     near = {}

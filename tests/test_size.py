@@ -7,8 +7,9 @@ import time
 from pyspark.sql import functions as F
 
 from loomgraph.operators import community, export, joins, pack, traverse
+from loomgraph.plans import registry
 from loomgraph.plans.registry import Tables
-from loomgraph.shared import MOST_BYTES, cut, sized
+from loomgraph.shared import MOST_BYTES, cut, hashed, sized
 from loomgraph.sources import fixtures
 
 
@@ -166,3 +167,40 @@ def test_names_of_targets_and_entities_are_not_broadcast(spark, tmp_path):
     pending = extends.selectExpr("src", "dst as dst_symbol", "relation", "'AMBIGUOUS' as resolution_state")
     for df in (pack.neighbours(edges, nodes), export.entities(nodes.drop("community_id", "risk"), edges, nodes, nodes), joins.inheritance_around(nodes, extends, pending, nodes.select("id", F.col("id").alias("symbol")))):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_impacted_tests_read_the_edges_twice(spark):
+    """Once for the first callers and the direct edges, once for the last level."""
+    n, passes = 2000, spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        passes.add(1)
+        return row
+
+    nodes = spark.range(n).select(F.format_string("n%04d", "id").alias("id"), F.when(F.col("id") % 2 == 0, "tests/a.py").otherwise("src/b.py").alias("path"), F.lit("function").alias("kind"), F.lit("run").alias("symbol"), F.col("id").cast("int").alias("line_start"), F.col("id").cast("int").alias("line_end"))
+    pairs = spark.range(n - 1).select(F.format_string("n%04d", F.col("id") + 1).alias("src"), F.format_string("n%04d", "id").alias("dst"), F.lit("calls").alias("relation"))
+    edges = spark.createDataFrame(pairs.rdd.map(counted), pairs.schema)
+    hunks = spark.createDataFrame([(1, "src/b.py", 5, 5)], "event_id long, path string, line_start int, line_end int")
+    got = {(r.id, r.tier) for r in traverse.impacted_tests(nodes, edges, hunks).collect()}
+    assert got == {("n0006", "caller"), ("n0006", "direct_edge")} and passes.value <= 2 * (n - 1)
+
+
+def test_stored_tables_are_made_side_by_side(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=20)
+    monkeypatch.setattr(registry, "fixture", lambda spark, sf_dir, name: (both.wait(), name)[1])
+    assert Tables(spark, "somewhere").together("nodes", "edges") == ["nodes", "edges"]
+
+
+def test_measured_small_sides_are_hashed(spark):
+    keys = ("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    were, broadcast = [spark.conf.get(k) for k in keys], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    small, large = (spark.range(k).select(F.concat(F.lit("n"), F.col("id") % 5000).alias("id")) for k in (5000, 200_000))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with hashed(spark):
+            both = large.join(small, "id")
+            assert len(both.collect()) == 200_000
+        assert "ShuffledHashJoin" in both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert [spark.conf.get(k) for k in keys] == were
