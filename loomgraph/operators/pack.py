@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import search, traverse
 from loomgraph.operators.resolve import find_target
 from loomgraph.schemas import MAP_RELATIONS, MAP_ROUNDS
-from loomgraph.shared import cut, written
+from loomgraph.shared import cut, forget, written
 
 MAP_CAP = 400
 HOPS, NODES, BYTES = 2, 50, 65536
@@ -26,11 +26,15 @@ def map_ranks(nodes: DataFrame, edges: DataFrame, focus: DataFrame | None = None
     """id, rank over the shown nodes and the ranked relations between them, without loops; focus (id) restarts there."""
     shown = written(mapped(nodes).select("id").distinct())
     e = edges.where(F.col("relation").isin(*MAP_RELATIONS) & (F.col("src") != F.col("dst"))).select("src", "dst")
-    e = e.join(shown.select(F.col("id").alias("src")), "src", "left_semi").join(shown.select(F.col("id").alias("dst")), "dst", "left_semi")
+    # written between: else the shuffle files of both ends lie there at once
+    led = written(e.join(shown.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    e = led.join(shown.select(F.col("id").alias("src")), "src", "left_semi")
     start = None if focus is None else focus.join(shown, "id", "left_semi").select("id", F.lit(1.0).alias("weight"))
     if start is not None and start.isEmpty():
         start = None
-    return traverse.pagerank(shown, e, start, rounds)
+    ranks = traverse.pagerank(shown, e, start, rounds)
+    forget(led)
+    return ranks
 
 
 def repo_map(nodes: DataFrame, edges: DataFrame, focus: DataFrame | None = None, max_tokens: int = 1024, most: int = MAP_CAP) -> DataFrame:

@@ -242,3 +242,12 @@ def test_decide_has_every_reason(spark):
     df = spark.createDataFrame([(*(fine | c).values(), k) for k, (c, _, _) in enumerate(cases)], types + ", k int")
     got = {r.k: (r.status, r.reason_codes) for r in df.select("k", trust.decide(**{x: F.col(x) for x in fine}).alias("d")).select("k", "d.*").collect()}
     assert got == {k: (status, codes) for k, (_, status, codes) in enumerate(cases)}
+
+
+def test_repo_map_ranks_over_calls_too(spark):
+    sf = "/root/testdata/sf0.001"
+    shown = {r.id for r in fixture(spark, sf, "nodes").where("kind not in ('file', 'note', 'markdown') and path <> ''").collect()}
+    pairs = [(r.src, r.dst) for r in fixture(spark, sf, "edges").where("relation in ('calls', 'extends', 'implements', 'uses')").collect()]
+    want = ranks_after([(a, b) for a, b in pairs if a in shown and b in shown and a != b], 24, more=shown)
+    got = {r.id: r["rank"] for r in catalog.QUERIES["repo_map_budget"](spark, sf).collect()}
+    assert got and got == pytest.approx({i: want[i] for i in got}, abs=2e-8)

@@ -204,3 +204,40 @@ def test_measured_small_sides_are_hashed(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     assert [spark.conf.get(k) for k in keys] == were
+
+
+def test_ranks_of_a_graph_without_cycles_take_a_pass_a_length(spark, monkeypatch):
+    """Ranks as by plain rounds; what is written does not grow with the rounds."""
+    held, written = [], traverse.written
+    monkeypatch.setattr(traverse, "written", lambda df: held.append(written(df)) or held[-1])
+    pairs = [(f"o{k}", f"p{k % 7}") for k in range(60)] + [(f"o{k}", f"p{k % 5}") for k in range(40)] + [(f"p{k}", f"s{j}") for k in range(7) for j in range(1 + k % 3)] + [("o1", "s0")]
+    ids = sorted({i for p in pairs for i in p} | {f"alone{k}" for k in range(9)})
+    nodes, edges = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "src string, dst string")
+    out = {i: sum(s == i for s, _ in pairs) for i in ids}
+    for rounds, start in ((24, None), (24, {"o1": 1.0, "s0": 3.0}), (1, {"p1": 1.0}), (0, None)):
+        held.clear()
+        base = {i: 1 / len(ids) if start is None else start.get(i, 0) / sum(start.values()) for i in ids}
+        rank = dict(base)
+        for _ in range(rounds):
+            loose = sum(v for i, v in rank.items() if not out[i])
+            new = {i: 0.15 * base[i] + 0.85 * loose / len(ids) for i in ids}
+            for s, d in pairs:
+                new[d] += 0.85 * rank[s] / out[s]
+            rank = new
+        restart = None if start is None else spark.createDataFrame(list(start.items()), "id string, weight double")
+        got = {r.id: r["rank"] for r in traverse.pagerank(nodes, edges, restart, rounds).collect()}
+        assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 2e-8 for i in ids)
+        assert len(held) <= 4  # links, sources, ways of one and of two
+
+
+def _asked_of(monkeypatch, name):
+    """The distinct relations of the edges that the query gives to the map."""
+    from loomgraph.plans import upkeep_queries
+
+    seen = []
+    monkeypatch.setattr(upkeep_queries.pack, "repo_map", lambda nodes, edges, *a: seen.append({r[0] for r in edges.select("relation").distinct().collect()}) or nodes)
+    return lambda spark: (registry.QUERIES[name](spark, "/root/testdata/sf0.001"), seen[0])[1]
+
+
+def test_the_map_is_ranked_over_all_edges(spark, monkeypatch):
+    assert _asked_of(monkeypatch, "repo_map_budget")(spark) == {"calls", "uses", "extends", "defines", "imports"}
