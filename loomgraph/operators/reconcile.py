@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import resolve
 from loomgraph.operators.store import Conflict
-from loomgraph.shared import cut, written
+from loomgraph.shared import cut, hashed, written
 
 BATCH = 64
 
@@ -209,6 +209,11 @@ def reconcile(
 
     parse takes jobs and gives (records, nodes, edges, pending); a file without a record has failed.
     """
+    with hashed(disk.sparkSession):
+        return _reconcile(state, disk, parse, asked, force)
+
+
+def _reconcile(state: State, disk: DataFrame, parse: Callable, asked: list[str] | None, force: bool) -> tuple[State, DataFrame]:
     scope = disk if not asked else disk.join(deletion_scope(disk, asked), "path", "left_semi")
     todo = written(jobs(scope, state.journal, force))
     records, nodes, edges, pending = parse(todo)
@@ -217,7 +222,7 @@ def reconcile(
     new, lost = commit(state, records, nodes, edges, pending)
     new = delete_paths(new, gone)
     new = State(*[written(x) for x in (new.journal, new.nodes, new.edges, new.pending)])  # read several times below
-    named = resolve.resolve_pending(new.pending, new.nodes, new.edges, new.journal.select("path"))
+    named = written(resolve.resolve_pending(new.pending, new.nodes, new.edges, new.journal.select("path")))  # edges and references come from it
     found, left = resolve.promoted(named.drop("resolution_state"))
     added = new.edges.unionByName(found.select(*new.edges.columns)).groupBy("path", "src", "dst", "relation").agg(F.max("line").alias("line")).select(*new.edges.columns)
     new = cleaned(replace(new, edges=added, pending=left.select(*new.pending.columns)))

@@ -5,25 +5,38 @@ Never a guess: where a rule finds several, the answer says so. Ties that the dat
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.traverse import reach
-from loomgraph.shared import cut
+from loomgraph.shared import cut, written
 from loomgraph.sources.texts import dotted_module, resolve_relative
 
 MODULE_DEPTH = 8
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once a row, not at each place and each step of a lambda that it stands in."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def project_names(path: Column) -> Column:
     """Every dotted suffix under which a file may be imported, shortest first."""
+
+    def stem(parts: Column) -> Column:
+        last = F.element_at(parts, -1)
+        before = F.slice(parts, 1, F.size(parts) - 1)
+        return F.when(last == "__init__.py", before).otherwise(F.concat(before, F.array(F.regexp_replace(last, r"\.pyi?$", ""))))
+
+    def names(of: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.least(F.size(of), F.lit(MODULE_DEPTH))), lambda k: F.array_join(F.slice(of, -k, k), "."))
+        return F.when(F.size(of) > 0, made).otherwise(F.array().cast("array<string>"))
+
     parts = F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda x: x != "")
-    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("__init__.py")))
-    stem = F.when(F.element_at(parts, -1) == "__init__.py", F.slice(parts, 1, F.size(parts) - 1)).otherwise(
-        F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.regexp_replace(F.element_at(parts, -1), r"\.pyi?$", "")))
-    )
-    names = F.transform(F.sequence(F.lit(1), F.least(F.size(stem), F.lit(MODULE_DEPTH))), lambda k: F.array_join(F.slice(stem, -k, k), "."))
-    return F.when(F.size(stem) > 0, names).otherwise(F.array().cast("array<string>"))
+    some = _once(parts, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("__init__.py"))))
+    return _once(_once(some, stem), names)
 
 
 def directory(path: Column) -> Column:
@@ -44,9 +57,12 @@ def imported(source: Column, path: Column) -> Column:
 
 def _prefixes(name: Column) -> Column:
     """Proper dotted prefixes."""
-    parts = F.split(name, r"\.")
-    made = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "."))
-    return F.when(F.size(parts) > 1, made).otherwise(F.array().cast("array<string>"))
+
+    def begins(parts: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+        return F.when(F.size(parts) > 1, made).otherwise(F.array().cast("array<string>"))
+
+    return _once(F.split(name, r"\."), begins)
 
 
 def external_imports(imports: DataFrame, names: DataFrame) -> DataFrame:
@@ -102,13 +118,14 @@ def resolve_pending(pending: DataFrame, nodes: DataFrame, edges: DataFrame, path
         "imp": imported(F.col("import_source"), F.col("path")), "folder": directory(F.col("path")), "cls": F.when(asks, tail(F.col("receiver"))),
         "caller": F.when(asks & F.contains("src", F.lit(".")), F.regexp_extract(tail(F.col("src")), r"^(.*)\.[^.]*$", 1)),
     }))
-    names = paths.select(F.explode(project_names(F.col("path"))).alias("name")).distinct()
+    names = written(paths.select(F.explode(project_names(F.col("path"))).alias("name")).distinct())  # read several times below
     outside = external_imports(rows, names).withColumn("outside", F.lit(True))
 
     named = nodes.where("symbol is not null")
     index = named.select(F.col("symbol").alias("dst_symbol"), "id", F.col("path").alias("at")).unionByName(
         named.where("fqn is not null and fqn <> symbol").select(F.col("fqn").alias("dst_symbol"), "id", F.col("path").alias("at"))
     )
+    index = cut(index.join(rows.select("dst_symbol").distinct(), "dst_symbol", "left_semi"))  # of names that are asked for
     counts = index.groupBy("dst_symbol").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("only_id"), F.min("at").alias("only_at"))
     places = index.groupBy("dst_symbol", "at").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id"))
 
@@ -122,19 +139,22 @@ def resolve_pending(pending: DataFrame, nodes: DataFrame, edges: DataFrame, path
     by_cls = methods.select("cls", F.col("method").alias("dst_symbol"), F.col("id").alias("t1"))
     by_caller = methods.select(F.col("cls").alias("caller"), F.col("method").alias("dst_symbol"), F.col("id").alias("t1b"))
 
-    # 2: what a module's file imports can be imported from that module
-    brought = edges.where("relation = 'imports'").select("path", F.col("dst").alias("id")).join(nodes.select("id", F.col("symbol").alias("dst_symbol"), F.col("path").alias("of")), "id")
-    again = brought.where("dst_symbol <> ''").select(F.explode(project_names(F.col("path"))).alias("imp"), "dst_symbol", "id").groupBy("imp", "dst_symbol").agg(F.min("id").alias("t2"))
-
-    # 3: candidates in files of the imported module, and of the modules that the caller's file imports
-    modules = brought.select("path", F.explode(project_names(F.col("of"))).alias("module")).unionByName(
-        pending.where("relation = 'imports' and import_source is not null").select("path", F.trim(F.regexp_replace("import_source", r"^\.+", "")).alias("module")).join(names, F.col("module") == F.col("name"), "left_semi")
+    # 2: what a module's file imports can be imported from that module; of names that references with an import ask for
+    wanted_names = rows.where("imp <> ''").select("dst_symbol").distinct()
+    imports = edges.where("relation = 'imports'").select("path", F.col("dst").alias("id"))
+    offered = nodes.where("symbol <> ''").select("id", F.col("symbol").alias("dst_symbol")).join(wanted_names, "dst_symbol", "left_semi")
+    again = imports.join(offered, "id").select(F.explode(project_names(F.col("path"))).alias("imp"), "dst_symbol", "id").groupBy("imp", "dst_symbol").agg(F.min("id").alias("t2"))
+
+    # 3: candidates in files of the imported module, and of the modules that the caller's file imports; these are looked up
+    # for files that refer without an import to a name that several have
+    many = cut(rows.where("imp = ''").select("path", "dst_symbol").distinct().join(counts.where("n > 1").select("dst_symbol"), "dst_symbol", "left_semi"))
+    callers = many.select("path").distinct()
+    modules = imports.join(callers, "path", "left_semi").join(nodes.select("id", F.col("path").alias("of")), "id").select("path", F.explode(project_names(F.col("of"))).alias("module")).unionByName(
+        pending.where("relation = 'imports' and import_source is not null").join(callers, "path", "left_semi").select("path", F.trim(F.regexp_replace("import_source", r"^\.+", "")).alias("module")).join(names, F.col("module") == F.col("name"), "left_semi")
     )
     modules = cut(modules.distinct())
-    wanted_places = places.join(rows.select("dst_symbol").distinct(), "dst_symbol", "left_semi")
-    scoped = cut(candidates_in(wanted_places, modules.select("module").unionByName(rows.where("imp <> ''").select(F.col("imp").alias("module")))))
+    scoped = cut(candidates_in(places, modules.select("module").unionByName(rows.where("imp <> ''").select(F.col("imp").alias("module")))))
     in_module = scoped.select(F.col("module").alias("imp"), "dst_symbol", F.col("k").alias("n3"), F.col("id").alias("t3"))
-    many = rows.where("imp = ''").select("path", "dst_symbol").distinct().join(counts.where("n > 1").select("dst_symbol"), "dst_symbol", "left_semi")
     by_import = many.join(modules, "path").join(scoped, ["dst_symbol", "module"]).groupBy("path", "dst_symbol").agg(
         F.when((F.max("k") == 1) & (F.min("id") == F.max("id")), 1).otherwise(2).alias("n3b"), F.min("id").alias("t3b")
     )
@@ -144,7 +164,8 @@ def resolve_pending(pending: DataFrame, nodes: DataFrame, edges: DataFrame, path
     folder = places.join(folders, "at").groupBy("dst_symbol", "folder").agg(F.sum("k").alias("n3c"), F.min("id").alias("t3c"))
 
     # 5: an import that names a file
-    files = nodes.where("kind = 'file'").select("id", F.explode(project_names(F.col("path"))).alias("imp")).groupBy("imp").agg(F.count(F.lit(1)).alias("n5"), F.min("id").alias("t5"))
+    wanted_files = rows.where("imp <> '' and relation = 'imports'").select("imp").distinct()
+    files = nodes.where("kind = 'file'").select("id", F.explode(project_names(F.col("path"))).alias("imp")).join(wanted_files, "imp", "left_semi").groupBy("imp").agg(F.count(F.lit(1)).alias("n5"), F.min("id").alias("t5"))
 
     x = (
         rows.join(outside, "imp", "left").join(counts, "dst_symbol", "left").join(by_cls, ["cls", "dst_symbol"], "left")

@@ -245,3 +245,15 @@ def test_the_map_is_ranked_over_all_edges(spark, monkeypatch):
 
 def test_the_map_around_a_focus_is_ranked_over_all_edges(spark, monkeypatch):
     assert _asked_of(monkeypatch, "repo_map_focus")(spark) == {"calls", "uses", "extends", "defines", "imports"}
+
+
+def test_references_are_resolved_once_and_imports_that_nobody_asks_for_are_not_listed(spark, monkeypatch):
+    from loomgraph.operators import reconcile, resolve
+    from loomgraph.plans import catalog
+
+    held, written, lists, cut_ = [], reconcile.written, [], resolve.cut
+    monkeypatch.setattr(reconcile, "written", lambda df: held.append(written(df)) or held[-1])
+    monkeypatch.setattr(resolve, "cut", lambda df: lists.append(cut_(df)) or lists[-1])
+    assert catalog.QUERIES["reconcile_counts"](spark, "/root/testdata/sf0.001").count() == 1
+    assert sum({"state", "tier", "target"} <= set(df.columns) for df in held) == 1
+    assert [df.count() for df in lists if df.columns == ["path", "module"]] == [0]  # no name that references ask for without an import stands in several files
