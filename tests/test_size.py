@@ -257,3 +257,18 @@ def test_references_are_resolved_once_and_imports_that_nobody_asks_for_are_not_l
     assert catalog.QUERIES["reconcile_counts"](spark, "/root/testdata/sf0.001").count() == 1
     assert sum({"state", "tier", "target"} <= set(df.columns) for df in held) == 1
     assert [df.count() for df in lists if df.columns == ["path", "module"]] == [0]  # no name that references ask for without an import stands in several files
+
+
+def test_pairs_of_one_name_are_dealt_over_the_tasks(spark):
+    nodes = spark.range(400).select(F.concat(F.lit("p"), "id").alias("id"), F.when(F.col("id") < 50, "a.b").otherwise("c").alias("symbol"))
+    pending = nodes.selectExpr("id as src", "'b' as dst_symbol", "'extends' as relation", "'AMBIGUOUS' as resolution_state")
+    edges = spark.createDataFrame([], "src string, dst string, relation string")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got = joins.inheritance_around(nodes, edges, pending, nodes).where("side = 'pending_derived'")
+        rows = [r.n for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(rows) == 50 * 399 and max(rows) < 0.7 * sum(rows)
+        assert got.distinct().count() == 50 * 399
+    finally:
+        spark.conf.unset(key)
